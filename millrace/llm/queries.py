@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, exact_dedup, token_counts, token_files
+from millrace.llm import bpe, decontaminate, exact_dedup, token_counts, token_files
 from millrace.llm import common as C
 
 
@@ -30,10 +30,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = decontaminate.decontaminate(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return done.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def queries() -> dict:
     return {
         "op2_bpe_codec": op2_bpe_codec,
         "op4_token_files": op4_token_files,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_token_counts": op8_token_counts,
+        "op10_decontaminate": op10_decontaminate,
     }

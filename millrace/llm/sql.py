@@ -10,6 +10,26 @@ select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t
 from t join g on t.norm = g.norm
 """
 
+_ITEM_WORDS = "regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP10 = f"""
+with d as (select doc_id, {_ITEM_WORDS.format(t="text")} as w from documents),
+b as (select cast(item_id as varchar) as item_id, {_ITEM_WORDS.format(t="text")} as w from benchmark),
+bw as (
+  select distinct item_id, least(len(w), 10) as k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as win
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 10 + 1, 1) + 1)) as i from b where len(w) > 0)
+), ks as (select distinct k from bw),
+dw as (
+  select doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') as win
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, ks where len(w) >= k)
+), m as (select doc_id, i, k, item_id from dw join bw using (k, win)),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from (select distinct doc_id, i, k from m)) group by doc_id),
+items as (select doc_id, count(distinct item_id) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from m) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join items using (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7}
+    return {"op7_exact_dedup": OP7, "op10_decontaminate": OP10}
