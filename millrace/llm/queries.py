@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, exact_dedup, token_counts, token_files
+from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, token_counts, token_files
 from millrace.llm import common as C
 
 
@@ -20,6 +20,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, to).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(C.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = exact_dedup.exact_dedup(C.table(spark, sf_dir, "documents"), keep="largest")
     return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -41,6 +45,7 @@ def queries() -> dict:
     return {
         "op2_bpe_codec": op2_bpe_codec,
         "op4_token_files": op4_token_files,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_token_counts": op8_token_counts,
         "op10_decontaminate": op10_decontaminate,

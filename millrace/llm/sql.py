@@ -10,6 +10,22 @@ select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t
 from t join g on t.norm = g.norm
 """
 
+OP6 = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as sh from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)
+), n as (select doc_id, count(*) as n from s group by doc_id),
+p as (
+  select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.sh = y.sh and x.doc_id <> y.doc_id group by all
+), e as (
+  select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n + nb.n - c)
+), r(doc_id, reach) as (
+  select doc_id, doc_id from w union select r.doc_id, e.b from r join e on e.a = r.reach
+)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, min(r.reach) as component_id from w left join n using (doc_id) join r using (doc_id) group by w.doc_id, n.n
+"""
+
 _ITEM_WORDS = "regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 OP10 = f"""
@@ -32,4 +48,4 @@ from d left join hit using (doc_id) left join items using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7, "op10_decontaminate": OP10}
+    return {"op6_jaccard_join": OP6, "op7_exact_dedup": OP7, "op10_decontaminate": OP10}
