@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, token_counts, token_files
+from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, substring_dedup, token_counts, token_files
 from millrace.llm import common as C
 
 
@@ -34,6 +34,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.substring_dedup(C.table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return done.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = decontaminate.decontaminate(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
@@ -48,5 +54,6 @@ def queries() -> dict:
         "op6_jaccard_join": op6_jaccard_join,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_token_counts": op8_token_counts,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_decontaminate": op10_decontaminate,
     }

@@ -26,6 +26,24 @@ p as (
 select w.doc_id, coalesce(n.n, 0) as n_shingles, min(r.reach) as component_id from w left join n using (doc_id) join r using (doc_id) group by w.doc_id, n.n
 """
 
+OP9 = """
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+win as (
+  select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)
+), f as (select h, min(doc_id) as first_doc from win group by h),
+gone as (
+  select distinct doc_id, unnest(range(i, i + 50)) as p from win join f using (h) where first_doc < doc_id
+), g as (select doc_id, list(p order by p) as ps from gone group by doc_id),
+x as (select doc_id, w, coalesce(ps, []) as ps from d left join g using (doc_id)),
+kept as (
+  select doc_id, string_agg(word, ' ' order by p) as t from (
+    select d.doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d
+  ) anti join gone using (doc_id, p) group by doc_id
+)
+select x.doc_id, cast(len(w) as bigint) as n_words, cast(len(ps) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from x left join kept using (doc_id)
+"""
+
 _ITEM_WORDS = "regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 OP10 = f"""
@@ -48,4 +66,4 @@ from d left join hit using (doc_id) left join items using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard_join": OP6, "op7_exact_dedup": OP7, "op10_decontaminate": OP10}
+    return {"op6_jaccard_join": OP6, "op7_exact_dedup": OP7, "op9_substring_dedup": OP9, "op10_decontaminate": OP10}
