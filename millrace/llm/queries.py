@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, substring_dedup, token_counts, token_files
+from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, substring_dedup, token_counts, token_files
 from millrace.llm import common as C
 
 
@@ -14,6 +14,13 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs, C.train_side())
+    done = language_id.identify(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", (~C.train_side()).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = C.scratch_path(spark, "token-files")
     token_files.write(C.table(spark, sf_dir, "documents"), to)
@@ -50,6 +57,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_bpe_codec": op2_bpe_codec,
+        "op3_language_id": op3_language_id,
         "op4_token_files": op4_token_files,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_exact_dedup": op7_exact_dedup,
