@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, substring_dedup, token_counts, token_files
+from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, substring_dedup, token_counts, token_files
 from millrace.llm import common as C
 
 
@@ -27,6 +27,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, to).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.train(docs, C.table(spark, sf_dir, "labels"), C.train_side())
+    done = quality.rate(docs, field)
+    return done.select("doc_id", (~C.train_side()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_lines")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(C.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -59,6 +66,7 @@ def queries() -> dict:
         "op2_bpe_codec": op2_bpe_codec,
         "op3_language_id": op3_language_id,
         "op4_token_files": op4_token_files,
+        "op5_quality": op5_quality,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_token_counts": op8_token_counts,
