@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, substring_dedup, token_counts, token_files
+from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, quality, substring_dedup, token_counts, token_files
 from millrace.llm import common as C
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.line_dedup(C.table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.decode(bpe.encode(C.table(spark, sf_dir, "documents")))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
@@ -63,6 +68,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_bpe_codec": op2_bpe_codec,
         "op3_language_id": op3_language_id,
         "op4_token_files": op4_token_files,
