@@ -43,6 +43,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_broadcast(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Mark a written table of ids for broadcast if it has at most ``rows`` rows; otherwise Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
     return df.mapInArrow(fn, ddl)
 

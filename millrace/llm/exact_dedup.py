@@ -40,15 +40,16 @@ def sha256(data: bytes) -> bytes:
 
 
 def digests(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
-    """Rows (doc_id, digest, second): ``second`` is a shorter digest of another family."""
+    """Rows (rid, doc_id, digest, second, row): ``second`` is a shorter digest of another family, ``rid`` names a row by its id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [normalise(t) for t in batch.column("text").to_pylist()]
             second = [hashlib.blake2b(t, digest_size=12).digest() for t in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([digest(t) for t in found], pa.binary()), pa.array(second, pa.binary())], ["doc_id", "digest", "second"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array([digest(t) for t in found], pa.binary()), pa.array(second, pa.binary())], ["rid", "doc_id", "digest", "second"])
 
-    return C.map_arrow(C.id_and_text(docs), run, "doc_id long, digest binary, second binary").withColumn("row", F.monotonically_increasing_id())
+    rows = C.id_and_text(docs).withColumn("rid", F.xxhash64("doc_id", "text"))
+    return C.map_arrow(rows, run, "rid long, doc_id long, digest binary, second binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def runs(digest_rows: DataFrame, keep: str = "largest", memtable: int = MEMTABLE) -> DataFrame:
@@ -134,14 +135,14 @@ def _grouped(found: DataFrame, keep: str, index: str) -> tuple[DataFrame, DataFr
     own = F.col("keep_row").isNull()
     # the copies of a hot text are one side's rows, which Spark splits; the other side has one row for them
     grouped = found.join(hits, "digest", "left").select(
-        "row", "doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"),
+        "row", "rid", "doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"),
         (own | (F.col("row") == F.col("keep_row"))).alias("kept"), "digest", "second",
     )
     return grouped, hits.select("digest")
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest", index: str | None = None, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
-    """One row per document: (doc_id, keep_id, group_size, kept, digest).
+    """One row per document: (rid, doc_id, keep_id, group_size, kept, digest).
 
     ``keep``: 'largest' or 'smallest' identifier of equal texts stays. ``index``: folder of the
     runs; a new one in the shared folder unless given. A digest whose texts turn out to differ is
