@@ -22,7 +22,9 @@ from millrace.llm import common as C
 from millrace.llm.pretokens import pretoken_spans
 
 #: Pre-tokens whose ids a worker keeps; it starts anew when they are more.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 250_000
+#: Bytes that a worker looks at together.
+STEP = 1 << 20
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -198,7 +200,7 @@ class Encoder:
     def encode(self, column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Row range, ids of these rows end to end, ids in each row."""
         data, offsets = C.bytes_of(column)
-        for i, j in C.steps(offsets):
+        for i, j in C.steps(offsets, STEP):
             part = data[offsets[i] : offsets[j]]
             off = offsets[i : j + 1] - offsets[i]
             raw = part.tobytes()
@@ -247,7 +249,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         begin = np.cumsum(size) - size
         for batch in batches:
             raw, offsets = _binary(batch.column("ids"))
-            for i, j in C.steps(offsets, 4 * C.STEP_BYTES):
+            for i, j in C.steps(offsets, STEP):
                 ids = np.frombuffer(raw[offsets[i] : offsets[j]], "<u4")
                 n = size[ids]
                 upto = np.concatenate([[0], np.cumsum(n)])
