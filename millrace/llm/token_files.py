@@ -31,6 +31,8 @@ from millrace.llm import common as C
 SEGMENT_IDS = 4_000_000
 BLOCK_IDS = 1 << 18
 LANES = 1024
+#: Pre-tokens whose ids a worker keeps.
+CACHE_ENTRIES = 700_000
 #: Offsets of so many segments are broadcast at most.
 BROADCAST_SEGMENTS = 1_000_000
 MAGIC = b"MRANS1\0\0"
@@ -169,7 +171,7 @@ def library_encoder(path: str) -> bpe.Encoder:
         def ids(pieces: list[bytes]) -> list[list[int]]:
             return [e.ids for e in t.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
 
-        _library[path] = bpe.Encoder(special, ids)
+        _library[path] = bpe.Encoder(special, ids, CACHE_ENTRIES)
     return _library[path]
 
 
