@@ -6,23 +6,10 @@ costs a re-read, not a replay.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:  # one machine, as in tests
-        root = getattr(spark, "_millrace_graphs", None)
-        if root is None:
-            root = spark._millrace_graphs = tempfile.mkdtemp(prefix="spark-millrace-")
-    path = f"{root.rstrip('/')}/millrace/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from millrace.sources.scratch import written as _written
 
 
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:

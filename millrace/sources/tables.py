@@ -60,7 +60,11 @@ REPORT = f"units array<struct<name:string,functions:array<{_FUNCTION}>,metadata:
 
 def report_functions(spark: SparkSession, path: str) -> DataFrame:
     """(unit, source, name, address, size, score, exact) of progress reports; numbers come as decimal strings, no score means 0."""
-    report = spark.read.schema(REPORT).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return flatten_report(spark.read.schema(REPORT).option("multiLine", True).option("mode", "FAILFAST").json(path))
+
+
+def flatten_report(report: DataFrame) -> DataFrame:
+    """The same of report rows (units)."""
     each = report.select(F.explode("units").alias("u")).select("u.name", "u.metadata.source_path", F.explode("u.functions").alias("f"))
     score = F.coalesce("f.fuzzy_match_percent", F.lit(0.0))
     return each.select(F.col("name").alias("unit"), F.col("source_path").alias("source"), F.col("f.name").alias("name"), X.address(F.col("f.metadata.virtual_address")).alias("address"), F.col("f.size").cast("long").alias("size"), score.alias("score"), (score == 100).alias("exact"))
