@@ -66,14 +66,15 @@ def templates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = lines(rows).join(_small(leaves), "leaf", "left_semi")
     distinct = texts.groupBy("line").agg(F.min("leaf").alias("leaf"), F.min("tokens").alias("tokens"), F.count(F.lit(1)).alias("times"))
     distinct = C.materialise(distinct, "distinct")
-    # a line counts as often as it occurs, up to MIN_DOCS: one document alone can't make a template recur
-    placed = distinct.select("leaf", "line", F.least("times", F.lit(MIN_DOCS)).alias("times"), F.posexplode("tokens").alias("at", "word")).withColumn("word", F.xxhash64("word"))
-    constant = placed.groupBy("leaf", "at", "word").agg(F.sum("times").alias("times")).where(F.col("times") >= MIN_DOCS).select("leaf", "at", "word")
-    kept = placed.join(constant, ["leaf", "at", "word"])
-    kept = kept.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("constants"))
+    # a line counts as often as it occurs, up to MIN_DOCS: one document alone can't make a template recur.
+    # A token at its place in a leaf is one hash, its slot; the leading tokens are constant by the leaf's making
+    placed = distinct.select("line", "leaf", F.least("times", F.lit(MIN_DOCS)).alias("times"), F.posexplode(F.slice("tokens", LEADING + 1, F.greatest(F.size("tokens") - LEADING, F.lit(0)))).alias("at", "word"))
+    placed = placed.select("line", "times", F.xxhash64("leaf", "at", "word").alias("slot"))
+    constant = placed.groupBy("slot").agg(F.sum("times").alias("times")).where(F.col("times") >= MIN_DOCS).select("slot")
+    kept = placed.select("slot", "line").join(constant, "slot").groupBy("line").agg(F.sort_array(F.collect_list("slot")).alias("constants"))
     named = distinct.select("line", "leaf", F.size("tokens").alias("n")).join(kept, "line", "left")
-    enough = F.coalesce(F.size("constants"), F.lit(0)) >= F.lit(ALIKE) * F.col("n")
-    template = F.when(enough, F.xxhash64("leaf", F.col("constants"))).otherwise(F.xxhash64("leaf", "line"))
+    enough = LEADING + F.coalesce(F.size("constants"), F.lit(0)) >= F.lit(ALIKE) * F.col("n")
+    template = F.when(enough, F.xxhash64("leaf", F.coalesce("constants", F.array().cast("array<long>")))).otherwise(F.xxhash64("leaf", "line"))
     return found, C.materialise(named.select("line", template.alias("template")), "templates")
 
 
