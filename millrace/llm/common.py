@@ -48,6 +48,22 @@ def bounded_broadcast(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows of highest count, at most ``limit`` of them: those above a count that a histogram of magnitudes gives.
+
+    No task sees more than its own rows: a sort with a limit would bring ``limit`` rows of every task together.
+    """
+    size = F.floor(F.log2(count) * 16).cast("int")
+    sizes = sorted(((r.size, r.n) for r in df.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, total = 1 << 30, 0
+    for s, n in sizes:
+        total += n
+        if total > limit:
+            break
+        least = s
+    return df.where(size >= least)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
     return df.mapInArrow(fn, ddl)
 

@@ -5,7 +5,7 @@ across the start of such a run of spaces (checked when the model is loaded), so
 text are those of its pre-tokens. Pieces are counted once per distinct pre-token, in a table of
 (pre-token hash, pieces); the documents' frequencies join it and are summed.
 
-The join is heavy-light. The ``HEAD`` most frequent pre-tokens, a fixed number, are broadcast with
+The join is heavy-light. The most frequent pre-tokens, at most ``HEAD`` of them, are broadcast with
 their counts, and a document's head frequencies are summed where they are read. Every other
 pre-token of a document becomes a row (document, hash, frequency) and joins the rest of the table
 by a shuffle. A hot word is thus in the head, and nothing that grows is broadcast.
@@ -124,7 +124,7 @@ def token_counts(docs: DataFrame, path: str | None = None, head: int = HEAD) ->
     # a row keeps its own identity through the join, whatever its id is
     rows = C.id_and_text(docs)
     vocabulary = C.materialise(vocabulary_counts(rows, path), "pieces")
-    top = vocabulary.orderBy(F.desc("n"), "hash").limit(head).select("hash", "pieces").toArrow()
+    top = C.most_frequent(vocabulary, "n", head).select("hash", "pieces").toArrow()
     hashes = top.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     known = spark.sparkContext.broadcast((hashes[order], top.column("pieces").to_numpy()[order]))
