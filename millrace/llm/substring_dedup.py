@@ -169,6 +169,7 @@ def removed_spans(rows: DataFrame, window: int) -> DataFrame:
     where = F.broadcast(found) if total <= BROADCAST_SPANS else found
     spans = C.materialise(sequences(rows.join(where, "rid"), window), "sequences")
     earliest = spans.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    earliest = C.materialise(earliest, "earliest")  # so that the join has two plain shuffles, of which Spark can split the larger
     later = spans.join(earliest, ["h1", "h2", "size"]).where("doc_id > first_doc")
     later = later.select("rid", F.struct("start", (F.col("start") + F.col("times") - 1 + F.col("size")).alias("end")).alias("span"))
     return later.groupBy("rid").agg(F.sort_array(F.collect_set("span")).alias("removed"))
