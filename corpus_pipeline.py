@@ -19,9 +19,8 @@ ORACLE_SQL = None
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that no language's model accepts (and those without letters)."""
     model = language_id.train(docs.select("doc_id", "text", "lang"), C.train_side())
-    whole = docs.select("text", F.struct(*docs.columns).alias("original"))
-    named = language_id.identify(whole, model)
-    return named.where(~F.col("rejected")).select("original.*")
+    named = language_id.identify(docs, model, prefix="__")
+    return named.where(~F.col("__rejected")).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text): the ids and the text they decode to."""
-    return bpe.decode(bpe.encode(docs))
+    return bpe.encode_and_decode(docs)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from millrace.llm import common as C
 from millrace.llm.pretokens import pretoken_spans
 
-#: Pre-tokens whose ids a worker keeps; it starts anew when they are more.
+#: Pre-tokens whose ids a worker keeps; when they are more, those that came back stay.
 CACHE_ENTRIES = 250_000
 #: Bytes that a worker looks at together.
 STEP = 1 << 20
@@ -136,6 +136,7 @@ class Encoder:
         self.slot: dict[int, int] = {}
         self.begin = np.zeros(1 << 12, np.int64)
         self.count = np.zeros(1 << 12, np.int64)
+        self.seen = np.zeros(1 << 12, np.int64)  # steps that had the pre-token
         self.pool = np.zeros(1 << 14, np.uint32)
         self.used = 0
 
@@ -145,15 +146,34 @@ class Encoder:
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))
         n = len(self.slot)
         while n + len(pieces) > len(self.begin):
-            self.begin, self.count = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.count, 2 * len(self.count))
+            self.begin, self.count, self.seen = (np.resize(x, 2 * len(x)) for x in (self.begin, self.count, self.seen))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         self.pool[self.used : self.used + len(flat)] = flat
         self.begin[n : n + len(pieces)] = self.used + np.cumsum(counts) - counts
         self.count[n : n + len(pieces)] = counts
+        self.seen[n : n + len(pieces)] = 0
         self.used += len(flat)
         self.slot.update(zip(hashes, range(n, n + len(pieces))))
 
+    def _shrink(self) -> None:
+        """Keep the pre-tokens of more than one step, at most half of what may be kept."""
+        n = len(self.slot)
+        seen = self.seen[:n]
+        keep = np.flatnonzero(seen > 1)
+        if len(keep) > self.entries // 2:
+            keep = np.argsort(-seen, kind="stable")[: self.entries // 2]
+        keys = np.fromiter(self.slot, np.uint64, n)[keep].tolist()  # in the order of their slots
+        counts, seen = self.count[keep], seen[keep] // 2
+        ends = np.cumsum(counts)
+        pool = self.pool[np.repeat(self.begin[keep] - (ends - counts), counts) + np.arange(int(counts.sum()))]
+        self.clear()
+        while max(len(keys), 1) > len(self.begin):
+            self.begin, self.count, self.seen = (np.resize(x, 2 * len(x)) for x in (self.begin, self.count, self.seen))
+        self.slot = dict(zip(keys, range(len(keys))))
+        self.begin[: len(keys)], self.count[: len(keys)], self.seen[: len(keys)] = ends - counts, counts, seen
+        self.pool, self.used = np.concatenate([pool, np.zeros(1 << 14, np.uint32)]), len(pool)
+
     def _scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, first = pretoken_spans(data, offsets)
         if len(starts) == 0:
@@ -162,7 +182,7 @@ class Encoder:
         hashes = C.span_hashes(data, starts, ends)
         distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.slot) + len(distinct) > self.entries:
-            self.clear()
+            self._shrink()
         keys = distinct.tolist()
         slots = np.fromiter((self.slot.get(k, -1) for k in keys), np.int64, len(keys))
         new = np.flatnonzero(slots < 0)
@@ -171,6 +191,7 @@ class Encoder:
             at = where[new]
             self._add([keys[i] for i in new.tolist()], [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
             slots[new] = np.arange(len(self.slot) - len(new), len(self.slot))
+        self.seen[slots] += 1
         slots = slots[back]
         counts = self.count[slots]
         ids = self.pool[np.repeat(self.begin[slots] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
@@ -212,7 +233,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
-_tables: dict[str, list[bytes]] = {}
+_decoders: dict = {}
 
 
 def tree_encoder(path: str) -> Encoder:
@@ -236,32 +257,59 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return C.map_arrow(C.id_and_text(docs), run, "doc_id long, n_tokens long, ids binary")
 
 
+class Decoder:
+    """Decodes runs of ids."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.pool = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.begin = np.cumsum(self.size) - self.size
+
+    def texts(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of ids laid end to end, counts[i] of them in row i; bytes that are no UTF-8 become U+FFFD."""
+        n = self.size[ids]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        out = self.pool[np.repeat(self.begin[ids] - upto[:-1], n) + np.arange(int(upto[-1]))]
+        ends = upto[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        text = out.tobytes()
+        return [text[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _decoder(path: str) -> Decoder:
+    if path not in _decoders:
+        _decoders[path] = Decoder(Vocabulary(path).token_bytes)
+    return _decoders[path]
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids, text); bytes that are no UTF-8 decode to U+FFFD."""
+    """Rows (doc_id, n_tokens, ids, text)."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _tables:
-            _tables[path] = Vocabulary(path).token_bytes
-        tokens = _tables[path]
-        pool = np.frombuffer(b"".join(tokens), np.uint8)
-        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        begin = np.cumsum(size) - size
+        decoder = _decoder(path)
         for batch in batches:
             raw, offsets = _binary(batch.column("ids"))
             for i, j in C.steps(offsets, STEP):
-                ids = np.frombuffer(raw[offsets[i] : offsets[j]], "<u4")
-                n = size[ids]
-                upto = np.concatenate([[0], np.cumsum(n)])
-                out = pool[np.repeat(begin[ids] - upto[:-1], n) + np.arange(int(upto[-1]))]
-                ends = upto[(offsets[i : j + 1] - offsets[i]) // 4].tolist()
-                text = out.tobytes()
-                texts = [text[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+                texts = decoder.texts(np.frombuffer(raw[offsets[i] : offsets[j]], "<u4"), np.diff(offsets[i : j + 1]) // 4)
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i) for k in range(3)] + [pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "text"])
 
     return C.map_arrow(encoded.select("doc_id", "n_tokens", "ids"), run, "doc_id long, n_tokens long, ids binary, text string")
 
 
+def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of decode(encode(docs)) from one Python worker a task instead of two."""
+    path = path or vocabulary_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = tree_encoder(path), _decoder(path)
+        for batch in batches:
+            for i, j, ids, counts in encoder.encode(batch.column("text")):
+                columns = [batch.column("doc_id").slice(i, j - i), pa.array(counts), C.binary_column(ids.astype("<u4", copy=False), counts), pa.array(decoder.texts(ids, counts), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "text"])
+
+    return C.map_arrow(C.id_and_text(docs), run, "doc_id long, n_tokens long, ids binary, text string")
+
+
 def _binary(column) -> tuple[bytes, np.ndarray]:
     column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()

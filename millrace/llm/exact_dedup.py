@@ -35,6 +35,13 @@ def normalise(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about a step's bytes, so that few texts are Python objects at a time."""
+    _, offsets = C.bytes_of(batch.column("text"))
+    for i, j in C.steps(offsets):
+        yield batch.slice(i, j - i)
+
+
 def sha256(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()
 
@@ -44,9 +51,10 @@ def digests(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [normalise(t) for t in batch.column("text").to_pylist()]
-            second = [hashlib.blake2b(t, digest_size=12).digest() for t in found]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array([digest(t) for t in found], pa.binary()), pa.array(second, pa.binary())], ["rid", "doc_id", "digest", "second"])
+            for part in _parts(batch):
+                found = [normalise(t) for t in part.column("text").to_pylist()]
+                second = [hashlib.blake2b(t, digest_size=12).digest() for t in found]
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array([digest(t) for t in found], pa.binary()), pa.array(second, pa.binary())], ["rid", "doc_id", "digest", "second"])
 
     rows = C.id_and_text(docs).withColumn("rid", F.xxhash64("doc_id", "text"))
     return C.map_arrow(rows, run, "rid long, doc_id long, digest binary, second binary").withColumn("row", F.monotonically_increasing_id())
@@ -104,15 +112,15 @@ def lookup(spark: SparkSession, index: str, digest_rows: DataFrame) -> DataFrame
     return spark.read.parquet(index).join(digest_rows.select("digest").distinct(), "digest", "left_semi")
 
 
-def representatives(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256, held_bytes: int = 32 << 20) -> DataFrame:
+def representatives(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256, held_bytes: int = 16 << 20) -> DataFrame:
     """Rows (digest, norm): of each task's equal texts one, compared here byte for byte, and any that differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, bytes] = {}
         size = 0
-        for batch in batches:
+        for part in (p for batch in batches for p in _parts(batch)):
             out: list[tuple[bytes, bytes]] = []
-            for t in batch.column("text").to_pylist():
+            for t in part.column("text").to_pylist():
                 norm = normalise(t)
                 key = digest(norm)
                 got = held.get(key)

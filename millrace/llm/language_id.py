@@ -32,6 +32,8 @@ ORDER = 4
 #: Labelled documents per language that the counts are taken from, and that calibration sees.
 SAMPLE, CALIBRATION = 2000, 500
 UNKNOWN = "und"
+#: Bytes of text that are looked up together.
+STEP = 1 << 19
 #: A text is rejected beyond this many standard errors, and this many nats, above calibration's mean.
 ERRORS, NATS = 8.0, 1.0
 
@@ -262,20 +264,24 @@ def calibrate(models: KneserNey, rows: DataFrame) -> Model:
     return Model(models, min(loss, key=loss.get), mean, deviation)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with lang_pred, score, entropy and rejected added (columns of these names are replaced)."""
-    added = ["lang_pred", "score", "entropy", "rejected"]
+def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """The rows of ``docs`` with lang_pred, score, entropy and rejected added, under names with ``prefix`` before them.
+
+    Columns of ``docs`` that have one of these names are replaced; a prefix keeps them.
+    """
+    added = [prefix + c for c in ("lang_pred", "score", "entropy", "rejected")]
     docs = docs.drop(*added)
     known = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema += "".join(f", `{c}` {t}" for c, t in zip(added, ("string", "double", "double", "boolean")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = C.bytes_of(batch.column("text"))
-            for i, j in C.steps(offsets, C.STEP_BYTES // 2):
+            for i, j in C.steps(offsets, STEP):
                 part = batch.slice(i, j - i)
                 names, score, entropy, rejected = known.value.predict([t or "" for t in part.column("text").to_pylist()])
                 columns = [*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *added])
 
-    return C.map_arrow(docs, run, f"{schema}, lang_pred string, score double, entropy double, rejected boolean")
+    return C.map_arrow(docs, run, schema)

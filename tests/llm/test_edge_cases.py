@@ -89,6 +89,22 @@ def test_encoder_equals_library_on_odd_texts():
     assert out == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_encode_and_decode_in_one(spark):
+    docs = make(spark, ODD)
+    two, one = (sorted(tuple(r) for r in f.collect()) for f in (bpe.decode(bpe.encode(docs)), bpe.encode_and_decode(docs)))
+    assert one == two and [r[3] for r in one] == [t or "" for t in ODD]
+
+
+def test_cache_that_shrinks_gives_the_same_ids():
+    v = bpe.Vocabulary(bpe.vocabulary_path())
+    small = bpe.Encoder(v.special, lambda pieces: [bpe.merge(p, v) for p in pieces], entries=60)
+    texts = [words(40, i % 7) for i in range(30)]
+    for t in texts:
+        (_, _, ids, _), = small.encode(pa.array([t]))
+        (_, _, want, _), = bpe.tree_encoder(bpe.vocabulary_path()).encode(pa.array([t]))
+        assert ids.tolist() == want.tolist()
+
+
 def test_pretokens_cover_the_text():
     data = np.frombuffer("it's  a\n\n test".encode(), np.uint8)
     s, _ = pretoken_spans(data, np.array([0, len(data)]))
