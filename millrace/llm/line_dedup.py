@@ -12,8 +12,8 @@ distinct line, and only for leaves that occur in enough documents to matter. Cou
 are of distinct pairs, so a leaf or line that a third of all lines share is folded in each task
 before it is shuffled.
 
-Defined cases: null and empty texts have no lines; lines of fewer than ``MIN_TOKENS`` tokens are
-always kept; equal rows (same id and text) count as one document; other columns are not read.
+Defined cases: null and empty texts have no lines; blank lines are always kept; a line of no more
+than ``LEADING`` tokens has no places after them and is its own template; equal rows (same id and text) count as one document; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 
-LEADING, MIN_TOKENS, MIN_DOCS, ALIKE = 2, 3, 3, 0.6
+LEADING, MIN_DOCS, ALIKE = 2, 3, 0.6
 FIELD = "<*>"
 #: Rows of hashes (some 16 bytes each) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -42,10 +42,10 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def lines(rows: DataFrame) -> DataFrame:
-    """(rid, pos, tokens, leaf, line): one row per line of enough tokens; leaf and line are hashes."""
+    """(rid, pos, tokens, leaf, line): one row per line that is not blank; leaf and line are hashes."""
     each = rows.where("text <> ''").select("rid", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    each = each.select("rid", "pos", _tokens(F.col("raw")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    leaf = F.xxhash64(F.size("tokens"), *(F.element_at("tokens", k + 1) for k in range(LEADING)))
+    each = each.select("rid", "pos", _tokens(F.col("raw")).alias("tokens")).where(F.size("tokens") > 0)
+    leaf = F.xxhash64(F.size("tokens"), *(F.get("tokens", F.lit(k)) for k in range(LEADING)))
     return each.select("rid", "pos", "tokens", leaf.alias("leaf"), F.xxhash64("tokens").alias("line"))
 
 
@@ -73,7 +73,7 @@ def templates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     constant = placed.groupBy("slot").agg(F.sum("times").alias("times")).where(F.col("times") >= MIN_DOCS).select("slot")
     kept = placed.select("slot", "line").join(constant, "slot").groupBy("line").agg(F.sort_array(F.collect_list("slot")).alias("constants"))
     named = distinct.select("line", "leaf", F.size("tokens").alias("n")).join(kept, "line", "left")
-    enough = LEADING + F.coalesce(F.size("constants"), F.lit(0)) >= F.lit(ALIKE) * F.col("n")
+    enough = (F.col("n") > LEADING) & (LEADING + F.coalesce(F.size("constants"), F.lit(0)) >= F.lit(ALIKE) * F.col("n"))
     template = F.when(enough, F.xxhash64("leaf", F.coalesce("constants", F.array().cast("array<long>")))).otherwise(F.xxhash64("leaf", "line"))
     return found, C.materialise(named.select("line", template.alias("template")), "templates")
 
