@@ -3,7 +3,8 @@
 The tree has a fixed depth: a line goes down by its number of tokens, then by its ``LEADING``
 first tokens (a token with a digit is the field ``<*>``). In a leaf, a token is constant at its
 place if at least ``MIN_DOCS`` of the leaf's distinct lines or documents have it there; all other
-places are fields. A line whose constant places are at least ``ALIKE`` of its tokens has that
+places are fields. The leading tokens are constant by the leaf's making and say nothing: a line with
+a constant place after them, and at least ``ALIKE`` of the places after them constant, has that
 generalised template; any other line is its own template, with its fields masked. Templates found
 in at least ``MIN_DOCS`` documents recur, and their lines are dropped from every document.
 
@@ -13,7 +14,8 @@ are of distinct pairs, so a leaf or line that a third of all lines share is fold
 before it is shuffled.
 
 Defined cases: null and empty texts have no lines; blank lines are always kept; a line of no more
-than ``LEADING`` tokens has no places after them and is its own template; equal rows (same id and text) count as one document; other columns are not read.
+than ``LEADING`` tokens has no places after them and is its own template; equal rows (same id and
+text) count as one document; other columns are not read.
 """
 
 from __future__ import annotations
@@ -73,8 +75,9 @@ def templates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     constant = placed.groupBy("slot").agg(F.sum("times").alias("times")).where(F.col("times") >= MIN_DOCS).select("slot")
     kept = placed.select("slot", "line").join(constant, "slot").groupBy("line").agg(F.sort_array(F.collect_list("slot")).alias("constants"))
     named = distinct.select("line", "leaf", F.size("tokens").alias("n")).join(kept, "line", "left")
-    enough = (F.col("n") > LEADING) & (LEADING + F.coalesce(F.size("constants"), F.lit(0)) >= F.lit(ALIKE) * F.col("n"))
-    template = F.when(enough, F.xxhash64("leaf", F.coalesce("constants", F.array().cast("array<long>")))).otherwise(F.xxhash64("leaf", "line"))
+    # null for a line without constants, which is then its own template
+    enough = F.size("constants") >= F.lit(ALIKE) * (F.col("n") - LEADING)
+    template = F.when(F.col("constants").isNotNull() & enough, F.xxhash64("leaf", "constants")).otherwise(F.xxhash64("leaf", "line"))
     return found, C.materialise(named.select("line", template.alias("template")), "templates")
 
 

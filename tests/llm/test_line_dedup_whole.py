@@ -17,3 +17,14 @@ def test_short_lines_recur(spark):
         assert got[i] == (7, 3, f" \t\n\nown{chr(97 + i)}\nOwn {chr(97 + i)}")
     assert got[3] == (2, 0, "Read less\nMore")
     assert got[4] == got[5] == (1, 0, "twice only")
+
+
+def test_a_common_beginning_is_no_template(spark):
+    texts = ["Of the anshin.", "Of the therwhre.", "Of the atealy.", "We saw a cat there", "We saw one dog there", "We saw his new car"]
+    got = dedup(spark, texts)
+    assert all(got[i] == (1, 0, t) for i, t in enumerate(texts))
+
+
+def test_enough_places_after_the_beginning_are_a_template(spark):
+    texts = [f"Of the {w} at 1{i} noon today" for i, w in enumerate(["ann", "bob", "cyd"])]
+    assert all(x == (1, 1, "") for x in dedup(spark, texts).values())
