@@ -35,9 +35,10 @@ def code_differences(spark, d):
 
 @query("code_agreement")
 def code_agreement(spark, d):
-    """The strictest level at which each customer's two arrays, cut to the first two instructions, agree."""
-    pairs = instructions(spark, d).select("o_custkey", F.slice("ours", 1, 2).alias("ours"), F.slice("theirs", 1, 2).alias("theirs"))
-    return code.agreement(pairs, "o_custkey").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    """The strictest level at which each customer's two arrays agree, with consistent renamings and differing stretches."""
+    c = code.classified(instructions(spark, d), "o_custkey")
+    total = lambda name: F.sum(F.coalesce(name, F.lit(0)))
+    return c.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count("renaming").alias("n_renamed"), total("stretches").alias("n_stretches"), total("instructions").alias("n_instructions"))
 
 
 _I = """i as (select o_custkey, o_orderkey as k, (['mov', 'add', 'cmp', 'jl', 'jge', 'call', 'nop'])[cast(left(o_orderpriority, 1) as int) + o_orderkey % 3] as m, (['rax', 'rbx', 'rsp', 'xmm0'])[o_orderkey % 4 + 1] as reg from orders)"""
