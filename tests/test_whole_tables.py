@@ -18,3 +18,11 @@ def test_fixpoint_components_of_all_lines(spark, tmp_path):
     assert 1 < len(set(label.values())) < len(label)
     got = {x.node: x.label for x in catalog.QUERIES["fixpoint_components"](spark, str(tmp_path)).collect()}
     assert got == label
+
+
+def test_align_documents_to_their_end(spark, tmp_path):
+    n = 1_000_000
+    text = " ".join(map(str, range(n)))
+    spark.createDataFrame([(1, text + " a b"), (2, text + " a c d")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(x.doc_id, x.n_equal, x.n_replaced, x.n_deleted, x.n_inserted, x.first_difference) for x in catalog.QUERIES["align_documents"](spark, str(tmp_path)).collect()]
+    assert got == [(1, n + 1, 2, 0, 0, n + 1)]
