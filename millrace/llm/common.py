@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is set (tests, one machine)."""
+    """The shared folder of the cluster; one of our own only on one machine where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = getattr(spark, "_millrace_dir", None)
         if root is None:
             root = spark._millrace_dir = tempfile.mkdtemp(prefix="spark-millrace-")
@@ -34,15 +37,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    spark._millrace_tables = [*getattr(spark, "_millrace_tables", ()), path]
+    return path
+
+
+def clear(spark: SparkSession, keep: Sequence[str] = ()) -> None:
+    """Remove the tables that this session's operators wrote, less those at the paths to keep. Frames that read them can't be used any more."""
+    keep = set(keep)
+    for path in getattr(spark, "_millrace_tables", ()):
+        if path not in keep:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark._millrace_tables = [p for p in getattr(spark, "_millrace_tables", ()) if p in keep]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back with the same schema."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    return written(df, scratch_path(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
@@ -63,7 +80,11 @@ def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
         if total > limit:
             break
         least = s
-    return df.where(size >= least)
+    kept = df.where(size >= least)
+    if sizes and limit and least > sizes[0][0]:  # those of the highest magnitude alone are too many: a fixed part of them, by hash
+        share = max(1, (1 << 20) * limit // sizes[0][1] * 9 // 10)
+        kept = df.where((size == sizes[0][0]) & (F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20)) < share)).limit(limit)
+    return kept
 
 
 def _release() -> None:
@@ -88,6 +109,27 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+#: Columns that name a row by its id and text; never null.
+KEY = ["did", "rid"]
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_and_text`` with KEY: the id (0 for none) and a hash of the text and of whether there is an id. Only rows of one id can collide."""
+    rows = id_and_text(docs, id_col, text_col)
+    return rows.select("doc_id", "text", *[c.alias(n) for c, n in zip(keyed_columns(), KEY)])
+
+
+def keyed_columns() -> tuple[Column, Column]:
+    """The values of KEY, from a table's own ``doc_id`` and ``text``."""
+    doc_id = F.col("doc_id").cast("long")
+    return F.coalesce(doc_id, F.lit(0)), F.xxhash64(doc_id.isNull(), F.coalesce("text", F.lit("")))
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """The columns of these names, whatever characters they hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def train_side(id_col: str = "doc_id"):
     """True for rows a model may learn from: crc32 of the id as text, modulo 4, is not 2."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2
@@ -117,30 +159,6 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, i
         i = min(j, n)
 
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    got = _POWERS.get(base)
-    if got is None or len(got[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.ones(size, np.uint64)
-            done = 1
-            while done < size:  # doubling
-                p[done : 2 * done] = p[:done] * np.uint64(pow(b, done, 1 << 64))
-                done *= 2
-            both.append(p)
-        got = _POWERS[base] = (both[0], both[1])
-        if size > 1 << 22:  # of a very long text: not kept
-            del _POWERS[base]
-    return got
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser over 64 bits."""
     h = h ^ (h >> np.uint64(30))
@@ -150,15 +168,76 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """64-bit hashes of values[s:e] for every span, equal where contents and lengths are equal."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(values) + 1, base)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Masks that keep the first k bytes of a little-endian word of 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_STEP = np.uint64(0x9FB21C651E98DF25)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
+#: Longer spans are hashed or compared one by one, by library code.
+LONG_SPAN = 512
+
+
+def words_of_eight(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place of ``data`` as one little-endian word (zeros beyond its end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes data[s:e] of every span: eight bytes at a time are mixed in, one after the other.
+
+    Every step is a bijection of what came before, so no pattern of contents cancels out. Spans of
+    equal hash are still to be compared where equality decides a result.
+    """
+    size = ends - starts
+    eight = words_of_eight(data)
+    h = mix(eight[starts] & _FIRST[np.minimum(size, 8)]) ^ size.astype(np.uint64) * _LENGTH
+    at, more = 8, np.flatnonzero((size > 8) & (size <= LONG_SPAN))
+    while len(more):
+        left = size[more] - at
+        place = starts[more] + np.minimum(at, size[more] - 8)  # the last word ends where the span does
+        h[more] = mix(h[more] * _STEP + eight[place])
+        at, more = at + 8, more[left > 8]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return mix(h)
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Are the bytes of every span i those of span other[i]?"""
+    size = ends - starts
+    if not (size == size[other]).all():
+        return False
+    eight = words_of_eight(data)
+    there = starts[other]
+    if not ((eight[starts] ^ eight[there]) & _FIRST[np.minimum(size, 8)] == 0).all():
+        return False
+    at, more = 8, np.flatnonzero((size > 8) & (size <= LONG_SPAN))
+    while len(more):
+        step = np.minimum(at, size[more] - 8)
+        if not (eight[starts[more] + step] == eight[there[more] + step]).all():
+            return False
+        at, more = at + 8, more[size[more] - at > 8]
+    return all(np.array_equal(data[starts[i] : ends[i]], data[there[i] : there[i] + size[i]]) for i in np.flatnonzero(size > LONG_SPAN).tolist())
+
+
+def sequence_hashes(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray | int, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of the entries h[s:s + size] (themselves hashes): each is multiplied by an odd number of its place, and the sum is mixed."""
+    sizes = np.broadcast_to(sizes, len(starts))
+    out = mix(sizes.astype(np.uint64) + np.uint64(salt))
+    most = int(sizes.max()) if len(sizes) else 0
+    factors = mix(np.arange(1, most + 1, dtype=np.uint64) * _STEP + np.uint64(salt)) | np.uint64(1)
+    whole = int(sizes.min()) if len(sizes) else 0
+    run = len(starts) > 1 and whole == most and bool((np.diff(starts) == 1).all())  # of every place on: no gathering
+    for j in range(most):
+        if run:
+            out += h[starts[0] + j : starts[0] + j + len(starts)] * factors[j]
+        elif j < whole:
+            out += h[starts + j] * factors[j]
+        else:
+            more = np.flatnonzero(sizes > j)
+            out[more] += h[starts[more] + j] * factors[j]
+    return mix(out)
 
 
 #: Word bytes of the pattern [^\x20\x09-\x0D]+ (separators are ASCII, so bytes decide).
