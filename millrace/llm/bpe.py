@@ -5,8 +5,9 @@ yet with a segment tree over the ranks of its adjacent pairs, and lays the ids e
 ``decode`` joins the bytes of the ids. Both are map-only: no shuffle, memory bounded by a batch
 step and by the ``CACHE_ENTRIES`` pre-tokens that a worker keeps.
 
-Defined cases: a null or empty text has no ids; equal rows give equal results; only ``doc_id``
-and ``text`` are read, so other columns may have any name.
+Defined cases: a null or empty text has no ids; equal rows give equal results; null and repeated ids
+are passed on as they are; a very long text or word is encoded whole; an empty table gives an empty
+one; only ``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -123,8 +124,22 @@ def merge(piece: bytes, vocabulary: Vocabulary) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that stand for all distinct contents, and for each span which of them it equals."""
+    _, where, back = np.unique(C.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    if C.same_spans(data, starts, ends, where[back]):
+        return where, back
+    of: dict[bytes, int] = {}  # two contents of one hash
+    back = np.array([of.setdefault(data[s:e].tobytes(), len(of)) for s, e in zip(starts.tolist(), ends.tolist())])
+    return np.unique(back, return_index=True)[1], back
+
+
 class Encoder:
-    """Encodes batches of texts; ``piece_ids`` gives the ids of pre-tokens that are not in the cache."""
+    """Encodes batches of texts; ``pieces_ids`` gives the ids of pre-tokens that are not in the cache.
+
+    The cache's keys are the pre-tokens' bytes. Within a step, pre-tokens are brought together by a
+    hash and then compared byte for byte with the one that stands for them.
+    """
 
     def __init__(self, special: dict[str, int], pieces_ids: Callable[[list[bytes]], list[list[int]]], entries: int = CACHE_ENTRIES) -> None:
         self.special = {k.encode(): v for k, v in special.items()}
@@ -133,14 +148,14 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.begin = np.zeros(1 << 12, np.int64)
         self.count = np.zeros(1 << 12, np.int64)
         self.seen = np.zeros(1 << 12, np.int64)  # steps that had the pre-token
         self.pool = np.zeros(1 << 14, np.uint32)
         self.used = 0
 
-    def _add(self, hashes: list[int], pieces: list[bytes]) -> None:
+    def _add(self, pieces: list[bytes]) -> None:
         found = self.pieces_ids(pieces)
         counts = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))
@@ -154,7 +169,7 @@ class Encoder:
         self.count[n : n + len(pieces)] = counts
         self.seen[n : n + len(pieces)] = 0
         self.used += len(flat)
-        self.slot.update(zip(hashes, range(n, n + len(pieces))))
+        self.slot.update(zip(pieces, range(n, n + len(pieces))))
 
     def _shrink(self) -> None:
         """Keep the pre-tokens of more than one step, at most half of what may be kept."""
@@ -163,7 +178,8 @@ class Encoder:
         keep = np.flatnonzero(seen > 1)
         if len(keep) > self.entries // 2:
             keep = np.argsort(-seen, kind="stable")[: self.entries // 2]
-        keys = np.fromiter(self.slot, np.uint64, n)[keep].tolist()  # in the order of their slots
+        pieces = list(self.slot)  # in the order of their slots
+        keys = [pieces[i] for i in keep.tolist()]
         counts, seen = self.count[keep], seen[keep] // 2
         ends = np.cumsum(counts)
         pool = self.pool[np.repeat(self.begin[keep] - (ends - counts), counts) + np.arange(int(counts.sum()))]
@@ -179,17 +195,15 @@ class Encoder:
         if len(starts) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         ends = np.append(starts[1:], len(data))
-        hashes = C.span_hashes(data, starts, ends)
-        distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.slot) + len(distinct) > self.entries:
+        where, back = _distinct(data, starts, ends)
+        if len(self.slot) + len(where) > self.entries:
             self._shrink()
-        keys = distinct.tolist()
+        raw = data.tobytes()
+        keys = [raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist())]
         slots = np.fromiter((self.slot.get(k, -1) for k in keys), np.int64, len(keys))
         new = np.flatnonzero(slots < 0)
         if len(new):
-            raw = data.tobytes()
-            at = where[new]
-            self._add([keys[i] for i in new.tolist()], [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+            self._add([keys[i] for i in new.tolist()])
             slots[new] = np.arange(len(self.slot) - len(new), len(self.slot))
         self.seen[slots] += 1
         slots = slots[back]
