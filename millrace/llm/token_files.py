@@ -3,14 +3,17 @@
 A file row is one segment: documents in ascending id order, about ``SEGMENT_IDS`` ids, coded
 with a static range asymmetric numeral system. All blocks of a segment share its frequency
 table; a block holds whole documents, has its own interleaved states (its checkpoint) and a
-checksum, and so decodes without any other block. Segments are rows of a Parquet table whose
-``part`` and ``seq`` give their order, so any store that Spark reads and writes will do.
+checksum, and an index in the segment's head says where each begins, so that a block decodes
+without any other. Segments are rows of a Parquet table whose ``part`` and ``seq`` give their
+order, so any store that Spark reads and writes will do. Segments are decoded side by side; where
+they are fewer than the cores, the blocks of each are dealt to several tasks.
 
 Shuffles: one, of the texts, into ranges of the id. Everything else is map-only; the offsets
 come from a window over one row per partition of the table and one within each partition.
 
 Defined cases: a null or empty text has the end id only; rows with the same id keep all their
-rows, ordered by the text's hash; other columns of the input are not read.
+rows, ordered by the text's hash; rows with a null id come first and keep it; an empty table gives
+an empty one; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -35,12 +38,14 @@ LANES = 1024
 CACHE_ENTRIES = 700_000
 #: Offsets of so many segments are broadcast at most.
 BROADCAST_SEGMENTS = 1_000_000
-MAGIC = b"MRANS1\0\0"
+MAGIC = b"MRANS2\0\0"
 #: States are kept in [2**31, 2**63) and move 32 bits at a time.
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 HEAD = struct.Struct("<8sIIIIQ")  # magic, bits of the scale, symbols, blocks, documents, ids
 BLOCK = struct.Struct("<IIIII")  # documents, ids, lanes, words, crc32
+#: A block's place in the segment's index: byte offset from the first block, first document, first id.
+INDEX = np.dtype([("offset", "<u8"), ("document", "<u4"), ("id", "<u8")])
 
 END_ID = 0
 
@@ -99,8 +104,9 @@ def decode_block(states: np.ndarray, words: np.ndarray, n: int, slots: np.ndarra
     return out
 
 
-def encode_segment(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """The bytes of one segment. Every document has at least its end id."""
+def encode_segment(doc_ids: pa.Array | np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """The bytes of one segment. Every document has at least its end id; a document's own id may be null."""
+    doc_ids = pa.array(doc_ids, pa.int64())
     present, hist = np.unique(ids, return_counts=True)
     bits = scale_bits(len(present))
     freq = frequencies(hist, bits)
@@ -118,14 +124,20 @@ def encode_segment(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) ->
         part = ids[upto[a] : upto[b]]
         states, words = encode_block(dense[part], freq, cum, bits)
         blocks.append(BLOCK.pack(b - a, len(part), len(states), len(words), zlib.crc32(part.astype("<u4").tobytes())) + states.astype("<u8").tobytes() + words.astype("<u4").tobytes())
+    index = np.zeros(len(cuts), INDEX)
+    sizes = np.array([len(b) for b in blocks], np.int64)
+    index["offset"], index["document"] = np.cumsum(sizes) - sizes, [a for a, _ in cuts]
+    index["id"] = upto[index["document"]]
     table = zlib.compress(np.diff(present, prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 6)
-    rows = zlib.compress(doc_ids.astype("<i8").tobytes() + counts.astype("<u4").tobytes(), 6)
+    known = np.array(doc_ids.is_valid(), np.uint8)
+    names = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+    rows = zlib.compress(names.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + known.tobytes(), 6)
     sizes = struct.pack("<QQ", len(table), len(rows))
-    return b"".join([HEAD.pack(MAGIC, bits, len(present), len(blocks), len(counts), len(ids)), sizes, table, rows, *blocks])
+    return b"".join([HEAD.pack(MAGIC, bits, len(present), len(blocks), len(counts), len(ids)), sizes, index.tobytes(), table, rows, *blocks])
 
 
-def decode_segment(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per block: document ids, ids in each, ids end to end."""
+def decode_segment(raw: bytes, slice_: int = 0, slices: int = 1) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, int]]:
+    """Per block whose number is ``slice_`` modulo ``slices``: document ids, ids in each, ids end to end, ids of the segment before it."""
     raw = memoryview(raw)
     magic, bits, symbols, blocks, docs, _ = HEAD.unpack_from(raw)
     if magic != MAGIC:
@@ -133,26 +145,27 @@ def decode_segment(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     at = HEAD.size
     n_table, n_rows = struct.unpack_from("<QQ", raw, at)
     at += 16
+    index = np.frombuffer(raw, INDEX, blocks, at)
+    at += index.nbytes
     table = np.frombuffer(zlib.decompress(raw[at : at + n_table]), "<u4")
     present, freq = np.cumsum(table[:symbols].astype(np.int64)), table[symbols:].astype(np.int64)
     cum = np.cumsum(freq) - freq
     slots = np.repeat(np.arange(symbols), freq)
     at += n_table
     rows = zlib.decompress(raw[at : at + n_rows])
-    doc_ids, counts = np.frombuffer(rows, "<i8", docs), np.frombuffer(rows, "<u4", docs, 8 * docs).astype(np.int64)
     at += n_rows
-    done = 0
-    for _ in range(blocks):
-        n_docs, n, lanes, n_words, crc = BLOCK.unpack_from(raw, at)
-        at += BLOCK.size
-        states = np.frombuffer(raw, "<u8", lanes, at)
-        words = np.frombuffer(raw, "<u4", n_words, at + 8 * lanes)
-        at += 8 * lanes + 4 * n_words
+    counts = np.frombuffer(rows, "<u4", docs, 8 * docs).astype(np.int64)
+    doc_ids = pa.array(np.frombuffer(rows, "<i8", docs), pa.int64(), mask=np.frombuffer(rows, np.uint8, docs, 12 * docs) == 0)
+    for offset, document, first in index[slice_::slices].tolist():
+        place = at + offset
+        n_docs, n, lanes, n_words, crc = BLOCK.unpack_from(raw, place)
+        place += BLOCK.size
+        states = np.frombuffer(raw, "<u8", lanes, place)
+        words = np.frombuffer(raw, "<u4", n_words, place + 8 * lanes)
         ids = present[decode_block(states, words, n, slots, freq, cum, bits)].astype("<u4")
         if zlib.crc32(ids.tobytes()) != crc:
             raise ValueError("a block of token ids fails its checksum")
-        yield doc_ids[done : done + n_docs], counts[done : done + n_docs], ids
-        done += n_docs
+        yield doc_ids.slice(document, n_docs), counts[document : document + n_docs], ids, first
 
 
 _library: dict[str, bpe.Encoder] = {}
@@ -182,19 +195,20 @@ def segments(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
         part, seq = TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            doc_ids, counts, ids = (np.concatenate(x) for x in zip(*held))
-            raw = encode_segment(doc_ids, counts, ids)
+            doc_ids, counts, ids = zip(*held)
+            counts, ids = np.concatenate(counts), np.concatenate(ids)
+            raw = encode_segment(pa.concat_arrays(doc_ids), counts, ids)
             columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(counts)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([raw], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["part", "seq", "n_docs", "n_tokens", "segment"])
 
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            doc_ids = batch.column("doc_id")
             for i, j, ids, counts in encoder.encode(batch.column("text")):
-                held.append((doc_ids[i:j], counts + 1, np.insert(ids, np.cumsum(counts), end_id)))
+                held.append((doc_ids.slice(i, j - i), counts + 1, np.insert(ids, np.cumsum(counts), end_id)))
                 size += len(ids)
                 if size >= SEGMENT_IDS:
                     yield flush()
@@ -224,13 +238,18 @@ def read(spark: SparkSession, at: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, raw in zip(batch.column("first").to_pylist(), batch.column("segment")):
-                for doc_ids, counts, ids in decode_segment(raw.as_buffer()):
-                    start = first + np.cumsum(counts) - counts
-                    first += int(counts.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start), pa.array(counts), C.binary_column(ids, counts)], ["doc_id", "start", "n_tokens", "ids"])
+            for first, raw, part in zip(batch.column("first").to_pylist(), batch.column("segment"), batch.column("slice").to_pylist()):
+                for doc_ids, counts, ids, before in decode_segment(raw.as_buffer(), part, slices):
+                    start = first + before + np.cumsum(counts) - counts
+                    yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start), pa.array(counts), C.binary_column(ids, counts)], ["doc_id", "start", "n_tokens", "ids"])
 
-    if sizes.count() <= BROADCAST_SEGMENTS:  # 16 bytes a segment; beyond, Spark joins as it finds best
+    n = sizes.count()
+    if n <= BROADCAST_SEGMENTS:  # 16 bytes a segment; beyond, Spark joins as it finds best
         offsets = F.broadcast(offsets)
     joined = table.select("part", "seq", "segment").join(offsets, ["part", "seq"]).select("first", "segment")
+    # fewer segments than cores: each goes to several tasks, which decode different blocks of it
+    slices = max(1, -(-spark.sparkContext.defaultParallelism // max(n, 1)))
+    joined = joined.select("first", "segment", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    if slices > 1:
+        joined = joined.repartition(max(n, 1) * slices, "first", "slice")
     return C.map_arrow(joined, run, "doc_id long, start long, n_tokens long, ids binary")
