@@ -12,20 +12,25 @@ of the graph; they are at most W < K words apart, so an edge fixes all words bet
    run on: each maximal run is a compacted path, and every occurrence of one of its k-mers lies in
    an occurrence of the whole path.
 3. A path of at least a window is one span to verify. Windows that hold a repeated k-mer but are
-   not inside a path are verified one by one. Spans and windows are compared by two independent
-   64-bit hashes of all their words, and the smallest document of each is found.
+   not inside a path are verified one by one. Spans and windows are told apart by a 128-bit BLAKE2b
+   digest of the bytes of all their words, and the smallest document of each is found. K-mers only
+   choose what is verified: should two different ones have one hash, they branch.
 
-What is shuffled: the selected k-mers twice, and the spans and windows. Texts are read again, not
-shuffled, as long as the paths and removed spans fit the stated broadcast sizes; beyond, texts join
-them by a shuffle. Hot k-mers and windows are aggregated before the shuffle, and the joins back to
+What is shuffled: the selected k-mers twice, and the spans and windows. Texts are read again, and
+joined to their paths and removed spans: by a broadcast of these up to the stated sizes, by a shuffle
+of the texts beyond. Hot k-mers and windows are aggregated before the shuffle, and the joins back to
 occurrences have one row for them on the other side, so that Spark can split them.
 
-Defined cases: null texts have no words; a window that repeats in its own document only is kept;
-rows that share an id never remove each other's words; equal rows get equal results.
+Defined cases: null and empty texts have no words; a window that repeats in its own document only is
+kept; rows that share an id never remove each other's words; equal rows get equal results; a row
+without an id has no place in the order, so it keeps all its words and removes none elsewhere; words
+and texts of any length are taken whole; an empty table gives an empty one; only ``doc_id`` and
+``text`` are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +44,8 @@ WINDOW = 50
 #: Paths, or removed spans, that may be broadcast (some 40 bytes each).
 BROADCAST_SPANS = 1_000_000
 
-_KMER, _SECOND = 0x8CB92BA72F3D8DD7 | 1, 0xD6E8FEB86659FD93 | 1
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, text): rid names a row by its id and text."""
-    rows = C.id_and_text(docs)
-    return rows.withColumn("rid", F.xxhash64("doc_id", "text"))
+#: Columns of a place: the row (its id is never null here) and what the operator adds.
+_ROW = ["did", "rid"]
 
 
 def _scan(column) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -71,7 +71,7 @@ class Selection:
             self.hash = np.zeros(0, np.uint64)
             return
         m = np.arange(len(words) - k + 1)
-        kmer = C.span_hashes(words, m, m + k, _KMER)
+        kmer = C.sequence_hashes(words, m, k)
         views = np.lib.stride_tricks.sliding_window_view(kmer, w)
         chosen = np.empty(len(self.start), np.int64)
         for a in range(0, len(chosen), 1 << 16):
@@ -87,13 +87,31 @@ class Selection:
         self.pos, self.hash = pos[new], h[new]
 
 
+def digests(part: bytes, s: np.ndarray, e: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128-bit digests, as two columns of 64 bits, of the runs of ``size`` words from word ``begin`` on, joined by one space."""
+    # runs whose words have one space between them already are slices of the text
+    odd = np.ones(max(len(s) - 1, 0), bool) if not part else (s[1:] - e[:-1] != 1) | (np.frombuffer(part, np.uint8)[e[:-1]] != 0x20)
+    upto = np.concatenate([[0], np.cumsum(odd)])
+    plain = upto[begin + size - 1] == upto[begin]
+    out = []
+    for a, n, p, q, ok in zip(begin.tolist(), size.tolist(), s[begin].tolist(), e[begin + size - 1].tolist(), plain.tolist()):
+        run = part[p:q] if ok else b" ".join([part[i:j] for i, j in zip(s[a : a + n].tolist(), e[a : a + n].tolist())])
+        out.append(hashlib.blake2b(run, digest_size=16).digest())
+    return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
+
+
+def _take(batch: pa.RecordBatch, i: int, row: np.ndarray) -> list[pa.Array]:
+    """The row columns of rows i + row of a batch."""
+    at = pa.array(i + row, pa.int64())
+    return [batch.column(c).take(at) for c in _ROW]
+
+
 def selected(rows: DataFrame, window: int) -> DataFrame:
-    """(rid, doc_id, pos, kmer, before, after): each selected k-mer with its neighbours."""
+    """(did, rid, pos, kmer, before, after): each selected k-mer with its neighbours, of rows that have an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "rid"))
-            for i, j, _, _, _, first, words in _scan(batch.column("text")):
+            for i, _, _, _, _, first, words in _scan(batch.column("text")):
                 x = Selection(words, first, window)
                 row = np.searchsorted(first, x.pos, "right") - 1
                 same = row[1:] == row[:-1]
@@ -101,36 +119,35 @@ def selected(rows: DataFrame, window: int) -> DataFrame:
                 before, after = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
                 before[1:][same] = C.mix(x.hash[:-1] + gap)[same]
                 after[:-1][same] = C.mix(x.hash[1:] + gap)[same]
-                columns = [pa.array(rids[i:j][row]), pa.array(ids[i:j][row]), pa.array((x.pos - first[row]).astype(np.int32)), *(pa.array(v.view(np.int64)) for v in (x.hash, before, after))]
-                yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "pos", "kmer", "before", "after"])
+                columns = [*_take(batch, i, row), pa.array((x.pos - first[row]).astype(np.int32)), *(pa.array(v.view(np.int64)) for v in (x.hash, before, after))]
+                yield pa.RecordBatch.from_arrays(columns, [*_ROW, "pos", "kmer", "before", "after"])
 
-    return C.map_arrow(rows.select("rid", "doc_id", "text"), run, "rid long, doc_id long, pos int, kmer long, before long, after long")
+    return C.map_arrow(rows.where("doc_id is not null").select(*_ROW, "text"), run, "did long, rid long, pos int, kmer long, before long, after long")
 
 
 def paths(rows: DataFrame, window: int) -> DataFrame:
-    """(rid, paths): per row with repeated k-mers its compacted paths, as (start, last, end): first and last k-mer and the words' end."""
+    """(did, rid, paths): per row with repeated k-mers its compacted paths, as (start, last, end): first and last k-mer and the words' end."""
     edges = selected(rows, window)
     repeated = edges.groupBy("kmer").agg(
-        F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1")
+        F.min("did").alias("d0"), F.max("did").alias("d1"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1")
     )
     repeated = C.materialise(repeated.where("d0 < d1").select("kmer", F.expr("b0 = b1").alias("one_before"), F.expr("a0 = a1").alias("one_after")), "kmers")
-    at = edges.select("kmer", "rid", "pos").join(repeated, "kmer").drop("kmer").distinct()
-    w = Window.partitionBy("rid").orderBy("pos")
+    at = edges.select("kmer", *_ROW, "pos").join(repeated, "kmer").drop("kmer").distinct()
+    w = Window.partitionBy(*_ROW).orderBy("pos")
     at = at.withColumn("breaks", F.when(F.col("one_before") & F.lag("one_after").over(w), 0).otherwise(1))
     at = at.withColumn("path", F.sum("breaks").over(w))
     k = window - window // 2 + 1
-    found = at.groupBy("rid", "path").agg(F.min("pos").alias("start"), F.max("pos").alias("last"))
-    return found.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "last", (F.col("last") + k).alias("end")))).alias("paths"))
+    found = at.groupBy(*_ROW, "path").agg(F.min("pos").alias("start"), F.max("pos").alias("last"))
+    return found.groupBy(*_ROW).agg(F.sort_array(F.collect_list(F.struct("start", "last", (F.col("last") + k).alias("end")))).alias("paths"))
 
 
 def sequences(with_paths: DataFrame, window: int) -> DataFrame:
-    """(rid, doc_id, start, times, size, h1, h2): spans and windows to verify; ``times`` windows from ``start`` on have the same words."""
+    """(did, rid, start, times, size, h1, h2): spans and windows to verify; ``times`` windows from ``start`` on have the same words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "rid"))
             lists = batch.column("paths")
-            for i, j, _, _, _, first, words in _scan(batch.column("text")):
+            for i, j, raw, word_start, word_end, first, words in _scan(batch.column("text")):
                 x = Selection(words, first, window)
                 part = lists.slice(i, j - i)
                 flat = part.flatten()
@@ -151,28 +168,28 @@ def sequences(with_paths: DataFrame, window: int) -> DataFrame:
                 s = np.concatenate([start[long], ws])
                 row = np.concatenate([owner[long], wr])
                 size = np.concatenate([(end - start)[long], np.full(len(ws), window)])
-                h1, h2 = (C.span_hashes(words, s, s + size, b) for b in (_KMER, _SECOND))
+                h1, h2 = digests(raw.tobytes(), word_start, word_end, s, size).T
                 head = np.ones(len(s), bool)
                 head[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (np.diff(s) != 1) | (row[1:] != row[:-1]) | (size[1:] != size[:-1])
                 keep = np.flatnonzero(head)
                 times = np.diff(np.append(keep, len(s)))
-                columns = [pa.array(rids[i:j][row[keep]]), pa.array(ids[i:j][row[keep]]), pa.array((s - first[row])[keep].astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(size[keep].astype(np.int32)), pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "start", "times", "size", "h1", "h2"])
+                columns = [*_take(batch, i, row[keep]), pa.array((s - first[row])[keep].astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(size[keep].astype(np.int32)), *(pa.array(np.ascontiguousarray(h[keep]).view(np.int64)) for h in (h1, h2))]
+                yield pa.RecordBatch.from_arrays(columns, [*_ROW, "start", "times", "size", "h1", "h2"])
 
-    return C.map_arrow(with_paths.select("rid", "doc_id", "text", "paths"), run, "rid long, doc_id long, start int, times int, size int, h1 long, h2 long")
+    return C.map_arrow(with_paths.select(*_ROW, "text", "paths"), run, "did long, rid long, start int, times int, size int, h1 long, h2 long")
 
 
 def removed_spans(rows: DataFrame, window: int) -> DataFrame:
-    """(rid, removed): per row that loses words the spans (start, end) it loses, sorted; they may overlap."""
+    """(did, rid, removed): per row that loses words the spans (start, end) it loses, sorted; they may overlap."""
     found = C.materialise(paths(rows, window), "paths")
     total = found.agg(F.coalesce(F.sum(F.size("paths")), F.lit(0))).first()[0]
     where = F.broadcast(found) if total <= BROADCAST_SPANS else found
-    spans = C.materialise(sequences(rows.join(where, "rid"), window), "sequences")
-    earliest = spans.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    spans = C.materialise(sequences(rows.join(where, _ROW), window), "sequences")
+    earliest = spans.groupBy("h1", "h2", "size").agg(F.min("did").alias("first_doc"), F.max("did").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
     earliest = C.materialise(earliest, "earliest")  # so that the join has two plain shuffles, of which Spark can split the larger
-    later = spans.join(earliest, ["h1", "h2", "size"]).where("doc_id > first_doc")
-    later = later.select("rid", F.struct("start", (F.col("start") + F.col("times") - 1 + F.col("size")).alias("end")).alias("span"))
-    return later.groupBy("rid").agg(F.sort_array(F.collect_set("span")).alias("removed"))
+    later = spans.join(earliest, ["h1", "h2", "size"]).where("did > first_doc")
+    later = later.select(*_ROW, F.struct("start", (F.col("start") + F.col("times") - 1 + F.col("size")).alias("end")).alias("span"))
+    return later.groupBy(*_ROW).agg(F.sort_array(F.collect_set("span")).alias("removed"))
 
 
 def apply_spans(rows: DataFrame) -> DataFrame:
@@ -205,7 +222,7 @@ def apply_spans(rows: DataFrame) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of ``docs``; see ``apply_spans``."""
-    rows = _rows(docs)
+    rows = C.keyed(docs)
     found = C.materialise(removed_spans(rows, window), "removed")
     total = found.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0]
-    return apply_spans(rows.join(F.broadcast(found) if total <= BROADCAST_SPANS else found, "rid", "left"))
+    return apply_spans(rows.join(F.broadcast(found) if total <= BROADCAST_SPANS else found, _ROW, "left"))
