@@ -2,32 +2,42 @@
 
 A task keeps a memtable of digests; when it is full, or its input ends, the memtable is flushed as
 a run of rows sorted by digest, one for each distinct digest, with the identifier that ranks first
-and the number of texts. Runs are Parquet files whose digest column has Bloom filters and sorted
-statistics, so a later lookup skips runs and row groups. Compaction merges all runs, one row per
-digest: a memtable has already folded the copies of a hot text, so no group grows with its copies.
+and the number of texts. Compaction merges all runs, one row per digest: a memtable has already
+folded the copies of a hot text, so no group grows with its copies.
 
-A digest that stands for more than one row is a hit. Hits are verified byte for byte: the hash of
-all bytes decides nothing alone. Each hit's bytes meet those of its group's other rows, first in the task, then across tasks;
-a digest whose texts differ is split (for SHA-256 none is known).
+A digest that stands for more than one row is a hit. The hits are a compacted level of their own, in
+sorted runs that each have a range of digests and a Bloom filter. ``lookup`` reads the texts again and
+asks the filter of the one run that a digest can be in, so that only texts that are hits (and a
+hundredth of the others) leave their task. These are verified byte for byte: the hash of all bytes
+decides nothing alone. Each hit's bytes meet those of its group's other rows, first in the task, then
+across tasks; a digest whose texts differ is split (for SHA-256 none is known).
 
 Defined cases: a null text is an empty one; among rows of one identifier and one text one is kept
-(``row``, a number given when the digests are written, breaks the tie); other columns are not read.
+(``row``, a number given when the digests are written, breaks the tie); a null identifier ranks last;
+texts of any length are compared whole; an empty table gives an empty one; columns other than
+``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 
 #: Distinct digests that a memtable holds.
 MEMTABLE = 200_000
+#: A filter's bits for each digest of its run, and the bits that a digest sets.
+BITS, PLACES = 10, 4
+#: Filters of all runs that are broadcast at most; beyond, texts and hits are joined without them.
+FILTER_BYTES = 64 << 20
 
 
 def normalise(text: str) -> bytes:
@@ -47,17 +57,17 @@ def sha256(data: bytes) -> bytes:
 
 
 def digests(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
-    """Rows (rid, doc_id, digest, second, row): ``second`` is a shorter digest of another family, ``rid`` names a row by its id and text."""
+    """Rows (did, rid, doc_id, digest, second, row): ``second`` is a shorter digest of another family; did and rid name a row by its id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
                 found = [normalise(t) for t in part.column("text").to_pylist()]
                 second = [hashlib.blake2b(t, digest_size=12).digest() for t in found]
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array([digest(t) for t in found], pa.binary()), pa.array(second, pa.binary())], ["rid", "doc_id", "digest", "second"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array([digest(t) for t in found], pa.binary()), pa.array(second, pa.binary())], [*own, "digest", "second"])
 
-    rows = C.id_and_text(docs).withColumn("rid", F.xxhash64("doc_id", "text"))
-    return C.map_arrow(rows, run, "rid long, doc_id long, digest binary, second binary").withColumn("row", F.monotonically_increasing_id())
+    own = [*C.KEY, "doc_id"]
+    return C.map_arrow(C.keyed(docs), run, "did long, rid long, doc_id long, digest binary, second binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def runs(digest_rows: DataFrame, keep: str = "largest", memtable: int = MEMTABLE) -> DataFrame:
@@ -94,11 +104,6 @@ def runs(digest_rows: DataFrame, keep: str = "largest", memtable: int = MEMTABLE
     return C.map_arrow(digest_rows.select("row", "doc_id", "digest"), run, "run long, digest binary, keep_id long, keep_row long, n long")
 
 
-def write_runs(run_rows: DataFrame, to: str) -> None:
-    """Add runs to an index. Filters and statistics let Spark skip the files that can't hold a digest."""
-    run_rows.write.mode("append").option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", str(MEMTABLE)).parquet(to)
-
-
 def compact(run_rows: DataFrame, keep: str = "largest") -> DataFrame:
     """Merge runs: (digest, keep_id, keep_row, n). Partial aggregation merges the runs of a task before the shuffle."""
     # a null identifier ranks last; structs compare field by field
@@ -107,22 +112,85 @@ def compact(run_rows: DataFrame, keep: str = "largest") -> DataFrame:
     return run_rows.groupBy("digest").agg(best.alias("best"), F.sum("n").alias("n")).select("digest", "best.keep_id", "best.keep_row", "n")
 
 
-def lookup(spark: SparkSession, index: str, digest_rows: DataFrame) -> DataFrame:
-    """Index entries of the given digests; a few literal digests reach the runs' filters as pushed predicates."""
-    return spark.read.parquet(index).join(digest_rows.select("digest").distinct(), "digest", "left_semi")
+def _places(digests: list[bytes]) -> np.ndarray:
+    """PLACES numbers of 64 bits for each digest: its first bytes, zeros if it is shorter."""
+    size = 8 * PLACES
+    return np.frombuffer(b"".join([d[:size].ljust(size, b"\0") for d in digests]), "<u8").reshape(-1, PLACES)
+
+
+def filters(hits: DataFrame, memtable: int = MEMTABLE) -> DataFrame:
+    """(low, high, bits): the digests of ``hits`` in sorted runs of at most ``memtable``, each with its range and Bloom filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+
+        def flush() -> pa.RecordBatch:
+            marks = np.zeros(1 << max(6, (BITS * len(held) - 1).bit_length()), bool)
+            marks[(_places(held) % np.uint64(len(marks))).astype(np.int64).ravel()] = True
+            columns = [[held[0]], [held[-1]], [np.packbits(marks, bitorder="little").tobytes()]]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["low", "high", "bits"])
+
+        for batch in batches:
+            for d in batch.column("digest").to_pylist():
+                held.append(d)
+                if len(held) >= memtable:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return C.map_arrow(hits.select("digest").repartitionByRange("digest").sortWithinPartitions("digest"), run, "low binary, high binary, bits binary")
+
+
+class Filters:
+    """The filters of all runs; their ranges are disjoint."""
+
+    def __init__(self, runs: list[tuple[bytes, bytes, bytes]]) -> None:
+        runs = sorted(runs)
+        self.low, self.high = [r[0] for r in runs], [r[1] for r in runs]
+        self.bits = [np.frombuffer(r[2], np.uint8) for r in runs]
+
+    def maybe(self, digests: list[bytes]) -> list[bool]:
+        """False for digests that are in no run."""
+        out = np.zeros(len(digests), bool)
+        of = np.array([bisect_right(self.low, d) - 1 for d in digests], np.int64)
+        inside = np.flatnonzero(of >= 0)
+        inside = inside[[digests[i] <= self.high[of[i]] for i in inside.tolist()]] if len(inside) else inside
+        for k in np.unique(of[inside]).tolist():
+            at, bits = inside[of[inside] == k], self.bits[k]
+            place = (_places([digests[i] for i in at.tolist()]) % np.uint64(8 * len(bits))).astype(np.int64)
+            out[at] = (bits[place >> 3] >> (place & 7) & 1).all(axis=1)
+        return out.tolist()
+
+
+def lookup(docs: DataFrame, hits: DataFrame, digest: Callable[[bytes], bytes] = sha256, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """Rows (digest, norm) of texts whose digest is among ``hits``: of each task's equal texts one, and any that differ.
 
+    The hits' filters, if they have at most ``filter_bytes`` together, drop other texts before the shuffle.
+    """
+    built = C.materialise(filters(hits), "filters")
+    total = built.agg(F.coalesce(F.sum(F.octet_length("bits") + F.octet_length("low") + F.octet_length("high")), F.lit(0))).first()[0]
+    known = docs.sparkSession.sparkContext.broadcast(Filters([tuple(map(bytes, r)) for r in built.collect()])) if total <= filter_bytes else None
+    return representatives(docs, digest, known).join(hits.select("digest"), "digest", "left_semi")
+
+
+def representatives(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256, known=None, held_bytes: int = 16 << 20) -> DataFrame:
+    """Rows (digest, norm): of each task's equal texts one, compared here byte for byte, and any that differ.
 
-def representatives(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256, held_bytes: int = 16 << 20) -> DataFrame:
-    """Rows (digest, norm): of each task's equal texts one, compared here byte for byte, and any that differ."""
+    ``known``: a broadcast of ``Filters``; texts that it rules out are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, bytes] = {}
         size = 0
         for part in (p for batch in batches for p in _parts(batch)):
             out: list[tuple[bytes, bytes]] = []
-            for t in part.column("text").to_pylist():
-                norm = normalise(t)
-                key = digest(norm)
+            norms = [normalise(t) for t in part.column("text").to_pylist()]
+            keys = [digest(t) for t in norms]
+            wanted = known.value.maybe(keys) if known is not None else [True] * len(keys)
+            for key, norm, ok in zip(keys, norms, wanted):
+                if not ok:
+                    continue
                 got = held.get(key)
                 if got is None:
                     held[key] = norm
@@ -136,37 +204,36 @@ def representatives(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256,
     return C.map_arrow(C.id_and_text(docs), run, "digest binary, norm binary")
 
 
-def _grouped(found: DataFrame, keep: str, index: str) -> tuple[DataFrame, DataFrame]:
-    write_runs(runs(found, keep), index)
-    merged = C.materialise(compact(found.sparkSession.read.parquet(index), keep), "merged")
-    hits = merged.where("n > 1")
+def _grouped(found: DataFrame, keep: str) -> tuple[DataFrame, DataFrame]:
+    hits = C.materialise(compact(C.materialise(runs(found, keep), "runs"), keep).where("n > 1"), "hits")
     own = F.col("keep_row").isNull()
     # the copies of a hot text are one side's rows, which Spark splits; the other side has one row for them
     grouped = found.join(hits, "digest", "left").select(
-        "row", "rid", "doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"),
+        "row", "doc_id", *C.KEY, F.when(own, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"),
         (own | (F.col("row") == F.col("keep_row"))).alias("kept"), "digest", "second",
     )
     return grouped, hits.select("digest")
 
 
-def exact_dedup(docs: DataFrame, keep: str = "largest", index: str | None = None, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
-    """One row per document: (rid, doc_id, keep_id, group_size, kept, digest).
+def _differ(texts: DataFrame) -> DataFrame:
+    """Digests whose texts are not all equal."""
+    return texts.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("digest")
+
+
+def exact_dedup(docs: DataFrame, keep: str = "largest", digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
+    """One row per document: (doc_id, did, rid, keep_id, group_size, kept, digest).
 
-    ``keep``: 'largest' or 'smallest' identifier of equal texts stays. ``index``: folder of the
-    runs; a new one in the shared folder unless given. A digest whose texts turn out to differ is
-    split by ``second``; should bytes differ even then, the job fails rather than drop a text.
+    ``keep``: 'largest' or 'smallest' identifier of equal texts stays. A digest whose texts turn out
+    to differ is split by ``second``; should bytes differ even then, the job fails rather than drop a text.
     """
-    spark = docs.sparkSession
     found = C.materialise(digests(docs, digest), "digests")
-    grouped, hits = _grouped(found, keep, index or C.scratch_path(spark, "runs"))
-    texts = representatives(docs, digest).join(hits, "digest", "left_semi")
-    differ = C.materialise(texts.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("digest"), "differ")
+    grouped, hits = _grouped(found, keep)
+    differ = C.materialise(_differ(lookup(docs, hits, digest)), "differ")
     if not differ.isEmpty():
         split = found.join(differ.withColumn("differs", F.lit(True)), "digest", "left")
         found = C.materialise(split.withColumn("digest", F.when(F.col("differs"), F.concat("digest", "second")).otherwise(F.col("digest"))).drop("differs"), "digests")
-        grouped, hits = _grouped(found, keep, C.scratch_path(spark, "runs"))
+        grouped, hits = _grouped(found, keep)
         longer = lambda t: digest(t) + hashlib.blake2b(t, digest_size=12).digest()
-        again = representatives(docs, longer).join(hits, "digest", "left_semi")
-        if not again.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").isEmpty():
+        if not _differ(lookup(docs, hits, longer)).isEmpty():
             raise ValueError("two digests agree on different texts")
     return grouped.drop("row", "second")
