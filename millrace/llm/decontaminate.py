@@ -12,8 +12,10 @@ The benchmark is one side of stated size: its bytes are summed first, and it is
 blocks of about ``BLOCK_BYTES``; a larger benchmark takes more passes over the documents and
 never more memory. Documents are not shuffled unless there is more than one block.
 
-Defined cases: null texts have no words; items with no words or a null id match nothing; repeated
-items count once per id, repeated documents each get a row; only the named columns are read.
+Defined cases: null and empty texts have no words; items with no words or a null id match nothing;
+repeated items count once per id; repeated documents, and those without an id, each get a row; texts
+and words of any length are read whole; with an empty benchmark nothing is hit, an empty table gives
+an empty one; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -49,10 +51,7 @@ def shingle_hashes(word_hash: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each word on (across documents; callers check the bounds)."""
     n = max(0, len(word_hash) - k + 1)
     at = np.arange(n)
-    return C.span_hashes(word_hash, at, at + k, _ORDERED)
-
-
-_ORDERED = 0xA24BAED4963EE407 | 1
+    return C.sequence_hashes(word_hash, at, k)
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -144,9 +143,10 @@ def shingle_frequencies(docs: DataFrame, shingles: np.ndarray, sizes: list[int])
 
 
 def _hits(docs: DataFrame, windows: Windows) -> DataFrame:
-    """(row, doc_id, n_words, spans, items) for each document: disjoint ascending spans of hit words."""
+    """(row, doc_id, did, rid, n_words, spans, items) for each document: disjoint ascending spans of hit words."""
     known = docs.sparkSession.sparkContext.broadcast(windows)
     sizes = windows.sizes()
+    own = ["row", "doc_id", *C.KEY]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Windows = known.value
@@ -162,7 +162,7 @@ def _hits(docs: DataFrame, windows: Windows) -> DataFrame:
                     row = np.searchsorted(first, at[group], "right") - 1
                     fits = (np.minimum(w.length[window], SHINGLE) == k) & (start >= first[row]) & (start + w.length[window] <= first[row + 1])
                     window, start = window[fits], start[fits]
-                    same = C.span_hashes(h, start, start + w.length[window], _ORDERED) == w.hash[window]
+                    same = C.sequence_hashes(h, start, w.length[window]) == w.hash[window]
                     found_at.append(start[same])
                     found.append(window[same])
                 start, window = np.concatenate(found_at) if found_at else np.zeros(0, np.int64), np.concatenate(found) if found else np.zeros(0, np.int64)
@@ -189,19 +189,19 @@ def _hits(docs: DataFrame, windows: Windows) -> DataFrame:
                 owner = np.searchsorted(first, b, "right") - 1
                 spans = pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), pa.StructArray.from_arrays([pa.array(b - first[owner]), pa.array(t - first[owner])], ["start", "end"]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(i, n_rows), batch.column("doc_id").slice(i, n_rows), pa.array(np.diff(first)), spans, pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    ["row", "doc_id", "n_words", "spans", "items"],
+                    [*(batch.column(c).slice(i, n_rows) for c in own), pa.array(np.diff(first)), spans, pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                    [*own, "n_words", "spans", "items"],
                 )
 
-    return C.map_arrow(docs, run, "row long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    return C.map_arrow(docs, run, "row long, doc_id long, did long, rid long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: (doc_id, n_words, spans, items): spans of hit words (end exclusive) and ids of the items that hit."""
+    """One row per document: (doc_id, did, rid, n_words, spans, items): spans of hit words (end exclusive) and ids of the items that hit."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
-    rows = C.id_and_text(docs)
+    rows = C.keyed(docs)
     if blocks == 1:
         return _block(rows.withColumn("row", F.lit(0).cast("long")), items).drop("row")
     rows = C.materialise(rows.withColumn("row", F.monotonically_increasing_id()), "documents")
@@ -211,18 +211,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         part = C.materialise(part, "hits")
         found = part if found is None else found.unionByName(part)
     spans = F.sort_array(F.flatten(F.collect_list("spans")))
-    merged = found.groupBy("row", "doc_id", "n_words").agg(spans.alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = found.groupBy("row", "doc_id", *C.KEY, "n_words").agg(spans.alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # runs of overlapping spans become one
     joined = F.expr(
         "aggregate(all, cast(array() as array<struct<start:bigint,end:bigint>>), (done, x) -> case "
         "when size(done) = 0 or element_at(done, -1).end < x.start then array_append(done, x) "
         "else array_append(slice(done, 1, size(done) - 1), named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, x.end))) end)"
     )
-    return merged.select("doc_id", "n_words", joined.alias("spans"), "items")
+    return merged.select("doc_id", *C.KEY, "n_words", joined.alias("spans"), "items")
 
 
 def _block(rows: DataFrame, items: DataFrame) -> DataFrame:
     windows = Windows([(r.item_id, r.text) for r in items.collect()])  # at most about BLOCK_BYTES
     shingles = windows.all_shingles()
     windows.prefixes(shingle_frequencies(rows, shingles, windows.sizes()) if len(shingles) else {})
-    return _hits(rows.select("row", "doc_id", "text"), windows)
+    return _hits(rows.select("row", "doc_id", *C.KEY, "text"), windows)
