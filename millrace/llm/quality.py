@@ -12,8 +12,10 @@ Scoring is map-only over whole texts; a text's lines stay together, and memory i
 batch step (or one text).
 
 Defined cases: null, empty and blank texts have no line; their score is the curve's at quality
-0. Repeated labels of a document count each; rows of a label table with nulls are not used. With
-one label or none to learn from, every score is the share of good labels (0.5 without any).
+0. Repeated labels of a document count once; rows of a label table with nulls or another label than
+0 and 1 are not used; documents with a null id can be scored but have no label. With one label or
+none to learn from, every score is the share of good labels (0.5 without any). Equal texts have equal
+scores; a very long text or line is scored whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -154,9 +156,10 @@ class Field:
         logs[order] = z
         return out, pairs, logs
 
-    def quality(self, bins: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Mean probability of good of each text's lines, weighted by length; 0 without lines."""
-        p, _, _ = self.marginals(self.evidence(bins, first), first)
+    def quality(self, bins: np.ndarray, size: np.ndarray, first: np.ndarray, p: np.ndarray | None = None) -> np.ndarray:
+        """Mean probability of good of each text's lines, weighted by length; 0 without lines. ``p`` has the lines' own, if known."""
+        if p is None:
+            p, _, _ = self.marginals(self.evidence(bins, first), first)
         upto = np.concatenate([[0], np.cumsum(p * size)])
         total = np.concatenate([[0], np.cumsum(size)])
         return (upto[first[1:]] - upto[first[:-1]]) / np.maximum(total[first[1:]] - total[first[:-1]], 1)
@@ -213,7 +216,7 @@ def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE) -> Field:
     """A field from documents (doc_id, text) and labels (doc_id, quality); ``learn`` limits the labels by their doc_id."""
-    rows = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    rows = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     rows = rows.where(F.lit(True) if learn is None else learn)
     counts = {r.quality: r.n for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     field = Field()
@@ -224,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
         field.curve = (0.0, float(np.log(p / (1 - p))))
         return field
     share = F.when(F.col("quality") == 1, -(-1_000_000 * sample // good)).otherwise(-(-1_000_000 * sample // bad))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)  # about 2 * sample rows
+    picked = C.bounded_broadcast(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share))  # about 2 * sample rows
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays([batch.column("quality").slice(i, j - i), C.binary_column(bins.ravel(), n * FEATURES), C.binary_column(size.astype("<i4"), n)], ["quality", "bins", "size"])
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("quality", "text")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").select("quality", "text")
     got = C.map_arrow(texts, features, "quality int, bins binary, size binary").toArrow()
     y = got.column("quality").to_numpy().astype(np.int64)
     bins = [np.frombuffer(b, np.uint8).reshape(-1, FEATURES) for b in got.column("bins").to_pylist()]
@@ -264,15 +267,23 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
 
 
 def rate(docs: DataFrame, field: Field) -> DataFrame:
-    """(doc_id, n_lines, quality, score) of each row."""
+    """(doc_id, n_lines, n_good, quality, score, lines) of each row.
+
+    ``lines`` has, for every line that is not blank and in order, the probability that it is good;
+    ``n_good`` counts those labelled good, which are the ones above 0.5.
+    """
     known = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f: Field = known.value
         for batch in batches:
             data, offsets = C.bytes_of(batch.column("text"))
             for i, j in C.steps(offsets):
                 bins, size, first = line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                q = known.value.quality(bins, size, first)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(first)), pa.array(q), pa.array(known.value.score(q))], ["doc_id", "n_lines", "quality", "score"])
+                p, _, _ = f.marginals(f.evidence(bins, first), first)
+                q = f.quality(bins, size, first, p)
+                good = np.concatenate([[0], np.cumsum(p > 0.5)])[first]
+                lines = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(p.astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(first)), pa.array(np.diff(good)), pa.array(q), pa.array(f.score(q)), lines], ["doc_id", "n_lines", "n_good", "quality", "score", "lines"])
 
-    return C.map_arrow(C.id_and_text(docs), run, "doc_id long, n_lines long, quality double, score double")
+    return C.map_arrow(C.id_and_text(docs), run, "doc_id long, n_lines long, n_good long, quality double, score double, lines array<float>")

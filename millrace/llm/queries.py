@@ -36,7 +36,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     field = quality.train(docs, C.table(spark, sf_dir, "labels"), C.train_side())
     done = quality.rate(docs, field)
-    return done.select("doc_id", (~C.train_side()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_lines")
+    return done.select("doc_id", (~C.train_side()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_lines", "n_good")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
