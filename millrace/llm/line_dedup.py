@@ -2,8 +2,8 @@
 
 The tree has a fixed depth: a line goes down by its number of tokens, then by its ``LEADING``
 first tokens (a token with a digit is the field ``<*>``). In a leaf, a token is constant at its
-place if at least ``MIN_DOCS`` of the leaf's distinct lines or documents have it there; all other
-places are fields. The leading tokens are constant by the leaf's making and say nothing: a line with
+place if at least ``MIN_DOCS`` lines of the leaf have it there, a line counting as often as it
+occurs; all other places are fields. The leading tokens are constant by the leaf's making and say nothing: a line with
 a constant place after them, and at least ``ALIKE`` of the places after them constant, has that
 generalised template; any other line is its own template, with its fields masked. Templates found
 in at least ``MIN_DOCS`` documents recur, and their lines are dropped from every document.
@@ -15,7 +15,9 @@ before it is shuffled.
 
 Defined cases: null and empty texts have no lines; blank lines are always kept; a line of no more
 than ``LEADING`` tokens has no places after them and is its own template; equal rows (same id and
-text) count as one document; other columns are not read.
+text) count as one document, rows without an id that have equal texts too; rows that share an id but
+not their text are documents of their own; a line of any length is one line; an empty table gives an
+empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,17 +40,12 @@ def _tokens(line: Column) -> Column:
     return F.array_remove(F.split(masked, " "), "")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    rows = C.id_and_text(docs)
-    return rows.withColumn("rid", F.xxhash64("doc_id", "text"))
-
-
 def lines(rows: DataFrame) -> DataFrame:
-    """(rid, pos, tokens, leaf, line): one row per line that is not blank; leaf and line are hashes."""
-    each = rows.where("text <> ''").select("rid", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    each = each.select("rid", "pos", _tokens(F.col("raw")).alias("tokens")).where(F.size("tokens") > 0)
+    """(did, rid, pos, tokens, leaf, line): one row per line that is not blank; leaf and line are hashes."""
+    each = rows.where("text <> ''").select(*C.KEY, F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    each = each.select(*C.KEY, "pos", _tokens(F.col("raw")).alias("tokens")).where(F.size("tokens") > 0)
     leaf = F.xxhash64(F.size("tokens"), *(F.get("tokens", F.lit(k)) for k in range(LEADING)))
-    return each.select("rid", "pos", "tokens", leaf.alias("leaf"), F.xxhash64("tokens").alias("line"))
+    return each.select(*C.KEY, "pos", "tokens", leaf.alias("leaf"), F.xxhash64("tokens").alias("line"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -58,11 +55,11 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _documents(pairs: DataFrame, key: str) -> DataFrame:
     """Distinct documents of each key."""
-    return pairs.select(key, "rid").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("docs"))
+    return pairs.select(key, *C.KEY).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("docs"))
 
 
 def templates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rid, pos, leaf, line) of all lines, and (line, template) of the lines in leaves that occur in enough documents."""
+    """(did, rid, pos, leaf, line) of all lines, and (line, template) of the lines in leaves that occur in enough documents."""
     found = C.materialise(lines(rows).drop("tokens"), "lines")
     leaves = C.materialise(_documents(found, "leaf").where(F.col("docs") >= MIN_DOCS).select("leaf"), "leaves")
     texts = lines(rows).join(_small(leaves), "leaf", "left_semi")
@@ -83,13 +80,13 @@ def templates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_lines, n_dropped, kept), ``kept`` being the text of the other lines."""
-    rows = _rows(docs)
+    rows = C.keyed(docs)
     found, named = templates(rows)
-    named = C.materialise(found.join(_small(named), "line").select("rid", "pos", "template"), "named")
+    named = C.materialise(found.join(_small(named), "line").select(*C.KEY, "pos", "template"), "named")
     recurring = C.materialise(_documents(named, "template").where(F.col("docs") >= MIN_DOCS).select("template"), "recurring")
-    gone = named.join(_small(recurring), "template", "left_semi").groupBy("rid").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = named.join(_small(recurring), "template", "left_semi").groupBy(*C.KEY).agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     gone = C.materialise(gone, "gone")
-    out = rows.join(_small(gone), "rid", "left")
+    out = rows.join(_small(gone), C.KEY, "left")
     all_lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
     out = out.select("doc_id", all_lines.alias("all"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))  # a hash set of the places: linear in the lines

@@ -6,13 +6,13 @@ l as (
   select doc_id, pos, list_filter(string_split(regexp_replace(regexp_replace(raw, '[\\t\\r\\f\\x0B]', ' ', 'g'), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda x: x <> '') as w
   from (select doc_id, unnest(ls) as raw, unnest(range(1, len(ls) + 1)) as pos from d)
 ), f as (
-  select doc_id, pos, array_to_string(w, ' ') as line, len(w) as n, concat_ws(' ', len(w), w[1], w[2]) as leaf, w from l where len(w) >= 3
+  select doc_id, pos, array_to_string(w, ' ') as line, len(w) as n, concat_ws(' ', len(w), w[1], w[2]) as leaf, w from l where len(w) > 0
 ), leaves as (select leaf from f group by leaf having count(distinct doc_id) >= 3),
 u as (select line, any_value(leaf) as leaf, any_value(w) as w, any_value(n) as n, least(count(*), 3) as times from f semi join leaves using (leaf) group by line),
 p as (select line, leaf, times, unnest(w) as word, unnest(range(1, n + 1)) as i from u),
 c as (select leaf, i, word from p group by all having sum(times) >= 3),
-k as (select line, count(*) as m, string_agg(i || ':' || word, ' ' order by i) as consts from p join c using (leaf, i, word) group by line),
-t as (select line, case when coalesce(m, 0) >= 0.6 * n then 'T ' || leaf || ' | ' || consts else 'L ' || line end as template from u left join k using (line)),
+k as (select line, count(*) filter (where i > 2) as m, string_agg(i || ':' || word, ' ' order by i) as consts from p join c using (leaf, i, word) group by line),
+t as (select line, case when m > 0 and m >= 0.6 * (n - 2) then 'T ' || leaf || ' | ' || consts else 'L ' || line end as template from u left join k using (line)),
 r as (select template from f join t using (line) group by template having count(distinct doc_id) >= 3),
 gone as (select doc_id, pos from f join t using (line) semi join r using (template)),
 kept as (
