@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import written
+
+#: Rows of one key that a single task numbers; keys with more are numbered in ranges.
+NUMBERED_ROWS = 1_000_000
+
 
 def difference(ours: DataFrame, theirs: DataFrame, key: list[str], counts: bool = False) -> DataFrame:
     """Multiset difference both ways as counts: (key..., ours_only, theirs_only), rows with a surplus only."""
@@ -19,21 +24,45 @@ def difference(ours: DataFrame, theirs: DataFrame, key: list[str], counts: bool
 def cancel(ours: DataFrame, theirs: DataFrame, stages: list[str], order: str) -> tuple[DataFrame, DataFrame]:
     """Cancel rows one for one, stage by stage: rows that agree in a stage's column are removed from both sides.
 
-    Within equal values the rows of lowest ``order`` cancel first. A null value cancels nothing.
+    Within equal values the rows of lowest ``order`` cancel first. A null value cancels nothing. Only
+    counts per value of the two sides meet; rows are numbered where their side has more.
     """
     for stage in stages:
-        w = Window.partitionBy(stage).orderBy(order)
-        numbered = [df.withColumn("ordinal", F.row_number().over(w)) for df in (ours, theirs)]
-        left, right = ([df.select(stage, "ordinal") for df in numbered])
-        ours = numbered[0].join(right, [stage, "ordinal"], "left_anti").drop("ordinal")
-        theirs = numbered[1].join(left, [stage, "ordinal"], "left_anti").drop("ordinal")
+        counts = [df.groupBy(stage).agg(F.count(F.lit(1)).alias(n)) for df, n in ((ours, "_n"), (theirs, "_n"))]
+        ours, theirs = (_surplus(df, other, stage, order) for df, other in ((ours, counts[1]), (theirs, counts[0])))
     return ours, theirs
 
 
+def _surplus(rows: DataFrame, other: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows beyond as many as the other side has of their key: (key, _n) counts that side."""
+    more = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_own")).join(other, key, "left").where(F.col(key).isNotNull() & (F.col("_own") > F.coalesce("_n", F.lit(0))))
+    left = rows.join(more.select(key, F.coalesce("_n", F.lit(0)).alias("_gone")), key)
+    untouched = left.where("_gone = 0").drop("_gone")
+    rest = numbered(left.where("_gone > 0"), key, order).where("ordinal > _gone").drop("ordinal", "_gone")
+    return untouched.unionByName(rest).unionByName(rows.where(F.col(key).isNull()))
+
+
+def numbered(rows: DataFrame, key: str, order: str, most: int = NUMBERED_ROWS) -> DataFrame:
+    """Rows with ``ordinal``, their place among those of their key by ``order`` (a column no two rows of a key should share).
+
+    A key of up to ``most`` rows is numbered in one window. If there are larger ones, rows are dealt
+    into ranges of (key, order), numbered within each, and moved on by the rows of earlier ranges.
+    """
+    whole = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    if rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).isEmpty():
+        return whole
+    dealt = written(rows.repartitionByRange(key, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range of a key
+    sizes = sizes.select(F.col(key).alias("_key"), F.col("_range").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)))
+    placed = inside.join(sizes, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_of")))
+    return placed.withColumn("ordinal", (F.col("_place") + F.col("_before")).cast("int")).drop("_range", "_place", "_key", "_of", "_before")
+
+
 def pair(ours: DataFrame, theirs: DataFrame, key: str, item: str) -> DataFrame:
     """Pair the n-th item of a key on one side with the n-th on the other; what is over stands alone."""
-    w = Window.partitionBy(key).orderBy(item)
-    side = lambda df, name: df.select(key, F.row_number().over(w).alias("ordinal"), F.col(item).alias(name))
+    side = lambda df, name: numbered(df.select(key, item), key, item).select(key, "ordinal", F.col(item).alias(name))
     return side(ours, "ours").join(side(theirs, "theirs"), [key, "ordinal"], "full_outer")
 
 
@@ -60,6 +89,12 @@ def without_twins(rows: DataFrame, key: str, twin) -> DataFrame:
 
 
 def distinct_first(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """One row per value: the one of lowest order. Grouping by a hash first keeps long values out of the shuffle's keys."""
-    best = rows.groupBy(F.sha2(F.col(value).cast("string"), 256).alias("digest")).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n_copies"))
-    return rows.join(best, order)
+    """One row per value, the one of lowest order (any of those that share value and order), with the value's number of rows.
+
+    Grouping by a hash first keeps long values out of the shuffle's keys; a null is a value of its own.
+    """
+    digest = F.coalesce(F.sha2(F.col(value).cast("string"), 256), F.lit(""))
+    tagged = rows.withColumn("digest", digest)
+    best = tagged.groupBy("digest").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("n_copies"))
+    found = tagged.join(best, "digest").where(F.col(order).eqNullSafe(F.col("_first")))
+    return found.drop("_first").dropDuplicates(["digest"])

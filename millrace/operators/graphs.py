@@ -6,24 +6,76 @@ costs a re-read, not a replay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.sources.scratch import written as _written
 
 
-def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(node, depth): everything that (source, target) edges reach from (node) rows, at its least depth."""
+#: Steps along edges between two writes, and writes between two of all reached nodes together.
+HOPS, COMPACT = 4, 8
+
+
+def closure(edges: DataFrame, start: DataFrame, hops: int = HOPS) -> DataFrame:
+    """(node, depth): everything that (source, target) edges reach from (node) rows, at its least depth.
+
+    Every round goes ``hops`` steps on from the frontier and keeps what is new. A node's last step but
+    one is reached earlier or in the same round, so the least depth of the round is the least of all.
+    """
+    edges = _written(edges.select("source", "target").distinct())
     reached = frontier = _written(start.select("node", F.lit(0).alias("depth")).distinct())
-    depth = 0
+    rounds = 0
     while not frontier.isEmpty():
-        depth += 1
-        step = frontier.select(F.col("node").alias("source")).join(edges, "source").select(F.col("target").alias("node")).distinct()
-        frontier = _written(step.join(reached.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")))
+        rounds += 1
+        step, seen = frontier, None
+        for _ in range(hops):
+            step = step.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node"), (F.col("depth") + 1).alias("depth"))
+            step = step.groupBy("node").agg(F.min("depth").alias("depth"))
+            seen = step if seen is None else seen.union(step)
+        new = seen.groupBy("node").agg(F.min("depth").alias("depth")).join(reached.select("node"), "node", "left_anti")
+        frontier = _written(new)
         reached = reached.union(frontier)
+        if rounds % COMPACT == 0:
+            reached = _written(reached)
     return reached
 
 
+def users(edges: DataFrame, roots: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(root): those of many roots whose closure holds one of the ``wanted`` nodes: one closure of these, backwards."""
+    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    return roots.select("root").distinct().join(closure(back, wanted).select(F.col("node").alias("root")), "root")
+
+
+def chained(records: DataFrame, heads: DataFrame, address: str, following: str, valid: str) -> DataFrame:
+    """(at, state, ...): the records that chains from ``heads`` (at) lead to: ``live``, ``stale`` (not valid: the chain ends) or ``unread`` (not among the records)."""
+    edges = records.where(F.col(valid) & (F.col(following) != 0)).select(F.col(address).alias("source"), F.col(following).alias("target"))
+    found = closure(edges, heads.select(F.col("at").alias("node"))).select(F.col("node").alias("at"))
+    rows = found.join(records.withColumnRenamed(address, "at"), "at", "left")
+    return rows.withColumn("state", F.when(F.col(valid).isNull(), "unread").when(F.col(valid), "live").otherwise("stale"))
+
+
+def learned(claims: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, value): what is known and claimed together; reading it fails if a node has two values."""
+    both = known.select("node", "value").union(claims.select("node", "value"))
+    one = both.groupBy("node").agg(F.min("value").alias("value"), F.max("value").alias("other"))
+    ok = F.when(F.col("value").eqNullSafe(F.col("other")), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("two claims for "), F.col("node").cast("string"))).cast("boolean"))
+    return one.where(ok).select("node", "value")
+
+
+def learn(step: Callable[[DataFrame], DataFrame], start: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, value): apply ``step``, which claims values from what is known, until it claims nothing new. A claim against what is known fails."""
+    known = _written(start.select("node", "value").distinct())
+    for _ in range(rounds):
+        claims = _written(step(known).select("node", "value").distinct())
+        now = _written(learned(claims, known))
+        if claims.join(known, "node", "left_anti").isEmpty():
+            return now
+        known = now
+    raise RuntimeError("claims did not settle")
+
+
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, label): the smallest node that undirected (source, target) edges connect a node with.
 

@@ -1,4 +1,8 @@
-"""Intervals: point lookups and overlap, without expanding intervals to points."""
+"""Intervals: point lookups and overlap, without expanding intervals to points.
+
+Range joins are equi-joins: points and intervals are dealt to cells of a stated width (an interval to
+each cell that it touches, so choose the width near the intervals' length), then compared exactly.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,7 @@ from pyspark.sql import functions as F
 
 
 def owners(points: DataFrame, point: str, key: str, intervals: DataFrame, low: str, high: str, owner: str, width: float) -> DataFrame:
-    """Each point with the number of intervals [low, high) that hold it, and the owner where it is one.
-
-    A range join as an equi-join: both sides are dealt to buckets of ``width`` (an interval to each
-    bucket it touches; choose the width near the intervals' length), then compared exactly.
-    """
+    """Each point with the number of intervals [low, high) that hold it, and the owner where it is one."""
     cells = intervals.select(owner, low, high, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))).alias("cell"))
     inside = points.select(key, point, F.floor(F.col(point) / width).alias("cell")).join(cells, "cell").where((F.col(low) <= F.col(point)) & (F.col(point) < F.col(high)))
     found = inside.groupBy(key).agg(F.count(F.lit(1)).alias("n_owners"), F.min(owner).alias("owner"))
@@ -30,16 +30,30 @@ def merged(ranges: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 
 def lost_and_gained(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """Per key: points covered before and after, lost and gained, from disjoint ranges of both sides."""
-    size = lambda df, name: df.groupBy(key).agg(F.sum(F.col("end") - F.col("start")).alias(name))
-    a = after.select(key, F.col("start").alias("start2"), F.col("end").alias("end2"))
-    common = before.join(a, key).where("start < end2 and start2 < end")
-    common = common.groupBy(key).agg(F.sum(F.least("end", "end2") - F.greatest("start", "start2")).alias("common"))
-    out = size(before, "covered_before").join(size(after, "covered_after"), key, "full_outer").join(common, key, "left").na.fill(0)
-    return out.select(key, "covered_before", "covered_after", (F.col("covered_before") - F.col("common")).alias("lost"), (F.col("covered_after") - F.col("common")).alias("gained"))
-
-
-def smallest_enclosing(points: DataFrame, point: str, group: str, key: str, ranges: DataFrame, low: str, high: str, name: str) -> DataFrame:
+    """Per key: points covered before and after, lost and gained, from disjoint ranges of both sides, in one sweep over their ends."""
+    ends = None
+    for df, name, other in ((before, "b", "a"), (after, "a", "b")):
+        for at, step in (("start", 1), ("end", -1)):
+            side = df.select(key, F.col(at).alias("at"), F.lit(step).alias(name), F.lit(0).alias(other))
+            ends = side if ends is None else ends.unionByName(side)
+    ends = ends.groupBy(key, "at").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    w = Window.partitionBy(key).orderBy("at")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = ends.select(key, (F.sum("b").over(upto) > 0).alias("b"), (F.sum("a").over(upto) > 0).alias("a"), (F.lead("at").over(w) - F.col("at")).alias("size"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0))
+    b, a = F.col("b"), F.col("a")
+    return spans.groupBy(key).agg(total(b).alias("covered_before"), total(a).alias("covered_after"), total(b & ~a).alias("lost"), total(a & ~b).alias("gained"))
+
+
+def holding(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, width: float, group: list[str] | None = None) -> DataFrame:
+    """Points with each range [low, high], both ends included, that holds them, within ``group`` columns of both sides if given."""
+    group = group or []
+    cells = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    held = points.withColumn("_cell", F.floor(F.col(point) / width)).join(cells, [*group, "_cell"])
+    return held.where((F.col(low) <= F.col(point)) & (F.col(point) <= F.col(high))).drop("_cell")
+
+
+def smallest_enclosing(points: DataFrame, point: str, group: str, key: str, ranges: DataFrame, low: str, high: str, name: str, width: float) -> DataFrame:
     """For each point the shortest range of its group that holds it (ties: the smallest name)."""
-    held = points.select(key, group, point).join(ranges.select(group, low, high, name), group).where((F.col(low) <= F.col(point)) & (F.col(point) <= F.col(high)))
+    held = holding(points.select(key, group, point), point, ranges.select(group, low, high, name), low, high, width, [group])
     return held.groupBy(key).agg(F.min(F.struct((F.col(high) - F.col(low)).alias("length"), F.col(name).alias("name"))).alias("best")).select(key, F.col("best.name").alias(name), "best.length")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.intervals import holding
+
 
 def unit_sets(rows: DataFrame, symbol: str, unit: str, exact: Column) -> DataFrame:
     """Per symbol: units that have it, and units where it is exact, as numbers and sorted text."""
@@ -19,9 +21,25 @@ def next_at_or_after(rows: DataFrame, group: str, order: list[str], wanted: Colu
     return rows.withColumn("later", F.first(F.when(wanted, F.col(value)), ignorenulls=True).over(w))
 
 
-def nearest(wants: DataFrame, key: str, size: str, anchor: str, extents: DataFrame, place: str) -> DataFrame:
-    """For each want the extent of its size nearest to its anchor (the lower place on ties); the sizes must agree."""
-    found = wants.join(extents.select(F.col(size), F.col(place)), size)
+def nearest(wants: DataFrame, key: str, size: str, anchor: str, extents: DataFrame, place: str, width: float) -> DataFrame:
+    """For each want the extent of its size nearest to its anchor (the lower place on ties); the sizes must agree.
+
+    Places fall in cells of ``width``. A want meets the extents of its own cell, the last place of the
+    nearest cell before it that has one and the first of the nearest after it; these come from a table
+    with a row for each cell.
+    """
+    cell = lambda c: F.floor(F.col(c) / width).alias("_cell")
+    spots = extents.select(size, place, cell(place)).where(F.col(place).isNotNull())
+    wants = wants.withColumn("_cell", cell(anchor))
+    ends = spots.groupBy(size, "_cell").agg(F.min(place).alias("_low"), F.max(place).alias("_high"))
+    ends = ends.join(wants.select(size, "_cell").distinct(), [size, "_cell"], "full_outer")
+    w = Window.partitionBy(size).orderBy("_cell")
+    left = F.last("_high", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    right = F.first("_low", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    ends = ends.withColumn("_before", left).withColumn("_after", right)
+    around = ends.select(size, "_cell", F.explode(F.array_compact(F.array("_before", "_after"))).alias(place))
+    columns = [key, anchor, place]
+    found = wants.join(around, [size, "_cell"]).select(columns).union(wants.join(spots, [size, "_cell"]).select(columns))
     return found.groupBy(key).agg(F.min(F.struct(F.abs(F.col(place) - F.col(anchor)).alias("distance"), F.col(place).alias("place"))).alias("best")).select(key, "best.place", "best.distance")
 
 
@@ -32,9 +50,9 @@ def adjacent(rows: DataFrame, group: str, start: str, size: str, within: int) ->
     return rows.withColumn("gap", gap).withColumn("adjacent", F.coalesce((gap >= 0) & (gap <= within), F.lit(False)))
 
 
-def in_ranges(points: DataFrame, group: str, point: str, ranges: DataFrame, low: str, high: str, name: str) -> DataFrame:
-    """Points with each range of their group that holds them: a range join within the group."""
-    return points.join(ranges.select(group, low, high, name), group).where((F.col(low) <= F.col(point)) & (F.col(point) <= F.col(high)))
+def in_ranges(points: DataFrame, group: str, point: str, ranges: DataFrame, low: str, high: str, name: str, width: float) -> DataFrame:
+    """Points with each range of their group that holds them."""
+    return holding(points, point, ranges.select(group, low, high, name), low, high, width, [group])
 
 
 def reasons(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -36,7 +36,7 @@ select c_custkey, place, distance from (select c_custkey, place, abs(place - anc
 def nearest_extent(spark, d):
     wants = T(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 40 + 1).alias("size"), (F.col("c_custkey") * 3).alias("anchor"))
     extents = T(spark, d, "part").select(F.col("p_size").cast("long").alias("size"), F.col("p_partkey").alias("place"))
-    return L.nearest(wants, "c_custkey", "size", "anchor", extents, "place")
+    return L.nearest(wants, "c_custkey", "size", "anchor", extents, "place", 500)
 
 
 @query(
@@ -58,7 +58,7 @@ def lines_in_ranges(spark, d):
     points = T(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("g"), (F.col("o_orderkey") % 1000).alias("x"))
     s = F.col("s_suppkey")
     ranges = T(spark, d, "supplier").select("s_suppkey", (s % 50).alias("g"), (s * 7 % 900).alias("lo"), (s * 7 % 900 + 60).alias("hi"))
-    return L.in_ranges(points, "g", "x", ranges, "lo", "hi", "s_suppkey").select("o_orderkey", "s_suppkey")
+    return L.in_ranges(points, "g", "x", ranges, "lo", "hi", "s_suppkey", 60).select("o_orderkey", "s_suppkey")
 
 
 @query(

@@ -14,13 +14,13 @@ T = B.table
 
 @query(
     "select_near_misses",
-    f"""with {B.SNAPSHOTS} select key, unit, score from after_ where not exact and score >= 50 and size is not null and unit % 11 <> 0 and key - 1 not in (select key from after_)""",
+    f"""with {B.SNAPSHOTS} select key, unit, score from after_ where not exact and score >= 50 and size is not null and key - 1 not in (select key from after_)""",
 )
 def select_near_misses(spark, d):
     """Inexact keys of at least a score, with exclusions and without twins."""
     rows = B.snapshot(spark, d, "after")
     other = rows.select((F.col("key") + 1).alias("key"))
-    return rows.where("not exact and score >= 50 and size is not null and unit % 11 <> 0").join(other, "key", "left_anti").select("key", "unit", "score")
+    return rows.where("not exact and score >= 50 and size is not null").join(other, "key", "left_anti").select("key", "unit", "score")
 
 
 @query("last_wins", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1")
@@ -30,13 +30,13 @@ def last_wins(spark, d):
 
 @query(
     "resolve_cascade",
-    """with o as (select o_custkey as k, max(o_orderkey) as v from orders where o_orderstatus = 'F' and o_orderkey % 5 <> 0 group by 1), p as (select o_custkey as k, max(o_orderkey) as v from orders group by 1)
+    """with o as (select o_custkey as k, max(o_orderkey) as v from orders where o_orderstatus = 'F' group by 1), p as (select o_custkey as k, max(o_orderkey) as v from orders group by 1)
 select c_custkey as k, coalesce(nullif(o.v, 0), nullif(p.v, 0)) as v, case when nullif(o.v, 0) is not null then 0 when nullif(p.v, 0) is not null then 1 end as source
 from customer left join o on o.k = c_custkey left join p on p.k = c_custkey""",
 )
 def resolve_cascade(spark, d):
     orders = T(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), "o_orderstatus")
-    first = orders.where("o_orderstatus = 'F' and v % 5 <> 0").groupBy("k").agg(F.max("v").alias("v"))
+    first = orders.where("o_orderstatus = 'F'").groupBy("k").agg(F.max("v").alias("v"))
     second = orders.groupBy("k").agg(F.max("v").alias("v"))
     return R.first_present(T(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k", [first, second], "v", F.lit(0))
 
