@@ -60,13 +60,13 @@ def callees(line: Column, keywords: list[str]) -> Column:
 
 
 def cause(message: Column, rules: list[tuple[str, str]], most: int = 80) -> Column:
-    """The first rule whose pattern a message matches names its cause (``{1}`` is the first group); else its first characters."""
+    """The first rule whose pattern a message matches names its cause (``{1}`` is the first group); else its first characters, quoted names masked."""
     named = []
     for pattern, name in rules:
         head, mark, tail = name.partition("{1}")
         text = F.concat(F.lit(head), F.regexp_extract(message, pattern, 1), F.lit(tail)) if mark else F.lit(name)
         named.append((message.rlike(pattern), text))
-    return reduce(lambda rest, rule: F.when(rule[0], rule[1]).otherwise(rest), reversed(named), F.substring(message, 1, most))
+    return reduce(lambda rest, rule: F.when(rule[0], rule[1]).otherwise(rest), reversed(named), F.substring(F.regexp_replace(message, "'[^']*'", "X"), 1, most))
 
 
 def group_of(kinds: Column, signals: Column, source: list[str], without: list[str]) -> Column:
@@ -80,3 +80,83 @@ def cyclic_step(ours: Column, theirs: Column, ring: list[str]) -> Column:
     """Steps from one to the other around a ring; null if none or if either is not on it."""
     at = F.create_map(*[x for i, r in enumerate(ring) for x in (F.lit(r), F.lit(i))])
     return F.nullif(F.pmod(F.element_at(at, theirs) - F.element_at(at, ours), F.lit(len(ring))), F.lit(0))
+
+
+def padded(source: Column, declaration: str, count: Column) -> Column:
+    """A source with so many declarations before it."""
+    return F.concat(F.repeat(F.lit(declaration), count.cast("int")), source)
+
+
+def arrows(text: Column) -> Column:
+    """A map of the pairs ``a->b`` in a text; of a name that is mapped twice the last counts."""
+    found = F.regexp_extract_all(text, F.lit(r"(\w+->\w+)"), 1)
+    pair = lambda x: F.struct(F.split_part(x, F.lit("->"), F.lit(1)).alias("key"), F.split_part(x, F.lit("->"), F.lit(2)).alias("value"))
+    last = F.filter(F.transform(found, pair), lambda p: p["value"] == F.element_at(F.filter(F.transform(found, pair), lambda q: q["key"] == p["key"]), -1)["value"])
+    return F.map_from_entries(F.array_distinct(last))
+
+
+def next_in_ring(name: Column, ring: list[str]) -> Column:
+    """The element after a name on a ring; null off it."""
+    at = F.array_position(F.array(*map(F.lit, ring)), name)
+    return F.when(at > 0, F.element_at(F.array(*map(F.lit, ring)), (at % len(ring) + 1).cast("int")))
+
+
+def table_entry(word: Column, size: int, names: list[str]) -> Column:
+    """The name at a word that is a multiple of the entries' size; null if it isn't, or beyond the table."""
+    k = (word / size).cast("int")
+    return F.when((word >= 0) & (word % size == 0) & (word < size * len(names)), F.get(F.array(*map(F.lit, names)), k))
+
+
+def section_identity(name: Column) -> Column:
+    """A section that holds one symbol (``.text._Z...``) stands for the symbol; others for themselves."""
+    return F.regexp_replace(name, r"^\.(?:rodata|data|bss|text)\.(?=_Z)", "")
+
+
+def string_encoding(section: Column) -> Column:
+    """How a merged string section is read: ``utf8`` or ``utf32le``; null if it holds no strings."""
+    width = F.regexp_extract(section, r"^\.rodata\.(str\d*)(?:\.|$)", 1)
+    return F.when(width == "str1", "utf8").when(width == "str4", "utf32le")
+
+
+def reference_place(start: Column, addend: Column, relative: Column, trailing: Column) -> Column:
+    """Where a relocation points: a field that is relative reads at its instruction's end, four bytes and any trailing field on."""
+    return start + addend + F.when(relative, trailing + 4).otherwise(0)
+
+
+def contract(name: Column, rules: dict[str, str]) -> Column:
+    """What is known of a name by the first pattern that it matches; null if by none."""
+    return F.coalesce(*[F.when(name.rlike(pattern), F.lit(text)) for pattern, text in rules.items()])
+
+
+def first_under(frames: Column, prefix: str, field: str = "path") -> Column:
+    """The first frame of an array whose path begins with a prefix; null if none."""
+    return F.get(F.filter(frames, lambda f: f[field].startswith(prefix)), F.lit(0))
+
+
+def without_version(name: Column) -> Column:
+    """A variable without its version: ``x_12`` and ``x_3(D)`` are ``x``."""
+    return F.regexp_replace(name, r"_\d+(?:\([DAB]\))?$", "")
+
+
+#: Comparison operators on swapped operands.
+MIRROR = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "==", "!=": "!="}
+
+
+def same_comparison(ours: Column, operator: Column, theirs: Column, other: Column) -> Column:
+    """Are two comparisons (operands, operator) one, up to versions and to swapping sides?"""
+    plain = F.transform(ours, without_version)
+    mirror = F.element_at(F.create_map(*[F.lit(x) for p in MIRROR.items() for x in p]), operator)
+    return ((plain == theirs) & (operator == other)) | ((plain == F.reverse(theirs)) & (mirror == other))
+
+
+def replacements(text: Column) -> Column:
+    """(version, value) of lines ``x_12 replace with --> ... = value;``."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\S+_\d+(?:\([DAB]\))? replace with --> .* = .*;$"))
+    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"_(\d+)(?:\([DAB]\))? replace with", 1).cast("int").alias("version"), F.regexp_extract(x, r"--> .*? = (.*);$", 1).alias("value")))
+
+
+def partition_names(text: Column) -> Column:
+    """(version, name) of lines ``Partition 3 (x - 1 2)``: each listed version has the name."""
+    lines = F.regexp_extract_all(text, F.lit(r"Partition \d+ \(([^()]+ - [\d ]+)\)"), 1)
+    each = F.transform(lines, lambda x: F.transform(F.filter(F.split(F.regexp_extract(x, r"- ([\d ]+)$", 1), r"\s+"), lambda v: v != ""), lambda v: F.struct(v.cast("int").alias("version"), F.regexp_extract(x, r"^(.*) - ", 1).alias("name"))))
+    return F.flatten(each)

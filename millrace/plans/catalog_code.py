@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import code as K
-from millrace.operators import code
+from millrace.operators import instructions as I
 from millrace.plans import bindings as B
 from millrace.plans.catalog import query
 
@@ -14,15 +13,16 @@ def instructions(spark, d):
     """Per customer the filled and the open orders as two instruction arrays (ours, theirs)."""
     o = B.table(spark, d, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    null = lambda t: F.lit(None).cast(t)
+    null = F.lit(None)
     names = F.array(*map(F.lit, ["mov", "add", "cmp", "jl", "jge", "call", "nop"]))
     registers = F.array(*map(F.lit, ["rax", "rbx", "rsp", "xmm0"]))
     mnemonic = F.element_at(names, (F.substring("o_orderpriority", 1, 1).cast("int") + F.col("o_orderkey").cast("int") % 3))
-    operand = lambda kind, reg, imm, base, disp: F.struct(kind.alias("kind"), reg.alias("reg"), imm.alias("imm"), base.alias("base"), null("string").alias("idx"), F.lit(1).alias("scale"), disp.alias("disp"), F.lit(4).alias("width"))
-    first = operand(F.lit("reg"), F.element_at(registers, (k % 4 + 1).cast("int")), null("bigint"), null("string"), null("bigint"))
+    operand = lambda kind, names, rest, place: F.struct(kind.alias("kind"), names.alias("names"), rest.cast("string").alias("rest"), place.cast("bigint").alias("place"))
+    first = operand(F.lit("reg"), F.array(F.element_at(registers, (k % 4 + 1).cast("int"))), null, null)
     memory = k % 2 == 0
-    second = operand(F.when(memory, "mem").otherwise("imm"), null("string"), F.when(~memory, k % 3), F.when(memory, F.element_at(registers, (k % 3 + 1).cast("int"))), F.when(memory, k % 5))
-    row = F.struct(k.alias("offset"), mnemonic.alias("mnemonic"), F.array(first, second).alias("operands"), F.lit("").alias("text"), F.lit(4).alias("size"))
+    base = F.when(memory, F.array(F.element_at(registers, (k % 3 + 1).cast("int")))).otherwise(F.array().cast("array<string>"))
+    second = operand(F.when(memory, "mem").otherwise("imm"), base, F.when(memory, "1x4").otherwise((k % 3).cast("string")), F.when(memory, k % 5))
+    row = F.struct(k.alias("at"), mnemonic.alias("mnemonic"), F.array(first, second).alias("operands"))
     side = lambda s: F.sort_array(F.collect_list(F.when(F.col("o_orderstatus") == s, row)))
     return o.groupBy(c).agg(side("F").alias("ours"), side("O").alias("theirs"))
 
@@ -30,13 +30,13 @@ def instructions(spark, d):
 @query("code_differences")
 def code_differences(spark, d):
     """Causes and rows of the differences of every customer's two arrays."""
-    return code.differences(instructions(spark, d), "o_custkey").groupBy("o_custkey", "cause").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("n_rows"))
+    return I.differences(instructions(spark, d), "o_custkey").groupBy("o_custkey", "cause").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("n_rows"))
 
 
 @query("code_agreement")
 def code_agreement(spark, d):
     """The strictest level at which each customer's two arrays agree, with consistent renamings and differing stretches."""
-    c = code.classified(instructions(spark, d), "o_custkey")
+    c = I.classified(instructions(spark, d), "o_custkey")
     total = lambda name: F.sum(F.coalesce(name, F.lit(0)))
     return c.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count("renaming").alias("n_renamed"), total("stretches").alias("n_stretches"), total("instructions").alias("n_instructions"))
 
@@ -50,5 +50,20 @@ _I = """i as (select o_custkey, o_orderkey as k, (['mov', 'add', 'cmp', 'jl', 'j
 )
 def code_predicates(spark, d):
     one = instructions(spark, d).select(F.explode(F.concat("ours", "theirs")).alias("i"))
-    first = F.struct(F.col("i.offset").alias("offset"), F.col("i.mnemonic").alias("mnemonic"), F.slice("i.operands", 1, 1).alias("operands"))
-    return one.select(F.col("i.offset").alias("k"), K.is_padding(F.col("i")).alias("padding"), K.moves_data(F.col("i")).alias("moves"), K.shape(first).alias("shape"))
+    first = F.struct(F.col("i.at").alias("at"), F.col("i.mnemonic").alias("mnemonic"), F.slice("i.operands", 1, 1).alias("operands"))
+    i = F.col("i")
+    return one.select(F.col("i.at").alias("k"), I.is_padding(i).alias("padding"), I.moves_data(i).alias("moves"), I.view(first, "registers").alias("shape"))
+
+
+@query("level_census")
+def level_census(spark, d):
+    """Customers and their order value per level at which their two arrays agree."""
+    sizes = B.table(spark, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").cast("decimal(20,2)").alias("bytes"))
+    levels, _ = I.level_census(I.classified(instructions(spark, d), "o_custkey").join(sizes, "o_custkey"), "o_custkey", F.col("bytes"))
+    return levels.select("level", "n", F.col("bytes").cast("double").alias("bytes"))
+
+
+@query("shared_signatures")
+def shared_signatures(spark, d):
+    """Differing stretches that several customers share, where a customer has one."""
+    return I.level_census(I.classified(instructions(spark, d), "o_custkey"), "o_custkey", F.lit(0))[1]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,13 +47,59 @@ def write_symbol_table(rows: DataFrame, path: str) -> None:
     ordered.write.csv(path, sep="\t", header=True, quote='"', escape='"')
 
 
+_EVIDENCE = ["commit", "function", "note"]
+_PLAIN = ["id", "cause", "status", "symptom", "fix"]
+RULES = ", ".join(["base string", *(f"{c} string" for c in _PLAIN), "evidence array<struct<" + ",".join(f"{c}:string" for c in _EVIDENCE) + ">>"])
+
+
+def rule_bases(files: DataFrame) -> DataFrame:
+    """(base, id, cause, status, symptom, fix, evidence) of rule bases in TOML, from rows (base, content): a file's [[idiom]] tables."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for base, content in zip(frame["base"], frame["content"]):
+                for rule in tomllib.loads(bytes(content).decode()).get("idiom", []):
+                    out.append((base, *(rule.get(c) for c in _PLAIN), [{k: e.get(k) for k in _EVIDENCE} for e in rule.get("evidence", [])]))
+            yield pd.DataFrame(out, columns=["base", *_PLAIN, "evidence"])
+
+    return files.select("base", "content").mapInPandas(run, RULES)
+
+
+def rule_files(spark: SparkSession, path: str) -> DataFrame:
+    """(base, content): the catalog of rule bases below a folder, by file name."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.toml").option("recursiveFileLookup", "true").load(path)
+    return found.select(F.regexp_extract("path", r"([^/]+)\.toml$", 1).alias("base"), "content")
+
+
 def rules(spark: SparkSession, text: str) -> DataFrame:
-    """Rows of a rule base in TOML: [[idiom]] tables with nested evidence. The file is small and read whole."""
-    evidence = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("commit", "function", "note")]))
-    plain = ["id", "cause", "status", "symptom", "fix"]
-    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in plain), T.StructField("evidence", evidence)])
-    rows = [tuple(r.get(c) for c in plain) + ([{k: e.get(k) for k in ("commit", "function", "note")} for e in r.get("evidence", [])],) for r in tomllib.loads(text).get("idiom", [])]
-    return spark.createDataFrame(rows, schema)
+    """Rows of one rule base given as text."""
+    return rule_bases(spark.createDataFrame([("", text.encode())], "base string, content binary")).drop("base")
+
+
+def rules_for(rules: DataFrame, causes: DataFrame, cause: str = "cause") -> DataFrame:
+    """Rules whose cause is among those of ``causes``."""
+    return rules.join(causes.select(F.col(cause).alias("cause")).distinct(), "cause", "left_semi")
+
+
+def bindings(spark: SparkSession, path: str) -> DataFrame:
+    """(name, address, unit) of a tab-separated bindings file: named rows of space ``text``; comment lines are skipped."""
+    rows = spark.read.csv(path, sep="\t", header=True, comment="#", schema="space string, rva string, name string, unit string", enforceSchema=False)
+    return rows.where("space = 'text' and name <> ''").select("name", X.address(F.col("rva")).alias("address"), "unit")
+
+
+def baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(unit, symbol, best) of a tab-separated baseline without header: lines of eight fields or more that are no comment."""
+    fields = F.split("value", "\t")
+    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(fields) >= 8))
+    return rows.select(fields[0].alias("unit"), fields[1].alias("symbol"), fields[2].cast("double").alias("best"))
+
+
+def with_baseline(functions: DataFrame, best: DataFrame, names: DataFrame) -> DataFrame:
+    """Report rows (unit, name, size, score) as verdicts: exact where the banked best or this build's score is 100; addresses by name."""
+    banked = best.select("unit", F.col("symbol").alias("name"), "best")
+    rows = functions.select("unit", "name", "size", "score").join(banked, ["unit", "name"], "left").join(names.select("name", "address"), "name", "left")
+    return rows.withColumn("best", F.coalesce("best", "score")).withColumn("exact", (F.col("best") == 100) | (F.col("score") == 100))
 
 
 _FUNCTION = "struct<name:string,size:string,fuzzy_match_percent:double,metadata:struct<demangled_name:string,virtual_address:string>>"
@@ -73,8 +121,15 @@ def flatten_report(report: DataFrame) -> DataFrame:
 _SECTION = "struct<name:string,exact:boolean,functions:array<struct<symbol:string,address:string,size:bigint,exact:boolean,exact_but_unknown:boolean>>>"
 
 
+MATCHES = f"unit string, sections array<{_SECTION}>"
+
+
 def match_functions(spark: SparkSession, path: str) -> DataFrame:
     """(unit, section, symbol, key, address, size, exact) of per-unit match reports."""
-    report = spark.read.schema(f"unit string, sections array<{_SECTION}>").option("multiLine", True).json(path)
+    return flatten_matches(spark.read.schema(MATCHES).option("multiLine", True).json(path))
+
+
+def flatten_matches(report: DataFrame) -> DataFrame:
+    """The same of report rows (unit, sections)."""
     each = report.select("unit", F.explode("sections").alias("s")).select("unit", F.col("s.name").alias("section"), F.explode("s.functions").alias("f"))
     return each.select("unit", "section", "f.symbol", X.function_key(F.col("f.symbol"), F.col("f.address")).alias("key"), X.address(F.col("f.address")).alias("address"), "f.size", F.coalesce("f.exact", F.lit(False)).alias("exact"))
