@@ -1,33 +1,32 @@
 """Causes of instruction differences on literal sequences."""
 
-from millrace.functions import code as K
-from millrace.operators import code
+from millrace.operators import instructions as I
 from pyspark.sql import functions as F
 
 
 def reg(name):
-    return ("reg", name, None, None, None, None, None, None)
+    return ("reg", [name], None, None)
 
 
 def imm(value):
-    return ("imm", None, value, None, None, None, None, None)
+    return ("imm", [], str(value), None)
 
 
 def mem(base, disp):
-    return ("mem", None, None, base, None, 1, disp, 4)
+    return ("mem", [base], "1x4", disp)
 
 
 def seq(*rows):
-    return [(i, m, list(ops), m, 4) for i, (m, *ops) in enumerate(rows)]
+    return [(i, m, list(ops)) for i, (m, *ops) in enumerate(rows)]
 
 
 def pairs(spark, *cases):
-    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(cases)], f"key long, ours array<{K.INSTRUCTION}>, theirs array<{K.INSTRUCTION}>")
+    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(cases)], f"key long, ours array<{I.INSTRUCTION}>, theirs array<{I.INSTRUCTION}>")
 
 
 def causes(spark, *cases):
     out = {}
-    for r in code.differences(pairs(spark, *cases), "key").collect():
+    for r in I.differences(pairs(spark, *cases), "key").collect():
         out.setdefault(r.key, []).append((r.cause, r.rows))
     return out
 
@@ -53,10 +52,10 @@ def test_causes(spark):
 def test_levels(spark):
     a = seq(("mov", reg("rax"), mem("rsp", 8)))
     cases = [(a, a), (a, seq(("mov", reg("rbx"), mem("rsp", 8)))), (a, seq(("mov", reg("rbx"), mem("rsp", 16)))), (a, seq(("mov", imm(1)))), (a, seq(("add", imm(1))))]
-    got = {r.key: r.level for r in code.agreement(pairs(spark, *cases), "key").collect()}
+    got = {r.key: r.level for r in I.agreement(pairs(spark, *cases), "key").collect()}
     assert got == {0: "exact", 1: "registers", 2: "frame", 3: "opcodes", 4: None}
 
 
 def test_padding(spark):
-    one = pairs(spark, (seq(("xchg", reg("rax"), reg("rax")), ("xchg", reg("rax"), reg("rbx")), ("nop",)), [])).select(F.transform("ours", K.is_padding))
+    one = pairs(spark, (seq(("xchg", reg("rax"), reg("rax")), ("xchg", reg("rax"), reg("rbx")), ("nop",)), [])).select(F.transform("ours", I.is_padding))
     assert one.first()[0] == [True, False, True]

@@ -4,7 +4,7 @@ import difflib
 import random
 from collections import Counter
 
-from millrace.operators import code
+from millrace.operators import instructions as I
 from millrace.plans import catalog, catalog_code
 from tests.test_code import imm, mem, pairs, reg, seq
 
@@ -15,10 +15,10 @@ def view(i, level):
     cls = lambda r: r if r is None or r in ("rsp", "rip") else "xmm" if r.startswith("xmm") else "gpr"
 
     def operand(o):
-        if o.kind == "mem" and level == "frame" and o.base in STACK:
+        if o.kind == "mem" and level == "frame" and o.names[0] in STACK:
             return "frame"
         name = cls if level != "exact" else lambda r: r
-        return (o.kind, name(o.reg), o.imm, name(o.base), name(o.idx), o.scale, o.disp, o.width if o.kind == "mem" else None)
+        return (o.kind, [name(x) for x in o.names], o.rest, o.place)
 
     return i.mnemonic if level == "opcodes" else (i.mnemonic, [operand(o) for o in i.operands])
 
@@ -26,14 +26,14 @@ def view(i, level):
 def renaming(a, b):
     there, back = {}, {}
     for i, j in zip(a, b):
-        x, y = ([r for o in k.operands for r in ((o.reg,) if o.kind == "reg" else (o.base, o.idx) if o.kind == "mem" else ()) if r] for k in (i, j))
+        x, y = ([r for o in k.operands for r in o.names] for k in (i, j))
         if len(x) != len(y) or any(there.setdefault(p, q) != q or back.setdefault(q, p) != p for p, q in zip(x, y)):
             return None
     return {p: q for p, q in there.items() if p != q}
 
 
 def classify(a, b):
-    for level in code.LEVELS:
+    for level in I.VIEWS:
         if [view(i, level) for i in a] == [view(i, level) for i in b]:
             return level, renaming(a, b) if level == "registers" else None, None, None, None
     x, y = [i.mnemonic for i in a], [i.mnemonic for i in b]
@@ -49,15 +49,15 @@ def test_classified_equals_brute_force(spark):
     swap = {"rax": "rbx", "rbx": "rax"}
     for _ in range(20):
         rows = [step() for _ in range(5)]
-        cases.append((seq(*rows), seq(*[(m, reg(swap.get(o[1], o[1])), p) for m, o, p in rows])))
+        cases.append((seq(*rows), seq(*[(m, reg(swap.get(o[1][0], o[1][0])), p) for m, o, p in rows])))
         cases.append((seq(*rows), seq(*rows[:4], ("add", reg(r.choice(["rax", "rbx"])), rows[4][2]))))
         cases.append((seq(*rows), seq(*rows[:3], *[(m, o, mem("rsp", 24)) for m, o, _ in rows[3:]])))
     df = pairs(spark, *cases)
     want = {x.key: classify(x.ours, x.theirs) for x in df.collect()}
-    assert {x[0] for x in want.values()} == {*code.LEVELS, "sequence"}
+    assert {x[0] for x in want.values()} == {*I.VIEWS, "sequence"}
     assert {x[1] is None for x in want.values() if x[0] == "registers"} == {True, False}
     assert {x[4] is None for x in want.values() if x[0] == "sequence"} == {True, False}
-    assert {x.key: (x.level, x.renaming, x.stretches, x.instructions, x.signature) for x in code.classified(df, "key").collect()} == want
+    assert {x.key: (x.level, x.renaming, x.stretches, x.instructions, x.signature) for x in I.classified(df, "key").collect()} == want
 
 
 def test_query_classifies_whole_arrays(spark, tmp_path):
