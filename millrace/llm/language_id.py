@@ -275,17 +275,19 @@ def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     added = [prefix + c for c in ("lang_pred", "score", "entropy", "rejected")]
     docs = docs.select(*C.quoted([c for c in docs.columns if c not in added]))
     known = docs.sparkSession.sparkContext.broadcast(model)
-    name = lambda c: "`" + c.replace("`", "``") + "`"
-    schema = ", ".join(f"{name(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema += "".join(f", `{c}` {t}" for c, t in zip(added, ("string", "double", "double", "boolean")))
+    names, text = docs.columns, docs.columns.index("text")
+    # columns go through Python under plain names, whatever theirs are
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
+    schema += ", lang_pred string, score double, entropy double, rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, offsets = C.bytes_of(batch.column("text"))
+            _, offsets = C.bytes_of(batch.column(text))
             for i, j in C.steps(offsets, STEP):
                 part = batch.slice(i, j - i)
-                names, score, entropy, rejected = known.value.predict([t or "" for t in part.column("text").to_pylist()])
-                columns = [*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *added])
+                found, score, entropy, rejected = known.value.predict([t or "" for t in part.column(text).to_pylist()])
+                columns = [*part.columns, pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "lang_pred", "score", "entropy", "rejected"])
 
-    return C.map_arrow(docs, run, schema)
+    return C.map_arrow(plain, run, schema).toDF(*names, *added)
