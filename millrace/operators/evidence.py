@@ -181,6 +181,47 @@ def with_previous(rows: DataFrame, group: str, order: list[str], columns: list[s
     return rows.withColumn("previous", F.lag(F.struct(*columns)).over(Window.partitionBy(group).orderBy(*order)))
 
 
+def completed(listing: DataFrame, source: DataFrame, number: str, text: str, cut: Column) -> DataFrame:
+    """Listing rows whose cut text is taken from the source row that their own line number names; without one they stay as they are."""
+    whole = source.select(number, F.col(text).alias("_whole"))
+    return listing.join(whole, number, "left").withColumn(text, F.when(cut, F.coalesce("_whole", text)).otherwise(F.col(text))).drop("_whole")
+
+
+def references(rows: DataFrame, functions: DataFrame, section: str, place: Column) -> DataFrame:
+    """Rows with (name, offset) of what they point at: a function that begins there, by its name and 0, else the section and the place."""
+    rows = rows.withColumn("_place", place)
+    starts = functions.select(F.col("section").alias(section), F.col("start").alias("_place"), F.col("name").alias("_name"))
+    found = rows.join(starts, [section, "_place"], "left")
+    return found.withColumn("name", F.coalesce(F.col("_name"), F.col(section).cast("string"))).withColumn("offset", F.when(F.col("_name").isNotNull(), 0).otherwise(F.col("_place"))).drop("_place", "_name")
+
+
+def constructs(locations: DataFrame, lines: DataFrame) -> DataFrame:
+    """Locations (path, line) with the trimmed text of their source line; null where the source has none."""
+    return locations.join(lines.select("path", "line", F.trim("text").alias("construct")), ["path", "line"], "left")
+
+
+def of_kinds(rows: DataFrame, evidence: str, kinds: list[str]) -> DataFrame:
+    """Rows whose evidence is of one of the kinds: the text before its first colon."""
+    return rows.where(F.split_part(F.col(evidence), F.lit(":"), F.lit(1)).isin(kinds))
+
+
+def own_exact(rows: DataFrame, definitions: DataFrame, key: list[str], exact: Column, excluded: list[str]) -> DataFrame:
+    """Distinct keys of exact rows that their own unit defines (``definitions`` has the key), less names that begin with an excluded prefix."""
+    name = F.col(key[-1])
+    barred = F.lit(False)
+    for prefix in excluded:
+        barred = barred | name.startswith(prefix)
+    return rows.where(exact & ~barred).select(*key).distinct().join(definitions.select(*key).distinct(), key, "left_semi")
+
+
+def gathered(functions: DataFrame, differences: DataFrame, key: list[str], size: str, unreadable: Column) -> tuple[DataFrame, DataFrame]:
+    """(key..., size, n): functions with differences, in order of size, and (key..., reason) of those that were left out."""
+    counts = differences.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    skipped = functions.where(unreadable).select(*key, F.lit("unreadable").alias("reason"))
+    found = functions.where(~unreadable).join(counts, key).select(*key, size, "n").orderBy(F.desc(size), *key)
+    return found, skipped
+
+
 # --- gates ---------------------------------------------------------------------------------------
 
 

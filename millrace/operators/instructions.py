@@ -92,6 +92,16 @@ def moves_data(instruction: Column) -> Column:
     return instruction["mnemonic"].isin(MOVES) | F.coalesce(stack, F.lit(False))
 
 
+#: Mnemonics here that write their first operand.
+WRITES = [*(m for m in MOVES if m not in ("push",)), "add", "sub", "imul", "and", "or", "xor", "addss", "addsd", "mulss", "mulsd", "lea"]
+
+
+def written(instruction: Column) -> Column:
+    """The register that an instruction writes; null if none."""
+    first = _operand(instruction, 0)
+    return F.when(instruction["mnemonic"].isin(WRITES) & (first["kind"] == "reg"), F.get(first["names"], F.lit(0)))
+
+
 def pair_facts(a: Column, b: Column) -> Column:
     """Facts of two instructions at one place."""
     x, y = a["operands"], b["operands"]
@@ -112,6 +122,11 @@ def pair_facts(a: Column, b: Column) -> Column:
     )
 
 
+def pair_cause(a: Column, b: Column) -> Column:
+    """The cause that the facts of two different instructions mean."""
+    return rules.first_rule(pair_facts(a, b), PAIR_RULES, "instruction-selection")
+
+
 def run_facts(run: Column, others: Column) -> Column:
     """Facts of a run of instructions and of what stands on the other side."""
     calls = lambda c: F.exists(c, lambda i: i["mnemonic"] == "call")

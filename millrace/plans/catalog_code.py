@@ -55,10 +55,46 @@ def code_predicates(spark, d):
     return one.select(F.col("i.at").alias("k"), I.is_padding(i).alias("padding"), I.moves_data(i).alias("moves"), I.view(first, "registers").alias("shape"))
 
 
-@query("level_census")
+_CLASS = "case when {r} = 'rsp' then 'rsp' when {r} = 'xmm0' then 'xmm' else 'gpr' end"
+_VIEWS = f"""o as (select o_custkey, o_orderkey as k, o_orderstatus as s, o_totalprice, (['mov', 'add', 'cmp', 'jl', 'jge', 'call', 'nop'])[cast(left(o_orderpriority, 1) as int) + o_orderkey % 3] as m, (['rax', 'rbx', 'rsp', 'xmm0'])[o_orderkey % 4 + 1] as reg, (['rax', 'rbx', 'rsp'])[o_orderkey % 3 + 1] as base from orders),
+v as (select *, m || ' reg:' || reg || ' ' || case when k % 2 = 0 then 'mem:' || base || ',1x4,' || k % 5 else 'imm:' || k % 3 end as exact,
+  m || ' reg:' || {_CLASS.format(r="reg")} || ' ' || case when k % 2 = 0 then 'mem:' || {_CLASS.format(r="base")} || ',1x4,' || k % 5 else 'imm:' || k % 3 end as registers,
+  m || ' reg:' || {_CLASS.format(r="reg")} || ' ' || case when k % 2 = 0 then case when base = 'rsp' then 'frame' else 'mem:' || {_CLASS.format(r="base")} || ',1x4,' || k % 5 end else 'imm:' || k % 3 end as frame, m as opcodes from o)"""
+
+
+@query("code_views", f"with {_VIEWS} select k, exact, registers, frame, opcodes, case when m in ('mov', 'add') then reg end as written from v where s in ('F', 'O')")
+def code_views(spark, d):
+    """Every instruction at each level of looseness, and the register that it writes."""
+    i = F.col("i")
+    one = instructions(spark, d).select(F.explode(F.concat("ours", "theirs")).alias("i"))
+    return one.select(F.col("i.at").alias("k"), *[I.view(i, n).alias(n) for n in I.VIEWS], I.written(i).alias("written"))
+
+
+@query(
+    "pair_causes",
+    f"""with {_VIEWS}, p as (select k, m, base, lead(k) over w as k2, lead(m) over w as m2, lead(base) over w as base2 from v where s in ('F', 'O') window w as (partition by o_custkey, s order by k))
+select k, case when (m = 'jl' and m2 = 'jge') or (m = 'jge' and m2 = 'jl') then 'block-order' when m <> m2 then 'instruction-selection' when k % 2 = 0 and k2 % 2 = 0 and base = base2 and k % 5 <> k2 % 5 then case when base = 'rsp' then 'stack-layout' else 'struct-layout' end
+  when k % 2 = 1 and k2 % 2 = 1 and k % 3 <> k2 % 3 then 'immediate-or-reloc' else 'instruction-selection' end as cause from p where k2 is not null""",
+)
+def pair_causes(spark, d):
+    """Each instruction against the next one of its array: the cause that their facts mean."""
+    sides = instructions(spark, d).select(F.explode(F.array("ours", "theirs")).alias("run")).where(F.size("run") > 1)
+    follows = F.arrays_zip(F.slice("run", 1, F.size("run") - 1).alias("a"), F.slice("run", 2, F.size("run") - 1).alias("b"))
+    pairs = sides.select(F.inline(follows))
+    return pairs.select(F.col("a.at").alias("k"), I.pair_cause(F.col("a"), F.col("b")).alias("cause"))
+
+
+@query(
+    "level_census",
+    f"""with {_VIEWS}, t as (select o_custkey, s, string_agg(exact, '; ' order by k) as exact, string_agg(registers, '; ' order by k) as registers, string_agg(frame, '; ' order by k) as frame, string_agg(opcodes, '; ' order by k) as opcodes from v group by all),
+c as (select o_custkey, sum(cast(o_totalprice as decimal(20,2))) as bytes from v group by 1),
+l as (select c.o_custkey, bytes, case when a.exact is not distinct from b.exact then 'exact' when a.registers is not distinct from b.registers then 'registers' when a.frame is not distinct from b.frame then 'frame' when a.opcodes is not distinct from b.opcodes then 'opcodes' else 'sequence' end as level
+  from c left join (select * from t where s = 'F') a using (o_custkey) left join (select * from t where s = 'O') b using (o_custkey))
+select level, count(*) as n, cast(sum(bytes) as double) as bytes from l group by 1""",
+)
 def level_census(spark, d):
     """Customers and their order value per level at which their two arrays agree."""
-    sizes = B.table(spark, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").cast("decimal(20,2)").alias("bytes"))
+    sizes = B.table(spark, d, "orders").groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(20,2)")).alias("bytes"))
     levels, _ = I.level_census(I.classified(instructions(spark, d), "o_custkey").join(sizes, "o_custkey"), "o_custkey", F.col("bytes"))
     return levels.select("level", "n", F.col("bytes").cast("double").alias("bytes"))
 

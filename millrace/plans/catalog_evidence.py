@@ -339,3 +339,87 @@ def contracts(spark, d):
     path = F.concat(F.lit("src/"), F.col("s_suppkey").cast("string"), F.lit(".h"))
     frames = F.array(F.struct(F.lit("/usr/include/a.h").alias("path")), F.struct(path.alias("path")), F.struct(F.lit("src/last.h").alias("path")))
     return T(spark, d, "supplier").select("s_suppkey", X.contract(F.col("s_name"), {"1$": "one", "2": "two"}).alias("contract"), X.first_under(frames, "src/")["path"].alias("editable"))
+
+
+@query(
+    "completed_listing",
+    """select conv_id, turn, case when length(text) > 40 then text else 'short' end as line from conversations""",
+)
+def completed_listing(spark, d):
+    """Turns cut at 40 characters, completed from the source by their number."""
+    number = (F.col("conv_id") * 1000 + F.col("turn")).alias("number")
+    source = T(spark, d, "conversations").select(number, "conv_id", "turn", F.when(F.length("text") > 40, F.col("text")).otherwise("short").alias("line"))
+    listing = source.withColumn("line", F.substring("line", 1, 40)).withColumn("cut", F.length("line") == 40)
+    return E.completed(listing, source, "number", "line", F.col("cut")).select("conv_id", "turn", "line")
+
+
+@query(
+    "reference_targets",
+    """with r as (select l_orderkey as k, l_linenumber as n, l_suppkey % 5 as section, l_partkey % 50 + case when l_linenumber % 2 = 0 then 4 else 0 end as place from lineitem), f as (select s_suppkey % 5 as section, s_suppkey % 40 as start, min(s_name) as name from supplier group by 1, 2)
+select r.k, r.section, coalesce(f.name, cast(r.section as varchar)) as name, cast(case when f.name is not null then 0 else place end as bigint) as "offset", count(*) as n from r left join f on f.section = r.section and f.start = r.place group by all""",
+)
+def reference_targets(spark, d):
+    """Line items as references into five sections: a function's name where one starts, else section and offset."""
+    s = F.col("s_suppkey")
+    functions = T(spark, d, "supplier").groupBy((s % 5).alias("section"), (s % 40).alias("start")).agg(F.min("s_name").alias("name"))
+    rows = T(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_suppkey") % 5).alias("section"), (F.col("l_partkey") % 50).alias("addend"), (F.col("l_linenumber") % 2 == 0).alias("relative"))
+    found = E.references(rows, functions, "section", X.reference_place(F.lit(0).cast("long"), F.col("addend"), F.col("relative"), F.lit(0)))
+    return found.groupBy("k", "section", "name", F.col("offset").cast("long").alias("offset")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "source_constructs",
+    """with l as (select conv_id as path, turn as line, trim(text) as construct from conversations), w as (select c_custkey as k, c_custkey % 200 as path, c_custkey % 9 as line from customer) select w.k, w.path, w.line, sha256(construct) as digest from w left join l on l.path = w.path and l.line = w.line""",
+)
+def source_constructs(spark, d):
+    """Customers as locations in conversations: the text that stands there."""
+    k = F.col("c_custkey")
+    places = T(spark, d, "customer").select(k.alias("k"), (k % 200).alias("path"), (k % 9).alias("line"))
+    lines = T(spark, d, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("line"), "text")
+    return E.constructs(places, lines).select("k", "path", "line", F.sha2("construct", 256).alias("digest"))
+
+
+@query("evidence_kinds", "select split_part(url, ':', 1) as kind, count(*) as n from pages where split_part(url, ':', 1) in ('http', 'https') group by 1")
+def evidence_kinds(spark, d):
+    return E.of_kinds(T(spark, d, "pages"), "url", ["http", "https"]).groupBy(F.split_part("url", F.lit(":"), F.lit(1)).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "own_exact_functions",
+    """select distinct l_suppkey, 'F' || l_partkey as name from lineitem where l_returnflag = 'N' and not ('F' || l_partkey like 'F1%') and exists (select 1 from part where p_partkey = l_partkey and p_size % 10 = l_suppkey % 10)""",
+)
+def own_exact_functions(spark, d):
+    """Exact functions that their own unit defines, without some prefixes."""
+    rows = T(spark, d, "lineitem").select("l_suppkey", F.concat(F.lit("F"), F.col("l_partkey").cast("string")).alias("name"), "l_returnflag", "l_partkey")
+    defined = rows.join(T(spark, d, "part"), (F.col("p_partkey") == F.col("l_partkey")) & (F.col("p_size") % 10 == F.col("l_suppkey") % 10))
+    return E.own_exact(rows, defined, ["l_suppkey", "name"], F.col("l_returnflag") == "N", ["F1"])
+
+
+@query("other_scores", f"with {B.SNAPSHOTS} select unit, key, score from after_ where key <> unit * 4")
+def other_scores(spark, d):
+    """All scores of a unit but those of one key."""
+    return B.snapshot(spark, d, "after").where(F.col("key") != F.col("unit") * 4).select("unit", "key", "score")
+
+
+@query("new_claims", "select distinct l_partkey from lineitem where l_shipdate >= timestamp '1998-01-01' and l_partkey not in (select l_partkey from lineitem where l_shipdate < timestamp '1994-01-01')")
+def new_claims(spark, d):
+    """Parts that only the later lines name."""
+    x = T(spark, d, "lineitem")
+    day = lambda t: F.lit(t).cast("timestamp_ntz")
+    later, before = x.where(F.col("l_shipdate") >= day("1998-01-01")), x.where(F.col("l_shipdate") < day("1994-01-01"))
+    return later.select("l_partkey").distinct().join(before.select("l_partkey"), "l_partkey", "left_anti")
+
+
+@query(
+    "gathered",
+    """with f as (select o_custkey as unit, o_orderkey as symbol, cast(floor(o_totalprice) as bigint) as size, o_orderstatus = 'P' as bad from orders), n as (select l_orderkey as symbol, count(*) as n from lineitem where l_returnflag = 'R' group by 1)
+select unit, symbol, size, n, null as reason from f join n using (symbol) where not bad union all select unit, symbol, null, null, 'unreadable' from f where bad""",
+)
+def gathered(spark, d):
+    """Orders with returned lines by size, and those that were skipped with the reason."""
+    functions = T(spark, d, "orders").select(F.col("o_custkey").alias("unit"), F.col("o_orderkey").alias("symbol"), F.floor("o_totalprice").cast("long").alias("size"), (F.col("o_orderstatus") == "P").alias("bad"))
+    lines = T(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("symbol"))
+    differences = lines.join(functions.select("unit", "symbol"), "symbol")
+    found, skipped = E.gathered(functions, differences, ["unit", "symbol"], "size", F.col("bad"))
+    none = F.lit(None)
+    return found.select("unit", "symbol", "size", "n", none.cast("string").alias("reason")).union(skipped.select("unit", "symbol", none.cast("long"), none.cast("long"), "reason"))
