@@ -401,12 +401,12 @@ def other_scores(spark, d):
     return B.snapshot(spark, d, "after").where(F.col("key") != F.col("unit") * 4).select("unit", "key", "score")
 
 
-@query("new_claims", "select distinct l_partkey from lineitem where l_shipdate >= timestamp '1998-01-01' and l_partkey not in (select l_partkey from lineitem where l_shipdate < timestamp '1994-01-01')")
+@query("new_claims", "select distinct l_partkey from lineitem where l_shipdate >= timestamp '1998-01-01' and l_partkey not in (select l_partkey from lineitem where l_shipdate < timestamp '1995-03-01')")
 def new_claims(spark, d):
     """Parts that only the later lines name."""
     x = T(spark, d, "lineitem")
     day = lambda t: F.lit(t).cast("timestamp_ntz")
-    later, before = x.where(F.col("l_shipdate") >= day("1998-01-01")), x.where(F.col("l_shipdate") < day("1994-01-01"))
+    later, before = x.where(F.col("l_shipdate") >= day("1998-01-01")), x.where(F.col("l_shipdate") < day("1995-03-01"))
     return later.select("l_partkey").distinct().join(before.select("l_partkey"), "l_partkey", "left_anti")
 
 

@@ -28,10 +28,15 @@ class Coff:
         first = _HEADER.size + optional
         self.sections = [_SECTION.unpack_from(data, first + i * _SECTION.size) for i in range(n_sections)]
         self.symbols: list[tuple[int, str, int, int, int, int]] = []  # index, name, value, section, type, class
+        self.opening: dict[int, int] = {}  # by a function's index: the line of its opening brace
         i = 0
         while i < n_symbols:
             raw, value, section, kind, storage, extra = _SYMBOL.unpack_from(data, at + i * _SYMBOL.size)
             self.symbols.append((i, self._name(raw), value, section, kind, storage))
+            if kind == FUNCTION and extra:
+                begins = struct.unpack_from("<I", data, at + (i + 1) * _SYMBOL.size)[0]  # its .bf symbol, whose auxiliary record has the line
+                if 0 < begins < n_symbols - 1:
+                    self.opening[i] = struct.unpack_from("<H", data, at + (begins + 1) * _SYMBOL.size + 4)[0]
             i += 1 + extra
 
     def _name(self, raw: bytes) -> str:
@@ -56,18 +61,25 @@ class Coff:
         return out
 
     def lines(self) -> list[tuple[str, int, int]]:
-        """(function, offset, line): line numbers of a function count from the record that names it."""
-        names = {s[0]: s[1] for s in self.symbols}
-        starts = {s[0]: s[2] for s in self.symbols}
-        out = []
+        """(function, offset, line): a function's records follow the one that names it and count from its opening brace, where that is known.
+
+        Code before the first record then stands on the line after the brace.
+        """
+        of = {s[0]: s for s in self.symbols}
+        out: list[tuple[str, int, int]] = []
         for section in self.sections:
-            at, count, current = section[6], section[8], None
+            at, count, name, start, first = section[6], section[8], None, 0, 0
             for i in range(count):
                 value, line = struct.unpack_from("<IH", self.data, at + 6 * i)
                 if line == 0:
-                    current = value
-                elif current is not None:
-                    out.append((names.get(current, "?"), value - starts.get(current, 0), line))
+                    symbol = of.get(value)
+                    name, start, first = (symbol[1], symbol[2], self.opening.get(value)) if symbol else (None, 0, None)
+                    begun = first is None
+                elif name is not None:
+                    if not begun and value != start:
+                        out.append((name, 0, first + 1))
+                    begun = True
+                    out.append((name, value - start, line + (first or 0)))
         return out
 
 

@@ -71,6 +71,19 @@ def test_coff(spark, tmp_path):
     assert [(r.name, r.offset, r.line) for r in objects.coff_lines(spark, str(tmp_path / "a.obj")).collect()] == [("_first", 1, 7)]
 
 
+def test_lines_count_from_the_opening_brace(spark, tmp_path):
+    code = b"\x55" * 8
+    section_at = 20 + 40
+    lines = struct.pack("<IHIHIH", 0, 0, 2, 1, 5, 4)
+    symbols_at = section_at + len(code) + len(lines)
+    function = struct.pack("<8sIhHBB", b"_f", 0, 1, 0x20, 2, 1) + struct.pack("<IIIIH", 2, 8, 0, 0, 0)
+    begins = struct.pack("<8sIhHBB", b".bf", 0, 1, 0, 101, 1) + struct.pack("<IH12s", 0, 40, b"")
+    head = struct.pack("<HHIIIHH", 0x14C, 1, 0, symbols_at, 4, 0, 0)
+    section = struct.pack("<8sIIIIIIHHI", b".text", 0, 0, len(code), section_at, 0, section_at + len(code), 0, 3, 0)
+    (tmp_path / "b.obj").write_bytes(head + section + code + lines + function + begins + struct.pack("<I", 4))
+    assert [(r.name, r.offset, r.line) for r in objects.coff_lines(spark, str(tmp_path / "b.obj")).collect()] == [("_f", 0, 41), ("_f", 2, 41), ("_f", 5, 44)]
+
+
 def test_dumps(spark):
     lines = spark.createDataFrame([("00401000  0000002a ffffffff",), ("other",)], "value string")
     assert sorted(map(tuple, dumps.memory_words(lines).collect())) == [(0x401000, 42), (0x401004, 2**32 - 1)]
