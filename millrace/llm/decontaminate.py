@@ -8,9 +8,12 @@ one. A match at word p of a document with the prefix shingle at offset o of a wi
 is kept if the window fits (0 <= p - o, p - o + L <= words of the document), then the L words
 from p - o are compared with the window's, first by hash, then byte for byte.
 
-The benchmark is one side of stated size: its bytes are summed first, and it is broadcast in
-blocks of about ``BLOCK_BYTES``; a larger benchmark takes more passes over the documents and
-never more memory. Documents are not shuffled unless there is more than one block.
+A benchmark of up to ``BROADCAST_BYTES`` is broadcast and documents aren't shuffled. A larger one is a
+table: documents emit how often they have its shingles, every window picks its prefix by a join with
+these counts, and documents then emit the places of prefix shingles with the few words around them,
+which meet their windows by a join and are compared there word for word. That takes three scans of
+the documents whatever the benchmark's size. Up to ``FILTER_KEYS`` distinct shingles are broadcast so
+that documents emit no others; beyond, the join alone decides.
 
 Defined cases: null and empty texts have no words; items with no words or a null id match nothing;
 repeated items count once per id; repeated documents, and those without an id, each get a row; texts
@@ -20,20 +23,21 @@ an empty one; only the named columns are read.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_BYTES = 8 << 20
+BROADCAST_BYTES = 8 << 20
+#: Shingles of a larger benchmark that are broadcast as a sorted array, eight bytes each.
+FILTER_KEYS = 1 << 23
 
 
 def _normal(text: str) -> np.ndarray:
@@ -61,7 +65,7 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a block of items, each distinct word sequence once."""
+    """The windows of a small benchmark, each distinct word sequence once."""
 
     def __init__(self, items: list[tuple[str, str]], size: int = WINDOW) -> None:
         of: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
@@ -143,10 +147,10 @@ def shingle_frequencies(docs: DataFrame, shingles: np.ndarray, sizes: list[int])
 
 
 def _hits(docs: DataFrame, windows: Windows) -> DataFrame:
-    """(row, doc_id, did, rid, n_words, spans, items) for each document: disjoint ascending spans of hit words."""
+    """(doc_id, did, rid, n_words, spans, items) for each document: disjoint ascending spans of hit words."""
     known = docs.sparkSession.sparkContext.broadcast(windows)
     sizes = windows.sizes()
-    own = ["row", "doc_id", *C.KEY]
+    own = ["doc_id", *C.KEY]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Windows = known.value
@@ -193,36 +197,145 @@ def _hits(docs: DataFrame, windows: Windows) -> DataFrame:
                     [*own, "n_words", "spans", "items"],
                 )
 
-    return C.map_arrow(docs, run, "row long, doc_id long, did long, rid long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    return C.map_arrow(docs, run, "doc_id long, did long, rid long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: (doc_id, did, rid, n_words, spans, items): spans of hit words (end exclusive) and ids of the items that hit."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(size / block_bytes))
     rows = C.keyed(docs)
-    if blocks == 1:
-        return _block(rows.withColumn("row", F.lit(0).cast("long")), items).drop("row")
-    rows = C.materialise(rows.withColumn("row", F.monotonically_increasing_id()), "documents")
-    found = None
-    for b in range(blocks):
-        part = _block(rows, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b))
-        part = C.materialise(part, "hits")
-        found = part if found is None else found.unionByName(part)
-    spans = F.sort_array(F.flatten(F.collect_list("spans")))
-    merged = found.groupBy("row", "doc_id", *C.KEY, "n_words").agg(spans.alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    # runs of overlapping spans become one
-    joined = F.expr(
-        "aggregate(all, cast(array() as array<struct<start:bigint,end:bigint>>), (done, x) -> case "
-        "when size(done) = 0 or element_at(done, -1).end < x.start then array_append(done, x) "
-        "else array_append(slice(done, 1, size(done) - 1), named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, x.end))) end)"
-    )
-    return merged.select("doc_id", *C.KEY, "n_words", joined.alias("spans"), "items")
-
-
-def _block(rows: DataFrame, items: DataFrame) -> DataFrame:
-    windows = Windows([(r.item_id, r.text) for r in items.collect()])  # at most about BLOCK_BYTES
+    if size > broadcast_bytes:
+        return _shuffled(rows, items, window)
+    windows = Windows([(r.item_id, r.text) for r in items.collect()], window)
     shingles = windows.all_shingles()
     windows.prefixes(shingle_frequencies(rows, shingles, windows.sizes()) if len(shingles) else {})
-    return _hits(rows.select("row", "doc_id", *C.KEY, "text"), windows)
+    return _hits(rows, windows)
+
+
+# --- a benchmark too large to broadcast ----------------------------------------------------------
+
+
+def _items_windows(items: DataFrame, size: int) -> DataFrame:
+    """(item_id, win): the windows of all items, as words with one space between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                words = [w.decode("utf-8", "replace") for w in words_of(text)]
+                own = {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1) if words else 0)}
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(own), pa.string()), pa.array(list(own), pa.string())], ["item_id", "win"])
+
+    return C.map_arrow(items, run, "item_id string, win string")
+
+
+def _windows_shingles(windows: DataFrame) -> DataFrame:
+    """(win, n, offset, shingle) of each window's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wins, sizes, offsets, hashes = [], [], [], []
+            for win in batch.column("win").to_pylist():
+                words = win.encode().split(b" ")
+                own = shingle_hashes(_word_hashes(words), min(SHINGLE, len(words)))
+                wins += [win] * len(own)
+                sizes += [len(words)] * len(own)
+                offsets += range(len(own))
+                hashes.append(own)
+            flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(wins, pa.string()), pa.array(sizes, pa.int32()), pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64))], ["win", "n", "offset", "shingle"])
+
+    return C.map_arrow(windows, run, "win string, n int, offset int, shingle long")
+
+
+def _known(shingles: DataFrame):
+    """A broadcast sorted array of a written table's distinct ``shingle``, or None if they are too many."""
+    if shingles.count() > FILTER_KEYS:
+        return None
+    found = np.sort(shingles.toArrow().column("shingle").to_numpy().view(np.uint64))
+    return shingles.sparkSession.sparkContext.broadcast(found)
+
+
+def _places(h: np.ndarray, first: np.ndarray, k: int, known) -> tuple[np.ndarray, np.ndarray]:
+    """Places of k-word shingles inside one document each that may be wanted, and their hashes."""
+    s = shingle_hashes(h, k)
+    at = np.arange(len(s)) if known is None else _find(known.value, s)[0]
+    at = at[at + k <= first[np.searchsorted(first, at, "right")]] if len(at) else at
+    return at, s[at]
+
+
+def _counts(rows: DataFrame, sizes: list[int], known) -> DataFrame:
+    """(shingle, times): how often shingles occur in all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, _, _, first, h in _scan(batch.column("text")):
+                found, times = np.unique(np.concatenate([_places(h, first, k, known)[1] for k in sizes]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["shingle", "times"])
+
+    return C.map_arrow(rows.select("text"), run, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
+
+
+def _around(rows: DataFrame, sizes: list[int], known, window: int) -> DataFrame:
+    """(row, at, lead, words, shingle): places of prefix shingles with the words that a window around them may have, ``lead`` of them before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _, part, s, e, first, h in _scan(batch.column("text")):
+                raw = part.tobytes()
+                for k in sizes:
+                    at, keys = _places(h, first, k, known)
+                    if not len(at):
+                        continue
+                    row = np.searchsorted(first, at, "right") - 1
+                    begin, end = np.maximum(first[row], at - (window - k)), np.minimum(first[row + 1], at + window)
+                    words = [b" ".join([raw[p:q] for p, q in zip(s[a:b].tolist(), e[a:b].tolist())]).decode("utf-8", "replace") for a, b in zip(begin.tolist(), end.tolist())]
+                    columns = [batch.column("row").take(pa.array(i + row)), pa.array(at - first[row]), pa.array((at - begin).astype(np.int32)), pa.array(words, pa.string()), pa.array(keys.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "at", "lead", "words", "shingle"])
+
+    return C.map_arrow(rows.select("row", "text"), run, "row long, at long, lead int, words string, shingle long")
+
+
+def _lengths(rows: DataFrame) -> DataFrame:
+    own = ["row", "doc_id", *C.KEY]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, _, _, _, first, _ in _scan(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in own), pa.array(np.diff(first))], [*own, "n_words"])
+
+    return C.map_arrow(rows.select(*own, "text"), run, "row long, doc_id long, did long, rid long, n_words long")
+
+
+def merged_spans(spans: Column) -> Column:
+    """Sorted spans (start, end) with those that overlap or touch made one."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        grown = F.array_append(F.slice(done, 1, F.size(done) - 1), F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end")))
+        return F.when((F.size(done) == 0) | (F.try_element_at(done, F.lit(-1))["end"] < x["start"]), F.array_append(done, x)).otherwise(grown)
+
+    return F.aggregate(spans, none, add)
+
+
+def _shuffled(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    rows = C.materialise(rows.withColumn("row", F.monotonically_increasing_id()), "documents")
+    of_item = C.materialise(_items_windows(items, window), "windows")
+    shingles = C.materialise(_windows_shingles(of_item.select("win").distinct()), "shingles")
+    sizes = sorted(r.k for r in shingles.select(F.least("n", F.lit(SHINGLE)).alias("k")).distinct().collect())  # at most SHINGLE
+    if not sizes:
+        return _hits(rows, Windows([]))
+    counts = _counts(rows, sizes, _known(C.materialise(shingles.select("shingle").distinct(), "shingles")))
+    rarest = F.min(F.struct(F.coalesce("times", F.lit(0)), "shingle", "offset"))
+    prefix = shingles.join(counts, "shingle", "left").groupBy("win", "n").agg(rarest.alias("best"))
+    prefix = C.materialise(prefix.select("win", "n", "best.shingle", "best.offset"), "prefixes")
+    places = _around(rows, sizes, _known(C.materialise(prefix.select("shingle").distinct(), "shingles")), window)
+    there = F.slice(F.split("words", " "), F.col("lead") - F.col("offset") + 1, F.col("n"))
+    found = places.join(prefix, "shingle").where("lead >= offset").where(F.array_join(there, " ") == F.col("win"))
+    found = C.materialise(found.select("row", "win", (F.col("at") - F.col("offset")).alias("start"), (F.col("at") - F.col("offset") + F.col("n")).alias("end")).distinct(), "hits")
+    spans = found.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    named = found.select("row", "win").distinct().join(of_item, "win").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    out = _lengths(rows).join(spans, "row", "left").join(named, "row", "left")
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return out.select("doc_id", *C.KEY, "n_words", F.when(F.col("spans").isNull(), none).otherwise(merged_spans(F.col("spans"))).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

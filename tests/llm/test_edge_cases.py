@@ -195,7 +195,7 @@ def test_decontaminate_in_blocks_equals_one_block(spark):
     items = [words(n, n) for n in (3, 9, 10, 25)] + [None, "", "The ... end"]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
     docs = make(spark, [f"pre {items[2].upper()}! post", items[3] + " " + items[0], "nothing here", "THE. END", None])
-    one, many = ({r.doc_id: (r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in decontaminate.decontaminate(docs, bench, block_bytes=b).collect()} for b in (1 << 20, 40))
+    one, many = ({r.doc_id: (r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in decontaminate.decontaminate(docs, bench, broadcast_bytes=b).collect()} for b in (1 << 20, 40))
     assert one == many
     assert one[0] == (12, [(1, 11)], ["2"]) and one[1] == (28, [(0, 28)], ["0", "3"]) and one[3] == (2, [(0, 2)], ["6"]) and one[2][1] == []
 

@@ -203,3 +203,21 @@ def test_rows_of_one_id_are_apart(spark):
     rows = [(1, " ".join(words)), (7, " ".join(words[:-1])), (7, "something else altogether that nobody wrote before now"), (7, "something else altogether that nobody wrote before now")]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(frame(spark, rows)).collect())
     assert got == [(1, 56, 1), (7, 4, 7), (7, 4, 7), (7, 55, 1)]
+
+
+def test_a_large_benchmark_gives_the_same(spark, monkeypatch):
+    from millrace.llm import decontaminate
+
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(f"i{k}", text(r.choice([1, 2, 3, 5, 10, 11, 25]))) for k in range(40)] + [("i1", text(10)), ("none", "..."), (None, text(12)), ("null", None)]
+    docs = [(i, " ".join([text(r.randrange(30)), r.choice(items)[1] or "", text(r.randrange(8)), r.choice(items)[1] or ""])) for i in range(120)] + [(5, None), (None, items[0][1]), (6, "")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    frame_ = frame(spark, docs)
+    got = []
+    for limit, keys in ((1 << 20, 1 << 23), (0, 1 << 23), (0, 0)):
+        monkeypatch.setattr(decontaminate, "FILTER_KEYS", keys)
+        out = decontaminate.decontaminate(frame_, bench, broadcast_bytes=limit).collect()
+        got.append(sorted(((x.doc_id, x.n_words, [tuple(s) for s in x.spans], x["items"]) for x in out), key=str))
+    assert got[0] == got[1] == got[2] and any(x[3] for x in got[0])
