@@ -41,12 +41,11 @@ def align_by_ordinal(ours: DataFrame, theirs: DataFrame, group: str, order: list
 
 
 def renaming(pairs: DataFrame, group: str, ours: str, theirs: str) -> DataFrame:
-    """Per group: is the mapping one to one in both directions, and how many names change?"""
+    """Per group: is the mapping one to one in both directions, and how many names change? A null is a name of its own."""
     d = pairs.select(group, ours, theirs).distinct()
-    forward = d.groupBy(group, ours).agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.max("n").alias("forward"), F.count(F.lit(1)).alias("n_names"))
-    back = d.groupBy(group, theirs).agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.max("n").alias("back"))
-    changed = d.groupBy(group).agg(F.count_if(F.col(ours) != F.col(theirs)).alias("n_changed"))
-    return forward.join(back, group).join(changed, group).select(group, ((F.col("forward") == 1) & (F.col("back") == 1)).alias("consistent"), "n_names", "n_changed")
+    names = lambda c: F.size(F.collect_set(F.struct(c)))
+    out = d.groupBy(group).agg(F.count(F.lit(1)).alias("n"), names(ours).cast("long").alias("n_names"), names(theirs).alias("n_others"), F.count_if(F.col(ours) != F.col(theirs)).alias("n_changed"))
+    return out.select(group, ((F.col("n") == F.col("n_names")) & (F.col("n") == F.col("n_others"))).alias("consistent"), "n_names", "n_changed")
 
 
 def swaps(claims: DataFrame, name: str, other: str, agrees: Column) -> DataFrame:
@@ -97,3 +96,21 @@ def padding_between(rows: DataFrame, group: str, order: list[str], padding: Colu
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("boundary", F.sum(F.when(padding, 0).otherwise(1)).over(w)).where(padding)
     return placed.groupBy(group, "boundary").agg(F.count(F.lit(1)).alias("n_padding"))
+
+
+def near_misses(rows: DataFrame, key: str, twin: Column, least: float) -> DataFrame:
+    """Inexact rows (key, score, exact, size) of at least a score and a known size, without those whose twin key is there too."""
+    keys = rows.select(F.col(key).alias("_twin")).distinct()
+    chosen = rows.where(~F.col("exact") & (F.col("score") >= least) & F.col("size").isNotNull())
+    return chosen.withColumn("_twin", twin).join(keys, "_twin", "left_anti").drop("_twin")
+
+
+def busiest(rows: DataFrame, key: str, group: str, most: int) -> DataFrame:
+    """A top-k report: the ``most`` keys with findings in most groups, then with most findings, then the smallest."""
+    per = rows.groupBy(key).agg(F.count_distinct(group).alias("n_functions"), F.count(F.lit(1)).alias("n_findings"))
+    return per.orderBy(F.desc("n_functions"), F.desc("n_findings"), key).limit(most)
+
+
+def first_cause(rows: DataFrame, causes: dict[str, Column], otherwise: str, name: str = "cause") -> DataFrame:
+    """Rows with the name of the first condition that holds."""
+    return rows.withColumn(name, F.coalesce(*[F.when(c, F.lit(n)) for n, c in causes.items()], F.lit(otherwise)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.operators import align, bags, graphs, intervals, inventories, ordered, snapshots, votes
+from millrace.operators import align, bags, graphs, intervals, inventories, ordered, records, snapshots, votes
 from millrace.plans import bindings as B
 
 T = B.table
@@ -654,5 +654,5 @@ def reconcile(spark, d):
 def missing_cause(spark, d):
     orders = T(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.bool_or(F.col("o_orderstatus") == "F").alias("filled"))
     rows = T(spark, d, "customer").join(orders, "c_custkey", "left")
-    cause = F.when(F.col("c_acctbal") < 0, "overdrawn").when(F.col("filled").isNull(), "no orders").when(~F.col("filled"), "none filled").when(F.col("c_mktsegment") == "BUILDING", "building").otherwise("placed")
-    return rows.select("c_custkey", cause.alias("cause"))
+    causes = {"overdrawn": F.col("c_acctbal") < 0, "no orders": F.col("filled").isNull(), "none filled": ~F.col("filled"), "building": F.col("c_mktsegment") == "BUILDING"}
+    return records.first_cause(rows, causes, "placed").select("c_custkey", "cause")

@@ -291,9 +291,9 @@ def unique_edits(spark, d):
     return E.unique_edits(turns, edits, "key", "text").select("key", "name", F.sha2("result", 256).alias("digest"))
 
 
-@query("unambiguous_members", "select l_suppkey % 1000 as name, min(l_returnflag) as member from lineitem where l_quantity > 48 group by 1 having count(distinct l_returnflag) = 1")
+@query("unambiguous_members", "select l_orderkey as name, min(l_returnflag) as member from lineitem group by 1 having count(distinct l_returnflag) = 1")
 def unambiguous_members(spark, d):
-    rows = T(spark, d, "lineitem").where("l_quantity > 48").select((F.col("l_suppkey") % 1000).alias("name"), F.col("l_returnflag").alias("member"))
+    rows = T(spark, d, "lineitem").select(F.col("l_orderkey").alias("name"), F.col("l_returnflag").alias("member"))
     return E.unique_value(rows, ["name"], "member")
 
 
@@ -326,10 +326,10 @@ def memory_frontier(spark, d):
     return graphs.chained(records, heads, "address", "next", "valid").select("at", "state", "priority")
 
 
-@query("learned_claims", "select l_orderkey as node, min(l_suppkey) as value from lineitem where l_linenumber = 1 group by 1 having count(distinct l_suppkey) = 1")
+@query("learned_claims", "select l_orderkey as node, min(l_suppkey) as value from lineitem group by 1 having count(distinct l_suppkey) = 1")
 def learned_claims(spark, d):
     """Claims that don't contradict each other; ``graphs.learn`` fails on ones that do."""
-    claims = T(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("node"), F.col("l_suppkey").alias("value"))
+    claims = T(spark, d, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_suppkey").alias("value"))
     return graphs.learned(E.unique_value(claims, ["node"], "value"), claims.limit(0))
 
 

@@ -153,7 +153,7 @@ def cause_totals(spark, d):
 
 @query(
     "cause_sets",
-    """with c as (select l_orderkey, l_suppkey % 10 as u, (['register-allocation', 'stack-layout', 'other'])[l_partkey % 3 + 1] as cause, l_quantity from lineitem where l_linenumber <= 2),
+    """with c as (select l_orderkey, l_suppkey % 10 as u, (['register-allocation', 'stack-layout', 'other'])[l_partkey % 3 + 1] as cause, l_quantity from lineitem),
 s as (select l_orderkey, min(u) as u, list_distinct(list(cause)) as cs, cast(sum(cast(l_quantity as bigint)) as bigint) as bytes from c group by 1),
 k as (select *, case when list_contains(cs, 'other') then 'other-differences' when list_contains(cs, 'stack-layout') then 'frame-and-register' else 'register-only' end as category from s)
 select category, u, count(*) as n, cast(sum(bytes) as bigint) as bytes from k group by 1, 2""",
@@ -161,7 +161,7 @@ select category, u, count(*) as n, cast(sum(bytes) as bigint) as bytes from k gr
 def cause_sets(spark, d):
     """Orders by what their set of causes amounts to, per unit."""
     cause = F.element_at(F.array(F.lit("register-allocation"), F.lit("stack-layout"), F.lit("other")), (F.col("l_partkey") % 3 + 1).cast("int"))
-    per = T(spark, d, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").agg(F.min(F.col("l_suppkey") % 10).alias("u"), F.collect_set(cause).alias("causes"), F.sum(F.col("l_quantity").cast("long")).alias("bytes"))
+    per = T(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.col("l_suppkey") % 10).alias("u"), F.collect_set(cause).alias("causes"), F.sum(F.col("l_quantity").cast("long")).alias("bytes"))
     return per.groupBy(D.cause_class(F.col("causes")).alias("category"), "u").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 

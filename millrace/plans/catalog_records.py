@@ -18,9 +18,7 @@ T = B.table
 )
 def select_near_misses(spark, d):
     """Inexact keys of at least a score, with exclusions and without twins."""
-    rows = B.snapshot(spark, d, "after")
-    other = rows.select((F.col("key") + 1).alias("key"))
-    return rows.where("not exact and score >= 50 and size is not null").join(other, "key", "left_anti").select("key", "unit", "score")
+    return R.near_misses(B.snapshot(spark, d, "after"), "key", F.col("key") - 1, 50).select("key", "unit", "score")
 
 
 @query("last_wins", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1")
@@ -180,8 +178,7 @@ def scalar_kernels(spark, d):
 )
 def top_lines(spark, d):
     """A top-k report: the parts of most orders."""
-    per = T(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("n_functions"), F.count(F.lit(1)).alias("n_findings"))
-    return per.orderBy(F.desc("n_functions"), F.desc("n_findings"), "l_partkey").limit(20)
+    return R.busiest(T(spark, d, "lineitem"), "l_partkey", "l_orderkey", 20)
 
 
 @query(
