@@ -7,8 +7,6 @@ window gives; Spark deals the pairs, and a kernel sees one pair at a time.
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,17 +58,16 @@ def agree_level(ours: Column, theirs: Column, levels: list[tuple[str, callable]]
 
 
 def rewrites(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """0..n rewrites of each row: (key, kind, line, result). A rewrite swaps two adjacent lines, or joins a line with the next."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, t in zip(frame[key], frame[text]):
-                lines = (t or "").split("\n")
-                for i in range(len(lines) - 1):
-                    if lines[i] != lines[i + 1]:
-                        out.append((k, "swap", i, "\n".join([*lines[:i], lines[i + 1], lines[i], *lines[i + 2 :]])))
-                    out.append((k, "join", i, "\n".join([*lines[:i], lines[i] + " " + lines[i + 1], *lines[i + 2 :]])))
-            yield pd.DataFrame(out, columns=[key, "kind", "line", "result"])
-
-    return rows.select(key, text).mapInPandas(run, f"{key} long, kind string, line int, result string")
+    """0..n rewrites of each row: (key, kind, line, result). A rewrite swaps two adjacent lines that differ, or joins a line with the next.
+
+    Rows of rewrites name the line (from 0) that they begin at; ``result`` is only built where it is
+    used. A null or one-line text has none.
+    """
+    lines = rows.select(key, F.split(text, "\n").alias("lines")).where(F.size("lines") > 1)
+    each = lines.select(key, "lines", F.explode(F.sequence(F.lit(1), F.size("lines") - 1)).alias("i"))
+    here, there = F.get("lines", F.col("i") - 1), F.get("lines", F.col("i"))
+    around = lambda middle: F.array_join(F.concat(F.slice("lines", F.lit(1), F.col("i") - 1), middle, F.slice("lines", F.col("i") + 2, F.size("lines"))), "\n")
+    row = lambda kind, middle: F.struct(F.lit(kind).alias("kind"), around(middle).alias("result"))
+    swap = F.when(here != there, row("swap", F.array(there, here)))
+    both = F.array_compact(F.array(swap, row("join", F.array(F.concat(here, F.lit(" "), there)))))
+    return each.select(key, (F.col("i") - 1).alias("line"), F.inline(both)).select(key, "kind", "line", "result")

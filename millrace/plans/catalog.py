@@ -592,7 +592,12 @@ def align_documents(spark, d):
     return joined.select("doc_id", align.align(F.split("text", " "), F.split("other", " ")).alias("a")).select("doc_id", "a.*")
 
 
-@query("rewrite_udtf")
+@query(
+    "rewrite_udtf",
+    """with t as (select conv_id * 1000 + turn as key, string_split(replace(text, '. ', '.' || chr(10)), chr(10)) as l from conversations), e as (select key, l, unnest(range(1, len(l))) as i from t where len(l) > 1),
+r as (select key, 'swap' as kind, i, list_concat(list_concat(l[1:i - 1], [l[i + 1], l[i]]), l[i + 2:]) as m from e where l[i] <> l[i + 1] union all select key, 'join', i, list_concat(list_concat(l[1:i - 1], [l[i] || ' ' || l[i + 1]]), l[i + 2:]) from e)
+select key, kind, cast(i - 1 as int) as line, sha256(array_to_string(m, chr(10))) as digest from r""",
+)
 def rewrite_udtf(spark, d):
     """0..n rewrites of each conversation turn, by digest."""
     turns = T(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.replace("text", F.lit(". "), F.lit(".\n")).alias("text"))
