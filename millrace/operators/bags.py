@@ -28,28 +28,32 @@ def cancel(ours: DataFrame, theirs: DataFrame, stages: list[str], order: str) ->
     counts per value of the two sides meet; rows are numbered where their side has more.
     """
     for stage in stages:
-        counts = [df.groupBy(stage).agg(F.count(F.lit(1)).alias(n)) for df, n in ((ours, "_n"), (theirs, "_n"))]
-        ours, theirs = (_surplus(df, other, stage, order) for df, other in ((ours, counts[1]), (theirs, counts[0])))
+        own, other = (written(df.groupBy(stage).agg(F.count(F.lit(1)).alias("n")), "counts") for df in (ours, theirs))
+        ours, theirs = _surplus(ours, own, other, stage, order), _surplus(theirs, other, own, stage, order)
     return ours, theirs
 
 
-def _surplus(rows: DataFrame, other: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows beyond as many as the other side has of their key: (key, _n) counts that side."""
-    more = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_own")).join(other, key, "left").where(F.col(key).isNotNull() & (F.col("_own") > F.coalesce("_n", F.lit(0))))
-    left = rows.join(more.select(key, F.coalesce("_n", F.lit(0)).alias("_gone")), key)
+def _surplus(rows: DataFrame, own: DataFrame, other: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows beyond as many as the other side has of their key; ``own`` and ``other`` are written counts (key, n)."""
+    more = own.join(other.select(key, F.col("n").alias("_gone")), key, "left").na.fill(0, ["_gone"]).where("n > _gone")
+    left = rows.join(more.select(key, "_gone"), key)
+    large = not more.where(F.col("n") > NUMBERED_ROWS).isEmpty()
     untouched = left.where("_gone = 0").drop("_gone")
-    rest = numbered(left.where("_gone > 0"), key, order).where("ordinal > _gone").drop("ordinal", "_gone")
+    rest = numbered(left.where("_gone > 0"), key, order, large).where("ordinal > _gone").drop("ordinal", "_gone")
     return untouched.unionByName(rest).unionByName(rows.where(F.col(key).isNull()))
 
 
-def numbered(rows: DataFrame, key: str, order: str, most: int = NUMBERED_ROWS) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: str, large: bool | None = None) -> DataFrame:
     """Rows with ``ordinal``, their place among those of their key by ``order`` (a column no two rows of a key should share).
 
-    A key of up to ``most`` rows is numbered in one window. If there are larger ones, rows are dealt
-    into ranges of (key, order), numbered within each, and moved on by the rows of earlier ranges.
+    Keys of up to ``NUMBERED_ROWS`` rows are numbered in one window. If there are larger ones (``large``;
+    counted if not given), rows are dealt into ranges of (key, order), numbered within each, and moved
+    on by the rows of earlier ranges.
     """
     whole = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    if rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).isEmpty():
+    if large is None:
+        large = not rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NUMBERED_ROWS).isEmpty()
+    if not large:
         return whole
     dealt = written(rows.repartitionByRange(key, order).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_size"))

@@ -172,11 +172,13 @@ def test_numbering_in_ranges_equals_one_window(spark):
     data = [(r.choice(["a", "a", "a", "b", None]), i) for i in r.sample(range(10_000), 3000)]
     df = spark.createDataFrame(data, "k string, o long").repartition(7)
     want = rows(bags.numbered(df, "k", "o"), "k", "o", "ordinal")
-    assert rows(bags.numbered(df, "k", "o", most=10), "k", "o", "ordinal") == want
+    assert rows(bags.numbered(df, "k", "o", large=True), "k", "o", "ordinal") == want
     assert len({x[2] for x in want if x[0] == "a"}) == sum(k == "a" for k, _ in data)
 
 
-def test_cancel_keeps_the_highest_of_the_surplus(spark):
+@pytest.mark.parametrize("most", [bags.NUMBERED_ROWS, 2])
+def test_cancel_keeps_the_highest_of_the_surplus(spark, monkeypatch, most):
+    monkeypatch.setattr(bags, "NUMBERED_ROWS", most)
     schema = "v string, o int"
     ours = spark.createDataFrame([("x", i) for i in range(5)] + [("y", 1), (None, 1), (None, 2)], schema)
     theirs = spark.createDataFrame([("x", 1), ("x", 2), ("y", 5), ("y", 6), (None, 3), ("z", 1)], schema)
