@@ -57,6 +57,24 @@ def agree_level(ours: Column, theirs: Column, levels: list[tuple[str, callable]]
     return out
 
 
+def agreeing_pairs(rows: DataFrame, levels: list[tuple[str, Column]]) -> DataFrame:
+    """(level, n_pairs): of all pairs of rows, how many first agree at each level, from strict to loose.
+
+    A level is a key that equal rows of the stricter levels share too. Pairs are counted from the sizes
+    of classes, never listed: a class of n rows has n (n - 1) / 2.
+    """
+    names = [name for name, _ in levels]
+    sizes = rows.select(*[key.alias(name) for name, key in levels]).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    out = None
+    for i, name in enumerate(names):
+        at = sizes.groupBy(*names[i:]).agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("pairs"))
+        row = at.select(F.lit(i).alias("i"), F.lit(name).alias("level"), "pairs")
+        out = row if out is None else out.union(row)
+    stricter = out.select((F.col("i") + 1).alias("i"), F.col("pairs").alias("before"))  # a row a level
+    counted = out.join(stricter, "i", "left").select("level", (F.col("pairs") - F.coalesce("before", F.lit(0))).cast("long").alias("n_pairs"))
+    return counted.where("n_pairs > 0")
+
+
 def rewrites(rows: DataFrame, key: str, text: str) -> DataFrame:
     """0..n rewrites of each row: (key, kind, line, result). A rewrite swaps two adjacent lines that differ, or joins a line with the next.
 

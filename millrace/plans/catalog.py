@@ -569,18 +569,8 @@ def rule_cascade(spark, d):
 select level, count(*) as n_pairs from (select case when x = y then 'exact' when left(x, 60) = left(y, 60) then 'prefix 60' else 'prefix 20' end as level from p) group by 1""",
 )
 def agree_level(spark, d):
-    # documents with the same beginning fall in classes; pairs are counted from class sizes, never listed
-    docs = T(spark, d, "documents").select(F.sha2("text", 256).alias("exact"), F.substring("text", 1, 60).alias("prefix 60"), F.substring("text", 1, 20).alias("prefix 20"))
-    levels = ["exact", "prefix 60", "prefix 20"]
-    sizes = docs.groupBy(*levels).agg(F.count(F.lit(1)).alias("n"))
-    pairs = None
-    for level in levels:
-        keys = levels[levels.index(level) :]
-        n = sizes.groupBy(*keys).agg(F.sum("n").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).select(F.lit(level).alias("level"), "pairs")
-        pairs = n if pairs is None else pairs.union(n)
-    found = pairs.groupBy().pivot("level", levels).agg(F.first("pairs"))
-    rows = F.array(*[F.struct(F.lit(x).alias("level"), (F.coalesce(F.col(f"`{x}`"), F.lit(0)) - (F.coalesce(F.col(f"`{levels[i - 1]}`"), F.lit(0)) if i else F.lit(0))).cast("long").alias("n_pairs")) for i, x in enumerate(levels)])
-    return found.select(F.inline(rows)).where("n_pairs > 0")
+    text = F.col("text")
+    return align.agreeing_pairs(T(spark, d, "documents"), [("exact", F.sha2(text, 256)), ("prefix 60", F.substring(text, 1, 60)), ("prefix 20", F.substring(text, 1, 20))])
 
 
 @query("align_documents")
