@@ -160,3 +160,13 @@ def partition_names(text: Column) -> Column:
     lines = F.regexp_extract_all(text, F.lit(r"Partition \d+ \(([^()]+ - [\d ]+)\)"), 1)
     each = F.transform(lines, lambda x: F.transform(F.filter(F.split(F.regexp_extract(x, r"- ([\d ]+)$", 1), r"\s+"), lambda v: v != ""), lambda v: F.struct(v.cast("int").alias("version"), F.regexp_extract(x, r"^(.*) - ", 1).alias("name"))))
     return F.flatten(each)
+
+
+def reference_key(literal: Column, base: Column, place: Column) -> Column:
+    """What a data reference is told by: the text of a pooled string, else its base and place."""
+    return F.coalesce(F.concat(F.lit("text "), literal), F.concat_ws(" ", F.lit("at"), base.cast("string"), place.cast("string")))
+
+
+def constant_key(value: Column, context: Column, text: Column) -> Column:
+    """What a constant is told by: its value, where it is used and how it is written; a part that is unknown is a dash."""
+    return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("-")) for c in (value, context, text)])

@@ -5,6 +5,8 @@ Doubt is a result of its own: what can't be decided is null and never counts as
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,6 +216,17 @@ def own_exact(rows: DataFrame, definitions: DataFrame, key: list[str], exact: Co
     return rows.where(exact & ~barred).select(*key).distinct().join(definitions.select(*key).distinct(), key, "left_semi")
 
 
+def together(parts: list[DataFrame]) -> DataFrame:
+    """The results of several units as one."""
+    return reduce(DataFrame.unionByName, parts)
+
+
+def families(edits: DataFrame, key: list[str], name: str, order: str) -> DataFrame:
+    """(key..., n, names): the registered edits of each key in their order, as text."""
+    held = F.sort_array(F.collect_list(F.struct(order, name)))
+    return edits.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(held, lambda x: x[name]), ",").alias("names"))
+
+
 def gathered(functions: DataFrame, differences: DataFrame, key: list[str], size: str, unreadable: Column) -> tuple[DataFrame, DataFrame]:
     """(key..., size, n): functions with differences, in order of size, and (key..., reason) of those that were left out."""
     counts = differences.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))

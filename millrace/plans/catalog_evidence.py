@@ -423,3 +423,29 @@ def gathered(spark, d):
     found, skipped = E.gathered(functions, differences, ["unit", "symbol"], "size", F.col("bad"))
     none = F.lit(None)
     return found.select("unit", "symbol", "size", "n", none.cast("string").alias("reason")).union(skipped.select("unit", "symbol", none.cast("long"), none.cast("long"), "reason"))
+
+
+@query(
+    "identity_keys",
+    """with k as (select case when l_linenumber = 1 then 'text ' || l_returnflag else 'at ' || l_suppkey % 10 || ' ' || l_partkey % 10 end as reference, l_quantity % 5 || '|' || coalesce(case when l_linestatus = 'O' then 'cmp' end, '-') || '|' || l_returnflag as constant from (select l_linenumber, l_returnflag, l_suppkey, l_partkey, cast(l_quantity as bigint) as l_quantity, l_linestatus from lineitem))
+select reference, constant, count(*) as n from k group by 1, 2""",
+)
+def identity_keys(spark, d):
+    """Line items as references and constants, counted by what tells them apart."""
+    c = F.col
+    reference = X.reference_key(F.when(c("l_linenumber") == 1, c("l_returnflag")), c("l_suppkey") % 10, c("l_partkey") % 10)
+    constant = X.constant_key(c("l_quantity").cast("long") % 5, F.when(c("l_linestatus") == "O", "cmp"), c("l_returnflag"))
+    return T(spark, d, "lineitem").groupBy(reference.alias("reference"), constant.alias("constant")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "edit_families",
+    """with e as (select o_custkey as unit, o_orderpriority as symbol, o_orderkey as k, o_orderstatus || o_orderkey % 10 as name from orders) select unit, symbol, count(*) as n, string_agg(name, ',' order by k) as names from e group by 1, 2""",
+)
+def edit_families(spark, d):
+    """Orders as registered edits of their customer's symbols, the two halves of the year taken together."""
+    o = T(spark, d, "orders")
+    name = F.concat("o_orderstatus", (F.col("o_orderkey") % 10).cast("string"))
+    half = lambda rows: rows.select(F.col("o_custkey").alias("unit"), F.col("o_orderpriority").alias("symbol"), F.col("o_orderkey").alias("k"), name.alias("name"))
+    first = F.month("o_orderdate") <= 6
+    return E.families(E.together([half(o.where(first)), half(o.where(~first))]), ["unit", "symbol"], "name", "k")
