@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -200,7 +201,7 @@ class Encoder:
             self._shrink()
         raw = data.tobytes()
         keys = [raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist())]
-        slots = np.fromiter((self.slot.get(k, -1) for k in keys), np.int64, len(keys))
+        slots = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(slots < 0)
         if len(new):
             self._add([keys[i] for i in new.tolist()])

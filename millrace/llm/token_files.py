@@ -181,8 +181,11 @@ def library_encoder(path: str) -> bpe.Encoder:
         t.no_padding()
         special = {a.content: i for i, a in t.get_added_tokens_decoder().items()}
 
+        # pre-tokens are found already, so they go to the library's model as the symbols that its vocabulary writes for bytes
+        symbols, tokenize = str.maketrans(dict(enumerate(bpe.byte_symbols()))), t.model.tokenize
+
         def ids(pieces: list[bytes]) -> list[list[int]]:
-            return [e.ids for e in t.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+            return [[x.id for x in tokenize(p.decode("latin-1").translate(symbols))] for p in pieces]
 
         _library[path] = bpe.Encoder(special, ids, CACHE_ENTRIES)
     return _library[path]
