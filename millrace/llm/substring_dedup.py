@@ -90,13 +90,16 @@ class Selection:
 def digests(part: bytes, s: np.ndarray, e: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """128-bit digests, as two columns of 64 bits, of the runs of ``size`` words from word ``begin`` on, joined by one space."""
     # runs whose words have one space between them already are slices of the text
-    odd = np.ones(max(len(s) - 1, 0), bool) if not part else (s[1:] - e[:-1] != 1) | (np.frombuffer(part, np.uint8)[e[:-1]] != 0x20)
+    if not len(begin):
+        return np.zeros((0, 2), np.uint64)
+    odd = (s[1:] - e[:-1] != 1) | (np.frombuffer(part, np.uint8)[e[:-1]] != 0x20)
     upto = np.concatenate([[0], np.cumsum(odd)])
-    plain = upto[begin + size - 1] == upto[begin]
-    out = []
-    for a, n, p, q, ok in zip(begin.tolist(), size.tolist(), s[begin].tolist(), e[begin + size - 1].tolist(), plain.tolist()):
-        run = part[p:q] if ok else b" ".join([part[i:j] for i, j in zip(s[a : a + n].tolist(), e[a : a + n].tolist())])
-        out.append(hashlib.blake2b(run, digest_size=16).digest())
+    apart = np.flatnonzero(upto[begin + size - 1] != upto[begin])
+    hashed = hashlib.blake2b
+    out = [hashed(part[p:q], digest_size=16).digest() for p, q in zip(s[begin].tolist(), e[begin + size - 1].tolist())]
+    for i in apart.tolist():
+        a, n = begin[i], size[i]
+        out[i] = hashed(b" ".join([part[p:q] for p, q in zip(s[a : a + n].tolist(), e[a : a + n].tolist())]), digest_size=16).digest()
     return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
 
 
