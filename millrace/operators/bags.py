@@ -28,19 +28,25 @@ def cancel(ours: DataFrame, theirs: DataFrame, stages: list[str], order: str) ->
     counts per value of the two sides meet; rows are numbered where their side has more.
     """
     for stage in stages:
-        own, other = (written(df.groupBy(stage).agg(F.count(F.lit(1)).alias("n")), "counts") for df in (ours, theirs))
-        ours, theirs = _surplus(ours, own, other, stage, order), _surplus(theirs, other, own, stage, order)
+        sides = ours.select(stage, F.lit(1).alias("o"), F.lit(0).alias("t")).union(theirs.select(stage, F.lit(0), F.lit(1)))
+        counts = written(sides.groupBy(stage).agg(F.sum("o").alias("o"), F.sum("t").alias("t")), "counts")
+        most = counts.agg(F.coalesce(F.greatest(F.max("o"), F.max("t")), F.lit(0))).first()[0]
+        ours, theirs = (_surplus(df, counts, stage, order, own, other, most > NUMBERED_ROWS) for df, own, other in ((ours, "o", "t"), (theirs, "t", "o")))
     return ours, theirs
 
 
-def _surplus(rows: DataFrame, own: DataFrame, other: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows beyond as many as the other side has of their key; ``own`` and ``other`` are written counts (key, n)."""
-    more = own.join(other.select(key, F.col("n").alias("_gone")), key, "left").na.fill(0, ["_gone"]).where("n > _gone")
-    left = rows.join(more.select(key, "_gone"), key)
-    large = not more.where(F.col("n") > NUMBERED_ROWS).isEmpty()
-    untouched = left.where("_gone = 0").drop("_gone")
-    rest = numbered(left.where("_gone > 0"), key, order, large).where("ordinal > _gone").drop("ordinal", "_gone")
-    return untouched.unionByName(rest).unionByName(rows.where(F.col(key).isNull()))
+def _surplus(rows: DataFrame, counts: DataFrame, key: str, order: str, own: str, other: str, large: bool) -> DataFrame:
+    """Rows beyond as many as the other side has of their key; ``counts`` has both sides' numbers per key. Rows without a key stay."""
+    more = counts.where(F.col(own) > F.col(other)).select(key, F.col(other).alias("_gone"))
+    left = rows.join(more, key, "left").where(F.col(key).isNull() | F.col("_gone").isNotNull())
+    # rows that stay whatever their number are dealt out evenly, not by their key
+    spread = F.when(F.coalesce("_gone", F.lit(0)) == 0, F.xxhash64(order)).otherwise(0)
+    if not large:
+        ordinal = F.row_number().over(Window.partitionBy(key, spread).orderBy(order))
+        left = left.withColumn("ordinal", F.when(F.coalesce("_gone", F.lit(0)) == 0, 1).otherwise(ordinal))
+    else:
+        left = numbered(left, key, order, True)
+    return left.where(F.col("ordinal") > F.coalesce("_gone", F.lit(0))).drop("ordinal", "_gone")
 
 
 def numbered(rows: DataFrame, key: str, order: str, large: bool | None = None) -> DataFrame:
