@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, quality, substring_dedup, token_counts, token_files
+from millrace.llm import bpe, decontaminate, exact_dedup, filter_audit, jaccard_join, language_id, line_dedup, mixing, quality, spelling, substring_dedup, token_counts, token_files
 from millrace.llm import common as C
 
 
@@ -66,6 +66,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = spelling.spelling_variants(C.table(spark, sf_dir, "documents"))
+    return done.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(C.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -78,4 +91,7 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_decontaminate": op10_decontaminate,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_source_mix": op12_source_mix,
+        "op13_filter_audit": op13_filter_audit,
     }

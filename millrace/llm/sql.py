@@ -87,5 +87,56 @@ from d left join hit using (doc_id) left join items using (doc_id)
 """
 
 
+OP12 = """
+with d as (
+  select doc_id, source is null as none, coalesce(source, '') as name, substr(md5('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, 16) as key,
+    cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents
+), s as (
+  select none, name, cast(sum(size) as bigint) as source_size, [5, 2, 1][(row_number() over (order by none, name) - 1) % 3 + 1] as weight from d group by none, name
+), caps as (select a.none, a.name, a.weight, a.source_size, 3 * a.source_size as cap from s a),
+levels as (
+  select a.none, a.name, (select sum(source_size) from caps) - coalesce(sum(b.cap) filter (where b.cap * a.weight < a.cap * b.weight), 0) as words,
+    sum(b.weight) filter (where b.cap * a.weight >= a.cap * b.weight) as share, any_value(a.cap) as cap, any_value(a.weight) as weight
+  from caps a, caps b group by a.none, a.name
+), level as (select words, share from levels where weight * words <= cap * share order by cap * 1.0 / weight limit 1),
+t as (
+  select none, name, source_size, case when weight * words > cap * share then cast(cap as double) else cast(cast(weight * words as bigint) as double) / cast(share as bigint) end as target
+  from caps, level
+), p as (
+  select d.*, source_size, target, cast(floor(target) as bigint) as budget, coalesce(sum(size) over (partition by none, name order by key, doc_id rows between unbounded preceding and 1 preceding), 0) as before
+  from d join t using (none, name)
+)
+select doc_id, size, source_size, target,
+  cast(case when source_size = 0 then 0 else budget // source_size * size + greatest(0, least(size, budget % source_size - before)) end as bigint) as taken
+from p
+"""
+
+OP13 = """
+with t as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), f as (
+  select doc_id, part, len(w) < 200 as a, 100 * coalesce(list_unique(w), 0) < 50 * len(w) as b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) as c,
+    regexp_matches(text, '[#$%&*|]') as d, coalesce(doc_id > min(doc_id) over (partition by text), false) as e from t
+), m as (
+  select part, map {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} as fails, count(*) as n, count(*) filter (where quality = 1) as good, count(*) filter (where toxic = 1) as toxic
+  from f left join labels using (doc_id) group by all
+), l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from l a, l b, l c, l d, l e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s as (select filter_order, cast(unnest(range(1, 6)) as integer) as step from o),
+r as (
+  select part, filter_order, step, substr(filter_order, step, 1) as x, n, good, toxic, list_transform(string_split(filter_order, ''), lambda q: fails[q]) as places,
+    list_position(places, true) as gone_at, len(list_filter(places, lambda q: q)) as failed from m, s
+), g as (
+  select part, filter_order, step, x, cast(sum(case when gone_at is null or gone_at > step then n else 0 end) as bigint) as kept, cast(sum(case when gone_at = step then n else 0 end) as bigint) as removed,
+    cast(sum(case when places[step] and gone_at < step then n else 0 end) as bigint) as redundant, cast(sum(case when places[step] and failed = 1 then n else 0 end) as bigint) as unique_fails,
+    cast(sum(case when gone_at = step then good else 0 end) as bigint) as good_lost, cast(sum(case when gone_at = step then toxic else 0 end) as bigint) as toxic_lost
+  from r group by part, filter_order, step, x
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, x) as bigint) as shapley from g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op6_jaccard_join": OP6, "op7_exact_dedup": OP7, "op9_substring_dedup": OP9, "op10_decontaminate": OP10}
+    return {"op1_line_dedup": OP1, "op6_jaccard_join": OP6, "op7_exact_dedup": OP7, "op9_substring_dedup": OP9, "op10_decontaminate": OP10, "op12_source_mix": OP12, "op13_filter_audit": OP13}
