@@ -87,12 +87,16 @@ def padded(source: Column, declaration: str, count: Column) -> Column:
     return F.concat(F.repeat(F.lit(declaration), count.cast("int")), source)
 
 
+#: Fixed value: a pair of registers in a finding's text.
+ARROW = r"\b([a-z]{2,3}->[a-z]{2,3})\b"
+
+
 def arrows(text: Column) -> Column:
-    """A map of the pairs ``a->b`` in a text; of a name that is mapped twice the last counts."""
-    found = F.regexp_extract_all(text, F.lit(r"(\w+->\w+)"), 1)
-    pair = lambda x: F.struct(F.split_part(x, F.lit("->"), F.lit(1)).alias("key"), F.split_part(x, F.lit("->"), F.lit(2)).alias("value"))
-    last = F.filter(F.transform(found, pair), lambda p: p["value"] == F.element_at(F.filter(F.transform(found, pair), lambda q: q["key"] == p["key"]), -1)["value"])
-    return F.map_from_entries(F.array_distinct(last))
+    """A map of the pairs ``a->b`` of register names in a text, from b to a; of a name that has several the last counts."""
+    found = F.reverse(F.regexp_extract_all(text, F.lit(ARROW), 1))
+    pair = F.transform(found, lambda x: F.struct(F.split_part(x, F.lit("->"), F.lit(2)).alias("key"), F.split_part(x, F.lit("->"), F.lit(1)).alias("value")))
+    keys = F.transform(pair, lambda p: p["key"])
+    return F.map_from_entries(F.filter(pair, lambda p, i: F.array_position(keys, p["key"]) == i + 1))
 
 
 def next_in_ring(name: Column, ring: list[str]) -> Column:

@@ -1,52 +1,9 @@
-"""Sequence alignment and text rewriting: the per-row kernels, as vectorised Python functions.
-
-The semantics asked for are those of ``difflib.SequenceMatcher(autojunk=False)``, which no join or
-window gives; Spark deals the pairs, and a kernel sees one pair at a time.
-"""
+"""Levels at which two values agree, and rewrites of texts, as expressions."""
 
 from __future__ import annotations
 
-import difflib
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
-
-_PLACES = ["i1", "i2", "j1", "j2"]
-REGIONS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in _PLACES)]))
-
-
-@pandas_udf(REGIONS)
-def regions(ours: pd.Series, theirs: pd.Series) -> pd.Series:
-    """Regions of the alignment of two arrays of texts: (tag, i1, i2, j1, j2); a null array is an empty one."""
-
-    def of(a, b) -> list[dict]:
-        matcher = difflib.SequenceMatcher(None, list(a if a is not None else ()), list(b if b is not None else ()), autojunk=False)
-        return [dict(zip(("tag", *_PLACES), code)) for code in matcher.get_opcodes()]
-
-    return pd.Series([of(a, b) for a, b in zip(ours, theirs)])
-
-
-_COUNTS = ["n_equal", "n_replaced", "n_deleted", "n_inserted", "first_difference"]
-ALIGNED = T.StructType([T.StructField("score", T.DoubleType()), *(T.StructField(c, T.IntegerType()) for c in _COUNTS)])
-
-
-@pandas_udf(ALIGNED)
-def align(ours: pd.Series, theirs: pd.Series) -> pd.DataFrame:
-    """Align two token arrays: 200 * equal / (n + m), tokens by fate, and where the first differs (-1 if none)."""
-    out = []
-    for a, b in zip(ours, theirs):
-        a, b = list(a if a is not None else ()), list(b if b is not None else ())
-        n = {"equal": 0, "replace": 0, "delete": 0, "insert": 0}
-        first = -1
-        for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            n[tag] += max(i2 - i1, j2 - j1)
-            if tag != "equal" and first < 0:
-                first = i1
-        total = len(a) + len(b)
-        out.append((100.0 if not total else round(200.0 * n["equal"] / total, 2), n["equal"], n["replace"], n["delete"], n["insert"], first))
-    return pd.DataFrame(out, columns=["score", *_COUNTS])
 
 
 def agree_level(ours: Column, theirs: Column, levels: list[tuple[str, callable]]) -> Column:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import jumps, text
+
 #: The kind that each cause is reported as.
 KIND_OF_CAUSE = {
     "register-allocation": "register-choice",
@@ -28,8 +30,6 @@ CLEANUP = ["_Unwind_Resume", "_ZdlPv", "_ZdaPv"]
 DESTRUCTOR = "D[012]Ev$"
 #: A difference in these constants alone says nothing.
 SMALL = [-1, 0, 1]
-#: Jumps with the same condition on swapped operands.
-MIRRORED = ["jl jg", "jle jge", "jb ja", "jbe jae", "jg jl", "jge jle", "ja jb", "jae jbe", "je je", "jne jne"]
 
 
 def named(table: dict[str, str], key: Column, otherwise: str) -> Column:
@@ -37,13 +37,29 @@ def named(table: dict[str, str], key: Column, otherwise: str) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), F.lit(otherwise))
 
 
-def comparison_flip(ours: Column, theirs: Column) -> Column:
-    """Do two rendered instructions (``name a, b``) compare the same values the other way round, or jump on the mirrored condition?"""
+def comparison_flip(cause: Column, ours: Column, theirs: Column) -> Column:
+    """Is a finding of order a comparison the other way round?
+
+    Of two rendered instructions (``name a, b``) both compare the same two values in the other order, or
+    one jumps on the mirrored condition, wherever to. Only operand order and block order can be flips.
+    """
     part = lambda c, k: F.split_part(c, F.lit(" "), F.lit(k))
-    args = lambda c: F.split(F.regexp_replace(c, r"^\S+\s*", ""), r",\s*")
-    a, b = args(ours), args(theirs)
-    swapped = (part(ours, 1) == part(theirs, 1)) & (F.size(a) == 2) & (a != b) & (a == F.reverse(b))
-    return swapped | (F.concat_ws(" ", part(ours, 1), part(theirs, 1)).isin(MIRRORED) & (a == b))
+    args = lambda c: F.transform(F.split(F.regexp_replace(c, r"^\S+ ?", ""), ","), lambda x: F.trim(x))
+    compares = (part(ours, 1) == "cmp") & (part(theirs, 1) == "cmp")
+    swapped = (F.size(args(ours)) == 2) & (args(ours) == F.reverse(args(theirs)))
+    return cause.isin("operand-order", "block-order") & F.when(compares, swapped).otherwise(jumps.related(jumps.MIRRORED, part(ours, 1), part(theirs, 1)))
+
+
+def registers_by_offset(findings: DataFrame, key: list[str], order: str) -> DataFrame:
+    """(key..., offset, ours, theirs): which register of theirs stands for each of ours, at each place of ours.
+
+    Findings are (key..., cause, detail, offsets, candidate, order); those of register allocation say
+    ``theirs->ours`` in their detail, for all of their offsets, or their candidate place if there are
+    none. Of several findings, or pairs of one, the last counts.
+    """
+    rows = findings.where("cause = 'register-allocation'").select(*key, F.col(order).alias("_order"), F.when(F.size("offsets") > 0, F.col("offsets")).otherwise(F.array("candidate")).alias("offsets"), F.map_entries(text.arrows(F.col("detail"))).alias("pairs"))
+    each = rows.select(*key, "_order", F.explode("pairs").alias("p"), "offsets").select(*key, "_order", F.col("p.key").alias("ours"), F.col("p.value").alias("theirs"), F.explode("offsets").alias("offset"))
+    return each.groupBy(*key, "offset", "ours").agg(F.max_by("theirs", "_order").alias("theirs"))
 
 
 def finding_kind(cause: Column, flip: Column) -> Column:
@@ -90,20 +106,40 @@ def signals(detectors: dict[str, DataFrame], key: str) -> DataFrame:
     return found.groupBy(key).agg(names.alias("names")).select(key, F.array_join("names", ",").alias("signals"), F.size("names").alias("n"))
 
 
-def kind_rows(findings: DataFrame, key: str, patterns: DataFrame) -> DataFrame:
-    """(key, kind, n): rows per kind of findings (key, cause, flip, rows), where rows of inlining are shared out by ``patterns``.
+def kind_evidence(findings: DataFrame, key: str, patterns: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """(key, kind, detail, n): rows per kind of findings (key, cause, flip, rows, offsets, detail), with what they are evidenced by.
 
-    Of the inlining rows as many are calls as the patterns count, the rest is block order; without
-    counted calls they are all inline distribution if that was seen, else block order.
+    A finding's n-th row is at its n-th offset; rows at one of the ``checks`` (key, offset) are enum
+    checks. The rows of inlining are shared out by ``patterns``: as many as these count are calls, the
+    rest is block order; without counted calls they are all inline distribution if that was seen, else
+    block order. Rows that a count alone gives have no detail.
     """
-    plain = findings.where("cause <> 'inlining'").groupBy(key, finding_kind(F.col("cause"), F.col("flip")).alias("kind")).agg(F.sum("rows").alias("n"))
-    inlined = findings.where("cause = 'inlining'").groupBy(key).agg(F.sum("rows").alias("rows")).join(patterns, key, "left").na.fill(0, ["n_calls", "n_distribution"])
+    plain = findings.where("cause <> 'inlining'")
+    kind = finding_kind(F.col("cause"), F.col("flip"))
+    if checks is None:
+        rows = plain.select(key, kind.alias("kind"), "detail", F.col("rows").alias("n"))
+    else:
+        placed = F.slice("offsets", 1, F.least(F.col("rows"), F.size("offsets")).cast("int"))
+        at = plain.select(key, kind.alias("kind"), "detail", F.explode(placed).alias("offset")).join(checks.select(key, "offset").distinct(), [key, "offset"])
+        checked = at.groupBy(key, "kind", "detail").agg(F.count(F.lit(1)).alias("n"))
+        # what is checked leaves its kind
+        rows = plain.select(key, kind.alias("kind"), "detail", F.col("rows").alias("n")).unionByName(checked.select(key, "kind", "detail", (-F.col("n")).alias("n")))
+        rows = rows.unionByName(checked.select(key, F.lit("enum-check").alias("kind"), "detail", "n"))
+    inlining = findings.where("cause = 'inlining'")
+    of_patterns = lambda df: df.join(patterns, key, "left").na.fill(0, ["n_calls", "n_distribution"])
+    total = of_patterns(inlining.groupBy(key).agg(F.sum("rows").alias("rows"))).where("n_calls > 0")
     calls = F.least("rows", "n_calls")
-    share = lambda name, n: F.struct(F.lit(name).alias("kind"), n.cast("long").alias("n"))
-    spread = F.when((F.col("n_calls") == 0) & (F.col("n_distribution") > 0), F.col("rows")).otherwise(0)
-    parts = F.array(share("calls", calls), share("inline-distribution", spread), share("block-order", F.col("rows") - calls - spread))
-    rest = inlined.select(key, F.inline(parts)).where("n > 0")
-    return plain.unionByName(rest).groupBy(key, "kind").agg(F.sum("n").alias("n"))
+    share = lambda name, n: F.struct(F.lit(name).alias("kind"), F.lit(None).cast("string").alias("detail"), n.cast("long").alias("n"))
+    counted = total.select(key, F.inline(F.array(share("calls", calls), share("block-order", F.col("rows") - calls))))
+    uncounted = of_patterns(inlining).where("n_calls = 0").select(key, F.when(F.col("n_distribution") > 0, "inline-distribution").otherwise("block-order").alias("kind"), "detail", F.col("rows").alias("n"))
+    return rows.unionByName(counted).unionByName(uncounted).groupBy(key, "kind", "detail").agg(F.sum("n").cast("long").alias("n")).where("n > 0")
+
+
+def kind_rows(findings: DataFrame, key: str, patterns: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """(key, kind, n): ``kind_evidence`` without the evidence."""
+    if "detail" not in findings.columns:
+        findings = findings.withColumn("detail", F.lit(None).cast("string"))
+    return kind_evidence(findings, key, patterns, checks).groupBy(key, "kind").agg(F.sum("n").alias("n"))
 
 
 def explained(rows: DataFrame, explained: str, differing: str) -> DataFrame:

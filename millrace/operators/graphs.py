@@ -95,18 +95,46 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFra
     raise RuntimeError("labels did not settle")
 
 
-def single_chains(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
-    """Follow each start node while it has exactly one target: (node, end, length, why): ``end``, ``ambiguous``, ``cycle`` or ``limit``."""
-    only = _written(edges.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target")))
-    live = _written(start.select("node", F.col("node").alias("at"), F.array("node").alias("path")))
-    done = None
-    for _ in range(most):
-        step = live.join(only, F.col("at") == F.col("source"), "left")
-        why = F.when(F.col("n").isNull(), "end").when(F.col("n") > 1, "ambiguous").when(F.array_contains("path", F.col("target")), "cycle")
-        step = _written(step.withColumn("why", why).select("node", "at", "path", "target", "why"))
-        ended = step.where("why is not null").select("node", F.col("at").alias("end"), (F.size("path") - 1).alias("length"), "why")
-        done = ended if done is None else done.union(ended)
-        live = _written(step.where("why is null").select("node", F.col("target").alias("at"), F.array_append("path", F.col("target")).alias("path")))
-        if live.isEmpty():
-            return done
-    return done.union(live.select("node", F.col("at").alias("end"), (F.size("path") - 1).alias("length"), F.lit("limit").alias("why")))
+def followed(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where (node, to) rows, one a node, lead: (node, end, length) of the nodes that reach one without a row, and (node) of the others.
+
+    Every round doubles the steps, so there are as many rounds as the longest way has binary digits. A
+    way that is longer than there are nodes has no end.
+    """
+    state = _written(steps.select("node", F.col("to").alias("at"), F.lit(1).cast("long").alias("length")))
+    left = state.count()
+    while left > 0:
+        on = state.select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("length").alias("more"))
+        state = _written(state.join(on, "at", "left").select("node", F.coalesce("further", "at").alias("at"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), F.col("further").isNotNull().alias("open")))
+        if state.where("open").isEmpty():
+            break
+        left //= 2
+        state = state.select("node", "at", "length") if left else state
+    if "open" not in state.columns:
+        state = state.withColumn("open", F.lit(False))
+    return state.where("not open").select("node", F.col("at").alias("end"), "length"), state.where("open").select("node", F.col("at"))
+
+
+def single_chains(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Follow each start node while it has exactly one target: (node, end, length, why): ``end``, ``ambiguous`` or ``cycle``.
+
+    A chain that comes round ends before the first node that it has passed.
+    """
+    out = _written(edges.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target")))
+    single = out.where("n = 1").select(F.col("source").alias("node"), F.col("target").alias("to"))
+    ended, open_ = followed(single)
+    # all nodes of cycles are led to, and nothing else is, after as many steps as there are nodes
+    ring = _written(open_.select(F.col("at").alias("node")).distinct())
+    round_ = single.join(ring, "node")
+    sizes = components(round_.select(F.col("node").alias("source"), F.col("to").alias("target")), ring)
+    sizes = _written(sizes.join(sizes.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label").select("node", "size"))
+    last = round_.select(F.col("to").alias("entry"), F.col("node").alias("end"))  # the node of the ring before an entry
+    tails, _ = followed(single.join(open_.select("node"), "node").join(ring, "node", "left_anti"))
+    entries = tails.select("node", F.col("end").alias("entry"), "length").union(ring.select("node", F.col("node").alias("entry"), F.lit(0).cast("long")))
+    rings = entries.join(sizes.withColumnRenamed("node", "entry"), "entry").join(last, "entry").select("node", "end", (F.col("length") + F.col("size") - 1).alias("length"), F.lit("cycle").alias("why"))
+    several = out.where("n > 1").select(F.col("source").alias("end"), F.lit("ambiguous").alias("why"))
+    begun = start.select("node").distinct()
+    straight = begun.join(single, "node", "left_anti").select("node", F.col("node").alias("end"), F.lit(0).cast("long").alias("length")).union(begun.join(ended, "node"))
+    straight = straight.join(several, "end", "left").select("node", "end", "length", F.coalesce("why", F.lit("end")).alias("why"))
+    found = straight.union(begun.join(rings, "node").select("node", "end", "length", "why"))
+    return found.withColumn("length", F.col("length").cast("int"))

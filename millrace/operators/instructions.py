@@ -3,7 +3,7 @@
 An instruction is a struct (at, mnemonic, operands). An operand is a struct (kind, names, rest, place):
 the registers it names, in order, its other text (a constant, a scale and width) and the displacement
 of a memory operand. What a difference means is a table of rules over facts (``functions.rules``).
-Sequences are arrays; only their alignment, which is no join, is a kernel of ``operators.align``.
+Sequences are arrays, aligned by ``operators.alignment``.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import rules
-from millrace.operators.align import regions
+from millrace.functions import jumps, rules
+from millrace.operators import alignment
 
 OPERAND = "struct<kind:string,names:array<string>,rest:string,place:bigint>"
 INSTRUCTION = f"struct<at:bigint,mnemonic:string,operands:array<{OPERAND}>>"
@@ -22,11 +22,6 @@ UNALLOCATED = ["rsp", "rip"]
 FRAME = ["rsp", "rbp"]
 COMMUTES = ["cmp", "test", "add", "imul", "and", "or", "xor", "addss", "addsd", "mulss", "mulsd"]
 MOVES = ["mov", "movss", "movsd", "movaps", "movapd", "movq", "movd", "movzx", "movsx", "movsxd", "push", "pop"]
-#: Jumps that hold when the operands of the comparison before them are the other way round.
-MIRRORED = ["jl jg", "jle jge", "jb ja", "jbe jae", "je je", "jne jne"]
-#: Jumps that hold exactly when the other doesn't.
-OPPOSITE = ["jl jge", "jg jle", "jb jae", "ja jbe", "je jne", "js jns", "jp jnp", "jo jno"]
-
 #: What is known of two different instructions at one place, and the cause it means.
 PAIR_RULES: list[rules.Rule] = [
     ("operand-order", ["mirrored jumps"], []),
@@ -48,10 +43,6 @@ RUN_RULES: list[rules.Rule] = [
 VIEWS = {"exact": (True, True, True), "registers": (False, True, True), "frame": (False, False, True), "opcodes": (False, False, False)}
 
 
-def _either_way(pairs: list[str], a: Column, b: Column) -> Column:
-    return F.concat_ws(" ", a, b).isin(pairs) | F.concat_ws(" ", b, a).isin(pairs)
-
-
 def register_class(name: Column) -> Column:
     return F.when(name.isin(UNALLOCATED), name).when(name.startswith("xmm"), "xmm").otherwise("gpr")
 
@@ -92,14 +83,14 @@ def moves_data(instruction: Column) -> Column:
     return instruction["mnemonic"].isin(MOVES) | F.coalesce(stack, F.lit(False))
 
 
-#: Mnemonics here that write their first operand.
-WRITES = [*(m for m in MOVES if m not in ("push",)), "add", "sub", "imul", "and", "or", "xor", "addss", "addsd", "mulss", "mulsd", "lea"]
+#: Mnemonics that don't write their first operand.
+READS = ["cmp", "test", "push", "jmp", "call"]
 
 
 def written(instruction: Column) -> Column:
-    """The register that an instruction writes; null if none."""
+    """The register that an instruction writes, its first operand; null if none. All mnemonics but a few write."""
     first = _operand(instruction, 0)
-    return F.when(instruction["mnemonic"].isin(WRITES) & (first["kind"] == "reg"), F.get(first["names"], F.lit(0)))
+    return F.when(~instruction["mnemonic"].isin(READS) & (first["kind"] == "reg"), F.get(first["names"], F.lit(0)))
 
 
 def pair_facts(a: Column, b: Column) -> Column:
@@ -109,8 +100,8 @@ def pair_facts(a: Column, b: Column) -> Column:
     moved = lambda p: (p["x"]["kind"] == "mem") & (p["x"]["names"] == p["y"]["names"]) & p["x"]["rest"].eqNullSafe(p["y"]["rest"])
     return rules.facts(
         {
-            "mirrored jumps": _either_way(MIRRORED, a["mnemonic"], b["mnemonic"]),
-            "opposite jumps": _either_way(OPPOSITE, a["mnemonic"], b["mnemonic"]),
+            "mirrored jumps": jumps.related(jumps.MIRRORED | jumps.EQUALITY, a["mnemonic"], b["mnemonic"]),
+            "opposite jumps": jumps.related(jumps.OPPOSITE, a["mnemonic"], b["mnemonic"]),
             "same mnemonic": a["mnemonic"] == b["mnemonic"],
             "same count": F.size(x) == F.size(y),
             "commutes": a["mnemonic"].isin(COMMUTES) & (F.size(x) == 2),
@@ -143,9 +134,9 @@ def differences(pairs: DataFrame, key: str, ours: str = "ours", theirs: str = "t
     """
     none = F.array().cast(f"array<{INSTRUCTION}>")
     rows = pairs.select(key, *[F.filter(F.coalesce(c, none), lambda i: ~is_padding(i)).alias(n) for c, n in ((ours, "a"), (theirs, "b"))])
-    rows = rows.withColumn("r", F.explode(regions(*[F.transform(c, lambda i: view(i, "registers")) for c in "ab"])))
-    cut = lambda c, i, j: F.slice(c, F.col(f"r.{i}") + 1, F.col(f"r.{j}") - F.col(f"r.{i}")).alias(c)
-    rows = rows.select(key, "r.tag", cut("a", "i1", "i2"), cut("b", "j1", "j2"))
+    aligned = alignment.opcodes(rows, key, *[F.transform(c, lambda i: view(i, "registers")) for c in "ab"])
+    cut = lambda c, i, j: F.slice(c, F.col(i) + 1, F.col(j) - F.col(i)).alias(c)
+    rows = rows.join(aligned, key).select(key, "tag", cut("a", "i1", "i2"), cut("b", "j1", "j2"))
     level = F.size("a") == F.size("b")
     a, b = F.col("a"), F.col("b")
     place = rows.where(level).select(key, "tag", F.inline(F.arrays_zip("a", "b"))).where(view(a, "exact") != view(b, "exact")).withColumn("held", pair_facts(a, b))
@@ -179,17 +170,19 @@ def classified(pairs: DataFrame, key: str, ours: str = "ours", theirs: str = "th
     names = lambda c: F.transform(c, lambda i: F.flatten(F.transform(i["operands"], lambda o: o["names"])))
     codes = lambda c: F.when(F.col("level").isNull(), _views(c, "opcodes")).otherwise(F.array().cast("array<string>"))
     rows = rows.select(key, "level", codes(ours).alias("a"), codes(theirs).alias("b"), names(ours).alias("x"), names(theirs).alias("y"))
-    rows = rows.withColumn("r", F.filter(regions("a", "b"), lambda r: r["tag"] != "equal"))
+    apart = rows.where("level is null").select(key, "a", "b")
+    stretches = alignment.opcodes(apart, key, F.col("a"), F.col("b")).where("tag <> 'equal'")
+    longer = F.sum(F.greatest(F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"))).cast("int")
+    places = F.min(F.struct("i1", "i2", "j1", "j2"))
+    stretches = stretches.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("stretches"), longer.alias("instructions"), places.alias("r"))
+    rows = rows.join(stretches, key, "left")
     rows = rows.withColumn("named", F.array_distinct(F.arrays_zip(F.flatten("x").alias("x"), F.flatten("y").alias("y"))))
     once = [F.size("named") == F.size(F.array_distinct(F.flatten(c))) for c in "xy"]
     level = F.transform("x", lambda v: F.size(v)) == F.transform("y", lambda v: F.size(v))
     renaming = F.when((F.col("level") == "registers") & level & once[0] & once[1], F.map_from_entries(F.filter("named", lambda p: p["x"] != p["y"])))
-    apart = F.col("level").isNull()
-    length = F.aggregate("r", F.lit(0), lambda n, r: n + F.greatest(r["i2"] - r["i1"], r["j2"] - r["j1"]))
-    first = F.get("r", F.lit(0))
-    part = lambda c, i, j: F.when(first[i] == first[j], "-").otherwise(F.array_join(F.slice(c, first[i] + 1, first[j] - first[i]), " "))
-    signature = F.when(apart & (F.size("r") == 1), F.concat_ws(" / ", part("a", "i1", "i2"), part("b", "j1", "j2")))
-    return rows.select(key, F.coalesce("level", F.lit("sequence")).alias("level"), renaming.alias("renaming"), F.when(apart, F.size("r")).alias("stretches"), F.when(apart, length).alias("instructions"), signature.alias("signature"))
+    part = lambda c, i, j: F.when(F.col(f"r.{i}") == F.col(f"r.{j}"), "-").otherwise(F.array_join(F.slice(c, F.col(f"r.{i}") + 1, F.col(f"r.{j}") - F.col(f"r.{i}")), " "))
+    signature = F.when(F.col("stretches") == 1, F.concat_ws(" / ", part("a", "i1", "i2"), part("b", "j1", "j2")))
+    return rows.select(key, F.coalesce("level", F.lit("sequence")).alias("level"), renaming.alias("renaming"), "stretches", "instructions", signature.alias("signature"))
 
 
 def level_census(classes: DataFrame, key: str, size: Column) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.operators import align, bags, graphs, intervals, inventories, ordered, records, snapshots, votes
+from millrace.operators import align, alignment, bags, graphs, intervals, inventories, ordered, records, snapshots, votes
 from millrace.plans import bindings as B
 
 T = B.table
@@ -544,7 +544,7 @@ from r left join o on o.s = r.cur where o.n is null or o.n > 1 or list_contains(
 def single_chains(spark, d):
     s = T(spark, d, "supplier")
     edges = s.select(F.col("s_suppkey").alias("source"), F.expr("(s_suppkey * 3 + s_nationkey) div 4").alias("target")).distinct()
-    return graphs.single_chains(edges, s.select(F.col("s_suppkey").alias("node")).distinct(), 200)
+    return graphs.single_chains(edges, s.select(F.col("s_suppkey").alias("node")))
 
 
 # --- text ----------------------------------------------------------------------------------------
@@ -579,7 +579,21 @@ def align_documents(spark, d):
     docs = T(spark, d, "documents").select("doc_id", "text")
     other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
     joined = docs.join(other, "doc_id")  # texts are shuffled, not their larger arrays of tokens
-    return joined.select("doc_id", align.align(F.split("text", " "), F.split("other", " ")).alias("a")).select("doc_id", "a.*")
+    return alignment.align(joined, "doc_id", F.split("text", " "), F.split("other", " "))
+
+
+@query(
+    "longest_common_block",
+    """with d as (select doc_id, string_split(text, ' ') as w from documents), t as (select doc_id, unnest(w) as w, unnest(range(len(w))) as p from d),
+c as (select a.doc_id, a.p as i, b.p as j, a.p - row_number() over (partition by a.doc_id, a.p - b.p order by a.p) as run from t a join t b on b.doc_id = a.doc_id + 1 and b.w = a.w),
+r as (select doc_id, min(i) as i, min(j) as j, count(*) as size from c group by doc_id, i - j, run)
+select doc_id, cast(i as int) as i, cast(j as int) as j, cast(size as int) as size from (select *, row_number() over (partition by doc_id order by size desc, i, j) as k from r) where k = 1""",
+)
+def longest_common_block(spark, d):
+    """The longest run of words that each document and its successor by id share."""
+    docs = T(spark, d, "documents").select("doc_id", "text")
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    return alignment.longest(docs.join(other, "doc_id"), "doc_id", F.split("text", " "), F.split("other", " "))
 
 
 @query(

@@ -62,7 +62,7 @@ v as (select *, m || ' reg:' || reg || ' ' || case when k % 2 = 0 then 'mem:' ||
   m || ' reg:' || {_CLASS.format(r="reg")} || ' ' || case when k % 2 = 0 then case when base = 'rsp' then 'frame' else 'mem:' || {_CLASS.format(r="base")} || ',1x4,' || k % 5 end else 'imm:' || k % 3 end as frame, m as opcodes from o)"""
 
 
-@query("code_views", f"with {_VIEWS} select k, exact, registers, frame, opcodes, case when m in ('mov', 'add') then reg end as written from v where s in ('F', 'O')")
+@query("code_views", f"with {_VIEWS} select k, exact, registers, frame, opcodes, case when m not in ('cmp', 'call') then reg end as written from v where s in ('F', 'O')")
 def code_views(spark, d):
     """Every instruction at each level of looseness, and the register that it writes."""
     i = F.col("i")

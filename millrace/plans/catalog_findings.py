@@ -34,18 +34,19 @@ def finding_kinds(spark, d):
 
 @query(
     "comparison_flips",
-    """with r as (select o_orderkey as k, o_orderkey % 4 as m, 'a' || o_custkey % 3 as x, 'a' || o_custkey % 5 as y from orders)
-select k, case when m = 0 then x <> y when m = 1 then true else false end as flip from r""",
+    """select o_orderkey as k, o_orderkey % 7 in (0, 1) and o_custkey % 3 <> 2 as flip from orders""",
 )
 def comparison_flips(spark, d):
-    """Rendered pairs: swapped operands, a mirrored jump, an opposite jump, other operands."""
+    """Rendered pairs of three causes: compared values swapped, a mirrored jump elsewhere, an opposite jump, equality, a sum swapped, other operands, a comparison of one."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     x, y = (F.concat(F.lit("a"), (c % n).cast("string")) for n in (3, 5))
-    pair = lambda name, p, q: F.concat(F.lit(name + " "), p, F.lit(", "), q)
-    m = k % 4
-    ours = F.when(m == 0, pair("cmp", x, y)).when(m == 1, F.concat(F.lit("jl "), x)).when(m == 2, F.concat(F.lit("jl "), x)).otherwise(pair("cmp", x, F.lit("b")))
-    theirs = F.when(m == 0, pair("cmp", y, x)).when(m == 1, F.concat(F.lit("jg "), x)).when(m == 2, F.concat(F.lit("jge "), x)).otherwise(pair("cmp", x, F.lit("c")))
-    return T(spark, d, "orders").select(k.alias("k"), D.comparison_flip(ours, theirs).alias("flip"))
+    pair = lambda name, *args: F.concat(F.lit(name + " "), F.array_join(F.array(*args), ", "))
+    b, e = F.lit("b"), F.lit("e")
+    cases = [("cmp", "cmp", (x, y), (y, x)), ("jl", "jg", (x,), (y,)), ("jl", "jge", (x,), (x,)), ("je", "je", (x,), (x,)), ("add", "add", (x, y), (y, x)), ("cmp", "cmp", (x, b), (x, e)), ("cmp", "cmp", (x,), (x,))]
+    at = (k % len(cases) + 1).cast("int")
+    ours, theirs = (F.element_at(F.array(*[pair(case[i], *case[i + 2]) for case in cases]), at) for i in (0, 1))
+    cause = F.element_at(F.array(*map(F.lit, ["operand-order", "block-order", "register-allocation"])), (c % 3 + 1).cast("int"))
+    return T(spark, d, "orders").select(k.alias("k"), D.comparison_flip(cause, ours, theirs).alias("flip"))
 
 
 _NAMES = "(['_Unwind_Resume', '_ZdlPv', '_ZN1AD1Ev', '_ZN1AD2Ev', '_ZN1A3runEv'])[l_partkey % {n} + 1]"
@@ -98,16 +99,36 @@ def value_differences(spark, d):
     return T(spark, d, "lineitem").where(tells).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "kind_rows",
-    f"""with {_PATTERNS}, f as (select l_orderkey as key, {_CAUSE} as cause, l_suppkey % 13 = 0 as flip, cast(l_quantity as bigint) as rows from lineitem),
-a as (select key, case when flip then 'comparison-flip' else {_KIND.format(c="cause")} end as kind, rows as n from f where cause <> 'inlining'),
-i as (select f.key, sum(rows) as rows, coalesce(max(n_calls), 0) as c, coalesce(max(n_distribution), 0) as s from f left join p on p.key = f.key where cause = 'inlining' group by f.key),
-b as (select key, 'calls' as kind, least(rows, c) as n from i union all select key, 'inline-distribution', rows from i where c = 0 and s > 0 union all select key, 'block-order', rows - least(rows, c) from i where not (c = 0 and s > 0))
-select key, kind, cast(sum(n) as bigint) as n from (select * from a union all select * from b) where n > 0 group by 1, 2""",
-)
+_KINDS = f"""{_PATTERNS}, f as (select l_orderkey as key, {_CAUSE} as cause, l_suppkey % 13 = 0 as flip, cast(l_quantity as bigint) as rows, l_returnflag as detail, l_linenumber = l_orderkey % 7 and l_quantity >= 2 as checked from lineitem),
+a as (select key, case when flip then 'comparison-flip' else {_KIND.format(c="cause")} end as kind, detail, rows - checked::int as n from f where cause <> 'inlining' union all select key, 'enum-check', detail, 1 from f where cause <> 'inlining' and checked),
+t as (select f.key, sum(rows) as rows, any_value(n_calls) as c from f join p using (key) where cause = 'inlining' and n_calls > 0 group by f.key),
+b as (select key, 'calls' as kind, null as detail, least(rows, c) as n from t union all select key, 'block-order', null, rows - least(rows, c) from t
+  union all select f.key, case when n_distribution > 0 then 'inline-distribution' else 'block-order' end, detail, rows from f left join p using (key) where cause = 'inlining' and coalesce(n_calls, 0) = 0),
+k as (select key, kind, detail, cast(sum(n) as bigint) as n from (select * from a union all select * from b) group by all having sum(n) > 0)"""
+
+
+def _placed(spark, d):
+    """``_findings`` with the offsets of up to four of their rows and a detail; a check in each order."""
+    cause = F.element_at(F.array(*map(F.lit, _CAUSES)), (F.col("l_partkey") % 10 + 1).cast("int"))
+    first = 10 * F.col("l_linenumber")
+    found = T(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("key"), cause.alias("cause"), (F.col("l_suppkey") % 13 == 0).alias("flip"), F.col("l_quantity").cast("long").alias("rows"), F.col("l_returnflag").alias("detail"), F.sequence(first, first + 3).alias("offsets")
+    )
+    checks = T(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (10 * (F.col("o_orderkey") % 7) + 1).alias("offset"))
+    return found, checks
+
+
+@query("kind_rows", f"with {_KINDS} select key, kind, cast(sum(n) as bigint) as n from k group by 1, 2")
 def kind_rows(spark, d):
-    return D.kind_rows(_findings(spark, d), "key", D.pattern_counts(_differences(spark, d), ["key"]))
+    found, checks = _placed(spark, d)
+    return D.kind_rows(found, "key", D.pattern_counts(_differences(spark, d), ["key"]), checks)
+
+
+@query("kind_evidence", f"with {_KINDS} select key, kind, detail, n from k")
+def kind_evidence(spark, d):
+    """The same with what each count is evidenced by."""
+    found, checks = _placed(spark, d)
+    return D.kind_evidence(found, "key", D.pattern_counts(_differences(spark, d), ["key"]), checks)
 
 
 @query(
@@ -328,14 +349,39 @@ def replacement_tables(spark, d):
     return values.join(text.select("o_custkey", F.inline(X.partition_names(F.col("text")))), ["o_custkey", "version"])
 
 
-@query("arrow_pairs", "select user_id, cast(k as varchar) as source, cast(k + 1 as varchar) as target from (select user_id, min(event_id) as k from events group by 1)")
+_REGISTERS = "(['eax', 'ebx', 'ecx', 'si', 'r8'])[{i} + 1]"
+
+
+@query("arrow_pairs", f"""select user_id, {_REGISTERS.format(i="k % 4")} as source, {_REGISTERS.format(i="(k + 1) % 4")} as target from (select user_id, min(event_id) as k from events group by 1)""")
 def arrow_pairs(spark, d):
-    """Pairs ``a->b`` in text, as a map and rows again."""
+    """Pairs of registers ``target->source`` in text, as a map and rows again; what names no register is left out."""
     k = T(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("k"))
-    text = F.concat(F.lit("moves "), F.col("k").cast("string"), F.lit("->"), (F.col("k") + 1).cast("string"), F.lit("; done"))
+    name = lambda i: F.element_at(F.array(*map(F.lit, ["eax", "ebx", "ecx", "si"])), (i % 4 + 1).cast("int"))
+    text = F.concat(F.lit("moves ax1->x, dx->"), name(F.col("k")), F.lit(", "), name(F.col("k") + 1), F.lit("->"), name(F.col("k")), F.lit(", r8->eax9; done"))
     return k.select("user_id", F.explode(X.arrows(text)).alias("source", "target"))
 
 
+@query(
+    "registers_by_offset",
+    f"""with f as (select o_custkey, o_orderkey as k, {_REGISTERS.format(i="o_orderkey % 4")} as a, {_REGISTERS.format(i="o_orderkey % 3")} as b, case when o_orderkey % 2 = 0 then [o_orderkey % 7, o_orderkey % 5 + 7] else [o_orderkey % 11] end as offs from orders where o_orderkey % 3 <> 2),
+e as (select o_custkey, k, a as theirs, b as ours, unnest(offs) as "offset" from f union all select o_custkey, k, 'edx', 'edi', unnest(offs) from f)
+select o_custkey, "offset", ours, arg_max(theirs, k) as theirs from e group by 1, 2, 3""",
+)
+def registers_by_offset(spark, d):
+    """Orders as findings of their customer: which register stands for which at each place, by the last finding that says so."""
+    k = F.col("o_orderkey")
+    name = lambda n: F.element_at(F.array(*map(F.lit, ["eax", "ebx", "ecx", "si"])), (k % n + 1).cast("int"))
+    found = T(spark, d, "orders").select(
+        "o_custkey",
+        k.alias("n"),
+        F.when(k % 3 == 2, "padding").otherwise("register-allocation").alias("cause"),
+        F.concat(name(4), F.lit("->"), name(3), F.lit(", edx->edi, r12->r13")).alias("detail"),
+        F.when(k % 2 == 0, F.array(k % 7, k % 5 + 7)).otherwise(F.array().cast("array<bigint>")).alias("offsets"),
+        (k % 11).alias("candidate"),
+    )
+    return D.registers_by_offset(found, ["o_custkey"], "n")
+
+
 @query(
     "rendered_pages",
     """with f as (select o_custkey as unit, 1 as rank, o_orderkey as n, printf('differs 0x%x: %s', o_orderkey, o_orderstatus) as line from orders where o_orderstatus <> 'P'

@@ -226,7 +226,7 @@ def test_rules_are_tried_in_order(spark):
 
 def test_text_of_dumps(spark):
     text = "x_12 replace with --> x_12 = y_3(D);\nnothing\nx_4(D) replace with --> t = a = b;\nPartition 3 (v - 7 8 )\nPartition 1 (w x - 9)"
-    r = spark.range(1).select(X.replacements(F.lit(text)).alias("a"), X.partition_names(F.lit(text)).alias("b"), X.arrows(F.lit("rax->rbx, rcx->rdx; rax->rsi")).alias("c")).first()
+    r = spark.range(1).select(X.replacements(F.lit(text)).alias("a"), X.partition_names(F.lit(text)).alias("b"), X.arrows(F.lit("rbx->rax, rdx->rcx; rsi->rax abc1->x")).alias("c")).first()
     assert [(x.version, x.value) for x in r.a] == [(12, "y_3(D)"), (4, "a = b")]
     assert [(x.version, x.name) for x in r.b] == [(7, "v"), (8, "v"), (9, "w x")]
     assert r.c == {"rax": "rsi", "rcx": "rdx"}

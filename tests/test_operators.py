@@ -1,6 +1,6 @@
 """Operators on small literal inputs."""
 
-import difflib
+import random
 
 from pyspark.sql import functions as F
 
@@ -107,15 +107,33 @@ def test_graphs(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6)], "source long, target long")
     assert rows(graphs.closure(e, spark.createDataFrame([(1,)], "node long"))) == [(1, 0), (2, 1), (3, 2)]
     assert rows(graphs.components(e, spark.createDataFrame([(n,) for n in (1, 2, 3, 5, 6, 7)], "node long"))) == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (7, 7)]
-    chains = graphs.single_chains(spark.createDataFrame([(1, 2), (2, 3), (4, 5), (4, 6), (7, 8), (8, 7)], "source long, target long"), spark.createDataFrame([(1,), (4,), (7,)], "node long"), 10)
+    chains = graphs.single_chains(spark.createDataFrame([(1, 2), (2, 3), (4, 5), (4, 6), (7, 8), (8, 7)], "source long, target long"), spark.createDataFrame([(1,), (4,), (7,)], "node long"))
     assert {r.node: (r.end, r.why) for r in chains.collect()} == {1: (3, "end"), 4: (4, "ambiguous"), 7: (8, "cycle")}
 
 
-def test_align_is_sequence_matcher(spark):
-    a, b = list("abcdefgh"), list("abxdefgyh")
-    got = spark.createDataFrame([(a, b), ([], []), (None, a)], "a array<string>, b array<string>").select(align.align("a", "b").alias("r")).select("r.*").collect()
-    assert got[0].score == round(100 * difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), 2)
-    assert (got[1].score, got[2].score) == (100.0, 0.0)
+def test_single_chains_have_no_cap(spark):
+    r = random.Random(6)
+    edges = [(n, n + 1) for n in range(500)] + [(n, n + 1) for n in range(1000, 1300)] + [(1300, 1200)]
+    edges += [(n, r.randrange(2000, 2060)) for n in range(2000, 2060)] + [(2000, 2050), (2001, 2051)]
+    targets = {}
+    for s, t in edges:
+        targets.setdefault(s, set()).add(t)
+
+    def follow(n):
+        path = [n]
+        while True:
+            on = targets.get(path[-1], ())
+            if len(on) != 1:
+                return path[-1], len(path) - 1, "ambiguous" if on else "end"
+            if (to := min(on)) in path:
+                return path[-1], len(path) - 1, "cycle"
+            path.append(to)
+
+    start = [0, 250, 499, 500, 900, 1000, 1250, 1300, *range(2000, 2060)]
+    got = graphs.single_chains(spark.createDataFrame(edges, "source long, target long"), spark.createDataFrame([(n,) for n in start], "node long"))
+    want = {n: follow(n) for n in start}
+    assert {r.node: (r.end, r.length, r.why) for r in got.collect()} == want
+    assert {w[2] for w in want.values()} == {"end", "ambiguous", "cycle"}
 
 
 def test_rewrites(spark):
