@@ -64,18 +64,69 @@ def learned(claims: DataFrame, known: DataFrame) -> DataFrame:
     return one.where(ok).select("node", "value")
 
 
-def learn(step: Callable[[DataFrame], DataFrame], start: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, value): apply ``step``, which claims values from what is known, until it claims nothing new. A claim against what is known fails."""
-    known = _written(start.select("node", "value").distinct())
-    for _ in range(rounds):
-        claims = _written(step(known).select("node", "value").distinct())
-        now = _written(learned(claims, known))
-        if claims.join(known, "node", "left_anti").isEmpty():
-            return now
-        known = now
+def learn(step: Callable[[DataFrame, DataFrame], DataFrame], start: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, value): what follows from the start by ``step``, round by round, until nothing is new.
+
+    ``step(new, known)`` claims values from what the last round added, joined to all that is known, so a
+    round costs what it adds. Two claims for one node, or a claim against what is known, fail, and
+    so does a claim that says again what is known: a step is to claim what it doesn't know.
+    """
+    known = new = _written(learned(start, start.limit(0)))
+    for round_ in range(rounds):
+        claims = _written(step(new, known).select("node", "value").distinct())
+        if claims.isEmpty():
+            return known
+        again = claims.join(known.withColumnRenamed("value", "before"), "node")
+        fault = F.when(F.col("value").eqNullSafe(F.col("before")), "claimed again: ").otherwise("two claims for ")
+        again.select(F.raise_error(F.concat(fault, F.col("node").cast("string"))).cast("string").alias("e")).collect()
+        new = _written(learned(claims, claims.limit(0)))
+        known = known.union(new)
+        if round_ % COMPACT == COMPACT - 1:
+            known = _written(known)
     raise RuntimeError("claims did not settle")
 
 
+def cycles(claims: DataFrame) -> DataFrame:
+    """(name, other, cycle, length, place): a renaming of names onto themselves as cycles; reading it fails if it is none.
+
+    ``claims`` (name, other) must name every one of its names once on either side. A cycle is named by its
+    smallest name; places count from it. Rounds double the steps, so a cycle of n names takes log n.
+    """
+    one = claims.select("name", "other").distinct()
+    sides = one.select("name", F.lit(1).alias("from"), F.lit(0).alias("to")).union(one.select("other", F.lit(0), F.lit(1)))
+    ends = _written(sides.groupBy("name").agg(F.sum("from").alias("from"), F.sum("to").alias("to")))
+    fault = F.concat(F.lit("not a renaming at "), F.col("name").cast("string"))
+    ends.where(F.col("name").isNull() | (F.col("from") != 1) | (F.col("to") != 1)).select(F.raise_error(F.coalesce(fault, F.lit("not a renaming at null"))).cast("string").alias("e")).collect()
+    one = _written(one)
+    state = _written(one.select("name", F.col("other").alias("at"), F.least("name", "other").alias("low")))
+    while True:
+        on = state.select(F.col("name").alias("at"), F.col("at").alias("further"), F.col("low").alias("lower"))
+        state = _written(state.join(on, "at").select("name", F.col("further").alias("at"), F.least("low", "lower").alias("low"), (F.col("lower") < F.col("low")).alias("fell")))
+        fell = not state.where("fell").isEmpty()
+        state = state.select("name", "at", "low")
+        if not fell:
+            break
+    sizes = state.groupBy("low").agg(F.count(F.lit(1)).alias("length"))
+    named = _written(one.join(state.select("name", "low"), "name").join(sizes, "low"))
+    to_first, _ = followed(named.where("other <> low").select("name", "other").select(F.col("name").alias("node"), F.col("other").alias("to")))
+    # the last of a cycle leads to its first: how far a name is from there
+    ahead = named.join(to_first.select(F.col("node").alias("name"), F.col("length").alias("ahead")), "name", "left")
+    return ahead.select("name", "other", F.col("low").alias("cycle"), "length", (F.col("length") - 1 - F.coalesce("ahead", F.lit(0))).alias("place"))
+
+
+def renamed(table: DataFrame, name: str, values: list[str], claims: DataFrame) -> DataFrame:
+    """The rows of ``table`` (one a name), those of the renaming with the values of what they are renamed to, all at once.
+
+    Fails if the claims are no renaming of names onto themselves, or name what isn't in the table.
+    """
+    ring = cycles(claims).select("name", "other")
+    held = table.select(F.col(name).alias("other"), F.struct(*values).alias("_new"))
+    to = _written(ring.join(held, "other", "left").select(F.col("name").alias(name), "_new"))
+    to.where("_new is null").select(F.raise_error(F.concat(F.lit("unknown name for "), F.col(name).cast("string"))).cast("string").alias("e")).collect()
+    rows = table.join(to, name, "left")
+    return rows.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns])
+
+
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, label): the smallest node that undirected (source, target) edges connect a node with.
 

@@ -133,10 +133,14 @@ def test_phases(spark):
 
 def test_learning_stops_and_refuses_contradictions(spark):
     start = spark.createDataFrame([(1, 0)], "node long, value long")
-    step = lambda known: known.where("node < 6").select((F.col("node") + 1).alias("node"), (F.col("value") + 2).alias("value"))
+    step = lambda new, known: new.where("node < 6").select((F.col("node") + 1).alias("node"), (F.col("value") + 2).alias("value"))
     assert rows(graphs.learn(step, start)) == [(n, 2 * (n - 1)) for n in range(1, 7)]
     with pytest.raises(Exception, match="two claims for 1"):
-        graphs.learn(lambda known: known.withColumn("value", F.lit(9).cast("long")), start)
+        graphs.learn(lambda new, known: new.withColumn("value", F.lit(9).cast("long")), start)
+    with pytest.raises(Exception, match="claimed again: 1"):
+        graphs.learn(lambda new, known: new, start)
+    with pytest.raises(Exception, match="two claims for 2"):
+        graphs.learn(lambda new, known: new.select(F.lit(2).cast("long").alias("node"), F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("value")), start)
 
 
 def test_closure_by_several_hops_has_least_depths(spark):
