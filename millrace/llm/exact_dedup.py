@@ -36,7 +36,7 @@ from millrace.llm import common as C
 MEMTABLE = 200_000
 #: A filter's bits for each digest of its run, and the bits that a digest sets.
 BITS, PLACES = 10, 4
-#: Filters of all runs that are broadcast at most; beyond, texts and hits are joined without them.
+#: Bytes of filters that are broadcast at a time; beyond, the texts are read in several passes.
 FILTER_BYTES = 64 << 20
 
 
@@ -163,15 +163,36 @@ class Filters:
         return out.tolist()
 
 
-def lookup(docs: DataFrame, hits: DataFrame, digest: Callable[[bytes], bytes] = sha256, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def lookup(docs: DataFrame, hits: DataFrame, digest: Callable[[bytes], bytes] = sha256, filter_bytes: int = FILTER_BYTES, memtable: int = MEMTABLE) -> DataFrame:
     """Rows (digest, norm) of texts whose digest is among ``hits``: of each task's equal texts one, and any that differ.
 
-    The hits' filters, if they have at most ``filter_bytes`` together, drop other texts before the shuffle.
+    The hits' filters drop other texts before the shuffle. Where they have more than ``filter_bytes``
+    together, the texts are read in several passes, each with the filters of a range of digests, one
+    after the other: never more is broadcast, and only texts that may be hits are shuffled.
     """
-    built = C.materialise(filters(hits), "filters")
-    total = built.agg(F.coalesce(F.sum(F.octet_length("bits") + F.octet_length("low") + F.octet_length("high")), F.lit(0))).first()[0]
-    known = docs.sparkSession.sparkContext.broadcast(Filters([tuple(map(bytes, r)) for r in built.collect()])) if total <= filter_bytes else None
-    return representatives(docs, digest, known).join(hits.select("digest"), "digest", "left_semi")
+    built = C.materialise(filters(hits, memtable), "filters")
+    size = F.octet_length("bits") + F.octet_length("low") + F.octet_length("high")
+    ranges: list[list] = []  # first digest and bytes of each pass
+    for r in built.select("low", size.alias("size")).orderBy("low").collect():  # a row a run
+        if not ranges or ranges[-1][1] + r.size > filter_bytes:
+            ranges.append([bytes(r.low), 0])
+        ranges[-1][1] += r.size
+
+    def within(column: str, k: int):
+        low = F.col(column) >= F.lit(ranges[k][0])
+        return low & (F.col(column) < F.lit(ranges[k + 1][0])) if k + 1 < len(ranges) else low
+
+    def passed(runs: DataFrame, wanted: DataFrame) -> DataFrame:
+        known = docs.sparkSession.sparkContext.broadcast(Filters([tuple(map(bytes, r)) for r in runs.collect()]))
+        return representatives(docs, digest, known).join(wanted.select("digest"), "digest", "left_semi")
+
+    if len(ranges) < 2:
+        return passed(built, hits)
+    out = None
+    for k in range(len(ranges)):
+        part = C.materialise(passed(built.where(within("low", k)), hits.where(within("digest", k))), "looked-up")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def representatives(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256, known=None, held_bytes: int = 16 << 20) -> DataFrame:
