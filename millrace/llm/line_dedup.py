@@ -31,6 +31,8 @@ LEADING, MIN_DOCS, ALIKE = 2, 3, 0.6
 FIELD = "<*>"
 #: Rows of hashes (some 16 bytes each) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Places of dropped lines, of four bytes each, that are broadcast.
+BROADCAST_PLACES = 8_000_000
 
 
 def _tokens(line: Column) -> Column:
@@ -48,9 +50,11 @@ def lines(rows: DataFrame) -> DataFrame:
     return each.select(*C.KEY, "pos", "tokens", leaf.alias("leaf"), F.xxhash64("tokens").alias("line"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a written table of hashes if its size allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, places: str | None = None) -> DataFrame:
+    """Broadcast a written table of hashes if its size allows: the number of its rows, and of all places in them where a row has many."""
+    most = F.lit(0) if places is None else F.coalesce(F.sum(F.size(places)), F.lit(0))
+    n = df.agg(F.count(F.lit(1)).alias("rows"), most.alias("places")).first()
+    return F.broadcast(df) if n.rows <= BROADCAST_ROWS and n.places <= BROADCAST_PLACES else df
 
 
 def _documents(pairs: DataFrame, key: str) -> DataFrame:
@@ -86,7 +90,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     recurring = C.materialise(_documents(named, "template").where(F.col("docs") >= MIN_DOCS).select("template"), "recurring")
     gone = named.join(_small(recurring), "template", "left_semi").groupBy(*C.KEY).agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     gone = C.materialise(gone, "gone")
-    out = rows.join(_small(gone), C.KEY, "left")
+    out = rows.join(_small(gone, "gone"), C.KEY, "left")
     all_lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
     out = out.select("doc_id", all_lines.alias("all"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))  # a hash set of the places: linear in the lines
