@@ -209,13 +209,19 @@ def _sampled(docs: DataFrame, part: Column, most: int) -> DataFrame:
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1_000_000, -(-1_000_000 * most // n))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("lang", "text")
+    return rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share).select("lang", "text")
 
 
 def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE) -> Model:
-    """A model from labelled rows (doc_id, text, lang) where ``learn`` is true; a quarter of them, by id, calibrates it."""
+    """A model from labelled rows (doc_id, text, lang) where ``learn`` is true; a quarter of them, by id, calibrates it.
+
+    A language whose rows are all in that quarter is learned from them.
+    """
     learn = F.lit(True) if learn is None else learn
-    held = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibration")), F.lit(4)) == 0
+    quarter = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibration")), F.lit(4)) == 0
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
+    alone = [r.lang for r in labelled.groupBy("lang").agg(F.bool_and(quarter).alias("all")).where("all").collect()]
+    held = quarter & ~F.col("lang").isin(alone) if alone else quarter
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +242,7 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE) ->
         keys, n = own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy()
         order = np.argsort(keys)
         tables.append((keys[order], n[order]))
-    return calibrate(KneserNey(languages, tables), _sampled(docs, learn & held, CALIBRATION))
+    return calibrate(KneserNey(languages, tables), _sampled(docs, learn & quarter, CALIBRATION))
 
 
 def calibrate(models: KneserNey, rows: DataFrame) -> Model:
