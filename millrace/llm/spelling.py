@@ -34,6 +34,8 @@ SHORTEST = 7
 LEAST, LONGEST = 2, 5
 #: A gram is frequent if it has more than one in SHARE of all places (and more than FEW): under SHARE grams of each length are.
 SHARE, FEW = 1 << 18, 8
+#: Letters of a word that its index entries carry.
+LONG = 64
 #: Places of words that one vectorised step looks at.
 CELLS = 1 << 18
 #: A-Z lower-cased, a-z and U+00C0 to U+00FF are letters.
@@ -225,30 +227,51 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def index(words: DataFrame, grams: np.ndarray, counts: np.ndarray, longest: int = LONGEST) -> DataFrame:
-    """(key, word, n): the index entries of (word, n); the dictionary is bounded, so every task may hold it."""
+def index(words: DataFrame, grams: np.ndarray, counts: np.ndarray, longest: int = LONGEST, carried: tuple[str, ...] = ("word", "n")) -> DataFrame:
+    """(key, carried...): the index entries of words, each with these columns of its row; the dictionary is bounded, so every task may hold it."""
     held = words.sparkSession.sparkContext.broadcast((grams, counts))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.select(*carried).schema.fields)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, offsets = letters(batch.column(0))
+            codes, offsets = letters(batch.column("word"))
             for i, j in C.steps(offsets):
                 rows, keys = entries(codes, offsets[i : j + 1], *held.value, longest)
                 rows = pa.array(rows + i)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(rows), batch.column(1).take(rows)], ["key", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c).take(rows) for c in carried)], ["key", *carried])
 
-    return C.map_arrow(words.select("word", "n"), enter, "key long, word string, n long")
+    return C.map_arrow(words.select("word", *(c for c in carried if c != "word")), enter, f"key long, {schema}")
 
 
 def near_pairs(words: DataFrame, shortest: int = SHORTEST, share: int = SHARE, few: int = FEW) -> DataFrame:
-    """(a, n_a, b, n_b), a < b: all pairs of distinct (word, n) that one edit turns into each other, once each."""
+    """(a, n_a, b, n_b), a < b: all pairs of distinct (word, n) that one edit turns into each other, once each.
+
+    Words of up to LONG letters go into the index as they are. A longer word has as many entries as
+    letters at worst, so it goes by a number, and its text meets the pairs that were found; words of about
+    LONG letters are in both indexes.
+    """
     longest = min(LONGEST, shortest - LEAST)
     if longest < LEAST:
         raise ValueError(f"words of fewer than {2 * LEAST} letters have no gram that every edit leaves")
-    found = C.materialise(index(words, *dictionary(words, longest, share, few), longest), "grams")
+    known = dictionary(words, longest, share, few)
+    size = F.length("word")
+    found = C.materialise(index(words.where(size <= LONG + 1), *known, longest), "grams")
     a, b = (found.select("key", F.col("word").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 1) == 1)
-    return a.join(b, "key").where(near).select("a", "n_a", "b", "n_b").distinct()
+    pairs = a.join(b, "key").where(near).select("a", "n_a", "b", "n_b")
+
+    long = C.materialise(words.where(size >= LONG).select("word", "n", size.alias("size"), F.monotonically_increasing_id().alias("id")), "long")
+    if not long.isEmpty():
+        found = C.materialise(index(long, *known, longest, ("id", "size")), "grams")
+        a, b = (found.select("key", F.col("id").alias(f"id_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
+        met = a.join(b, "key").where("id_a < id_b and abs(size_a - size_b) <= 1").select("id_a", "id_b").distinct()
+        for x in "xy":
+            met = met.join(long.select(F.col("id").alias("id_a" if x == "x" else "id_b"), F.col("word").alias(x), F.col("n").alias(f"n_{x}")), "id_a" if x == "x" else "id_b")
+        low = F.col("x") < F.col("y")
+        pick = lambda p, q: F.when(low, F.col(p)).otherwise(F.col(q))
+        met = met.where(F.levenshtein("x", "y", 1) == 1)
+        pairs = pairs.union(met.select(pick("x", "y").alias("a"), pick("n_x", "n_y").alias("n_a"), pick("y", "x").alias("b"), pick("n_y", "n_x").alias("n_b")))
+    return pairs.distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
