@@ -174,6 +174,27 @@ def test_lookup_reads_hits_only(spark):
     assert exact_dedup.lookup(docs, hits.limit(0)).count() == 0
 
 
+def test_passes_shuffle_hits_only(spark, monkeypatch):
+    """With a filter a pass, no more texts leave their tasks than hits and the filters' errors."""
+    texts = [f"text {i}" for i in range(3000)] + [f"copy {i % 40}" for i in range(200)]
+    docs = frame(spark, list(enumerate(texts)))
+    hits = C.materialise(exact_dedup.compact(exact_dedup.runs(exact_dedup.digests(docs))).where("n > 1"), "hits")
+    passed, rows = [], exact_dedup.representatives
+
+    def counted(*args):
+        passed.append(rows(*args).count())
+        return rows(*args)
+
+    monkeypatch.setattr(exact_dedup, "representatives", counted)
+    found = {}
+    for limit in (exact_dedup.FILTER_BYTES, 300, 0):
+        passed.clear()
+        found[limit] = {(bytes(r.digest), bytes(r.norm)) for r in exact_dedup.lookup(docs, hits, filter_bytes=limit, memtable=5).collect()}
+        assert sum(passed) < 600, passed
+        assert (len(passed) == 1) == (limit == exact_dedup.FILTER_BYTES)
+    assert len(found[0]) == 40 and len(set(map(frozenset, found.values()))) == 1
+
+
 def test_filters_never_miss():
     r = random.Random(8)
     known = sorted(r.randbytes(32) for _ in range(5000))
