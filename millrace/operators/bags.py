@@ -27,24 +27,29 @@ def cancel(ours: DataFrame, theirs: DataFrame, stages: list[str], order: str) ->
     Within equal values the rows of lowest ``order`` cancel first. A null value cancels nothing. Only
     counts per value of the two sides meet; rows are numbered where their side has more.
     """
-    for stage in stages:
-        sides = ours.select(stage, F.lit(1).alias("o"), F.lit(0).alias("t")).union(theirs.select(stage, F.lit(0), F.lit(1)))
-        counts = written(sides.groupBy(stage).agg(F.sum("o").alias("o"), F.sum("t").alias("t")), "counts")
+    side = lambda df, name: df.withColumn("_side", F.lit(name))
+    both = side(ours, "o").unionByName(side(theirs, "t"), allowMissingColumns=True)
+    for i, stage in enumerate(stages):
+        own = lambda name: F.count_if(F.col("_side") == name).alias(name)
+        counts = written(both.groupBy(stage).agg(own("o"), own("t")), "counts")
         most = counts.agg(F.coalesce(F.greatest(F.max("o"), F.max("t")), F.lit(0))).first()[0]
-        ours, theirs = (_surplus(df, counts, stage, order, own, other, most > NUMBERED_ROWS) for df, own, other in ((ours, "o", "t"), (theirs, "t", "o")))
-    return ours, theirs
+        both = _surplus(both, counts, stage, order, most > NUMBERED_ROWS)
+        if i < len(stages) - 1:
+            both = written(both, "surplus")
+    return tuple(both.where(F.col("_side") == name).select(*df.columns) for df, name in ((ours, "o"), (theirs, "t")))
 
 
-def _surplus(rows: DataFrame, counts: DataFrame, key: str, order: str, own: str, other: str, large: bool) -> DataFrame:
-    """Rows beyond as many as the other side has of their key; ``counts`` has both sides' numbers per key. Rows without a key stay."""
-    more = counts.where(F.col(own) > F.col(other)).select(key, F.col(other).alias("_gone"))
-    left = rows.join(more, key, "left").where(F.col(key).isNull() | F.col("_gone").isNotNull())
+def _surplus(rows: DataFrame, counts: DataFrame, key: str, order: str, large: bool) -> DataFrame:
+    """Rows of either side beyond as many as the other has of their key; ``counts`` has both sides' numbers per key. Rows without a key stay."""
+    over = F.when(F.col("o") > F.col("t"), F.struct(F.lit("o").alias("_side"), F.col("t").alias("_gone"))).when(F.col("t") > F.col("o"), F.struct(F.lit("t").alias("_side"), F.col("o").alias("_gone")))
+    more = counts.select(key, over.alias("over")).where("over is not null").select(key, "over.*")
+    left = rows.join(more, [key, "_side"], "left").where(F.col(key).isNull() | F.col("_gone").isNotNull())
     # rows that stay whatever their number are dealt out evenly, not by their key
     spread = F.when(F.coalesce("_gone", F.lit(0)) == 0, F.xxhash64(order)).otherwise(0)
     if not large:
-        ordinal = F.row_number().over(Window.partitionBy(key, spread).orderBy(order))
+        ordinal = F.row_number().over(Window.partitionBy(key, "_side", spread).orderBy(order))
         left = left.withColumn("ordinal", F.when(F.coalesce("_gone", F.lit(0)) == 0, 1).otherwise(ordinal))
-    else:
+    else:  # a key has a surplus on one side only
         left = numbered(left, key, order, True)
     return left.where(F.col("ordinal") > F.coalesce("_gone", F.lit(0))).drop("ordinal", "_gone")
 

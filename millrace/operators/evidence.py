@@ -63,11 +63,11 @@ def disjoint(changed: DataFrame, reached: DataFrame, key: str, member: str) -> D
 
     Null, which proves nothing, where a changed member is unknown (null) or a key has no reached row.
     """
-    doubt = changed.groupBy(key).agg(F.bool_or(F.col(member).isNull()).alias("doubt"), F.collect_set(member).alias("gone"))
-    have = reached.groupBy(key).agg(F.collect_set(member).alias("have"))
-    rows = doubt.join(have, key, "left")
+    doubt = changed.groupBy(key).agg(F.bool_or(F.col(member).isNull()).alias("doubt"))
+    meet = changed.select(key, member).distinct().join(reached.select(key, member), [key, member], "left_semi").select(key).distinct().withColumn("meet", F.lit(True))
+    rows = doubt.join(reached.select(key).distinct().withColumn("have", F.lit(True)), key, "left").join(meet, key, "left")
     known = ~F.col("doubt") & F.col("have").isNotNull()
-    return rows.select(key, F.when(known, ~F.arrays_overlap("gone", "have")).alias("disjoint"))
+    return rows.select(key, F.when(known, F.col("meet").isNull()).alias("disjoint"))
 
 
 def dependents(units: DataFrame, unit: str, listing: str, paths: DataFrame, path: str) -> DataFrame:
@@ -228,10 +228,10 @@ def families(edits: DataFrame, key: list[str], name: str, order: str) -> DataFra
 
 
 def gathered(functions: DataFrame, differences: DataFrame, key: list[str], size: str, unreadable: Column) -> tuple[DataFrame, DataFrame]:
-    """(key..., size, n): functions with differences, in order of size, and (key..., reason) of those that were left out."""
+    """(key..., size, n): functions with differences, and (key..., reason) of those that were left out. A report sorts them by size."""
     counts = differences.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     skipped = functions.where(unreadable).select(*key, F.lit("unreadable").alias("reason"))
-    found = functions.where(~unreadable).join(counts, key).select(*key, size, "n").orderBy(F.desc(size), *key)
+    found = functions.where(~unreadable).join(counts, key).select(*key, size, "n")
     return found, skipped
 
 

@@ -1,7 +1,8 @@
 """Intervals: point lookups and overlap, without expanding intervals to points.
 
-Range joins are equi-joins: points and intervals are dealt to cells of a stated width (an interval to
-each cell that it touches, so choose the width near the intervals' length), then compared exactly.
+Range joins are equi-joins: an interval is on the level of its length, levels being twice as wide each,
+and touches at most two cells of its level; a point is looked for in one cell of each level that occurs.
+Where only numbers of intervals are asked for, one sweep over all ends gives them, without any pairs.
 """
 
 from __future__ import annotations
@@ -9,14 +10,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import written
 
-def owners(points: DataFrame, point: str, key: str, intervals: DataFrame, low: str, high: str, owner: str, width: float) -> DataFrame:
-    """Each point with the number of intervals [low, high) that hold it, and the owner where it is one."""
-    cells = intervals.select(owner, low, high, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))).alias("cell"))
-    inside = points.select(key, point, F.floor(F.col(point) / width).alias("cell")).join(cells, "cell").where((F.col(low) <= F.col(point)) & (F.col(point) < F.col(high)))
-    found = inside.groupBy(key).agg(F.count(F.lit(1)).alias("n_owners"), F.min(owner).alias("owner"))
-    out = points.join(found, key, "left").na.fill(0, ["n_owners"])
-    return out.withColumn("owner", F.when(F.col("n_owners") == 1, F.col("owner")))
+
+def swept(events: DataFrame, place: list[str], sums: list[str]) -> DataFrame:
+    """Events with the sums of ``sums`` over all events up to them by ``place``, over the whole table.
+
+    Events are dealt into ranges of places, summed within each, and moved on by the sums of earlier
+    ranges, a row a range. Events of one place all count for each other.
+    """
+    dealt = written(events.repartitionByRange(*place).withColumn("_range", F.spark_partition_id()), "sweep")
+    sizes = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sizes = sizes.select("_range", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in sums])
+    upto = Window.partitionBy("_range").orderBy(*place).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = dealt.select("*", *[F.sum(c).over(upto).alias(f"_in_{c}") for c in sums]).join(F.broadcast(sizes), "_range")
+    return inside.select(*[c for c in events.columns if c not in sums], *[(F.col(f"_in_{c}") + F.col(f"_{c}")).alias(c) for c in sums])
+
+
+def owners(points: DataFrame, point: str, key: str, intervals: DataFrame, low: str, high: str, owner: str) -> DataFrame:
+    """Each point with the number of intervals [low, high) that hold it, and the owner where it is one.
+
+    A running count of beginnings less ends tells how many intervals hold a place, and if that is one, the
+    running sum of their numbers is its number.
+    """
+    numbered = written(intervals.select(owner, low, high, F.monotonically_increasing_id().alias("_id")).where(F.col(low) < F.col(high)), "numbered")
+    number = lambda sign: (sign * F.col("_id")).cast("decimal(38,0)").alias("number")
+    none = F.lit(None)
+    types = {f.name: f.dataType for f in points.schema.fields}
+    ends = [numbered.select(F.col(at).alias("at"), F.lit(0).alias("late"), F.lit(sign).cast("long").alias("n"), number(sign), none.cast(types[key]).alias(key)) for at, sign in ((low, 1), (high, -1))]
+    asked = points.where(F.col(point).isNotNull()).select(F.col(point).alias("at"), F.lit(1).alias("late"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(38,0)").alias("number"), key)
+    found = swept(ends[0].union(ends[1]).union(asked), ["at", "late"], ["n", "number"]).where("late = 1")
+    found = found.select(key, F.col("n").alias("n_owners"), F.when(F.col("n") == 1, F.col("number")).cast("long").alias("_id"))
+    named = found.where("_id is not null").join(numbered.select("_id", F.col(owner).alias("owner")), "_id").select(key, "owner")
+    out = points.join(found.select(key, "n_owners"), key, "left").join(named, key, "left")
+    return out.na.fill(0, ["n_owners"])
 
 
 def merged(ranges: DataFrame, key: str, start: str, end: str) -> DataFrame:
@@ -46,14 +74,23 @@ def lost_and_gained(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def holding(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, width: float, group: list[str] | None = None) -> DataFrame:
-    """Points with each range [low, high], both ends included, that holds them, within ``group`` columns of both sides if given."""
+    """Points with each range [low, high], both ends included, that holds them, within ``group`` columns of both sides if given.
+
+    Cells are ``width`` wide on the first level; choose it near the ranges' common length.
+    """
     group = group or []
-    cells = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    held = points.withColumn("_cell", F.floor(F.col(point) / width)).join(cells, [*group, "_cell"])
-    return held.where((F.col(low) <= F.col(point)) & (F.col(point) <= F.col(high))).drop("_cell")
+    size = F.greatest((F.col(high) - F.col(low)) / F.lit(float(width)), F.lit(1.0))
+    ranges = ranges.where(F.col(low) <= F.col(high)).withColumn("_level", F.ceil(F.log2(size)).cast("int"))
+    levels = sorted(r[0] for r in ranges.select("_level").distinct().collect())  # as many as a length has binary digits
+    cell = lambda c: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_level"))))
+    cells = ranges.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
+    asked = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_cell", cell(point))
+    held = asked.join(cells, [*group, "_level", "_cell"])
+    return held.where((F.col(low) <= F.col(point)) & (F.col(point) <= F.col(high))).drop("_cell", "_level")
 
 
 def smallest_enclosing(points: DataFrame, point: str, group: str, key: str, ranges: DataFrame, low: str, high: str, name: str, width: float) -> DataFrame:
-    """For each point the shortest range of its group that holds it (ties: the smallest name)."""
-    held = holding(points.select(key, group, point), point, ranges.select(group, low, high, name), low, high, width, [group])
+    """For each point the shortest range of its group that holds it (ties: the smallest name). Of ranges with the same ends one takes part."""
+    one = ranges.groupBy(group, low, high).agg(F.min(name).alias(name))
+    held = holding(points.select(key, group, point), point, one, low, high, width, [group])
     return held.groupBy(key).agg(F.min(F.struct((F.col(high) - F.col(low)).alias("length"), F.col(name).alias("name"))).alias("best")).select(key, F.col("best.name").alias(name), "best.length")

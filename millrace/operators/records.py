@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import bags
+
 
 def last_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row per key, the last by order."""
@@ -86,9 +88,10 @@ def order_moves(stages: DataFrame, item: str, stage: str, position: str) -> Data
     """Items whose rank among the items that two successive stages share changes, with both ranks."""
     w = Window.partitionBy(item).orderBy(stage)
     rows = stages.withColumn("before", F.lag(position).over(w)).withColumn("from_stage", F.lag(stage).over(w)).where(F.col("from_stage") == F.col(stage) - 1)
-    now = F.row_number().over(Window.partitionBy(stage).orderBy(position, item))
-    was = F.row_number().over(Window.partitionBy(stage).orderBy("before", item))
-    return rows.withColumn("rank", now).withColumn("rank_before", was).where("rank <> rank_before").select(item, stage, "rank_before", "rank")
+    rows = rows.select(item, stage, F.struct(position, item).alias("_now"), F.struct("before", item).alias("_was"))
+    ranked = bags.numbered(rows, stage, "_now").withColumnRenamed("ordinal", "rank")  # in ranges where a stage has many items
+    ranked = bags.numbered(ranked, stage, "_was").withColumnRenamed("ordinal", "rank_before")
+    return ranked.where("rank <> rank_before").select(item, stage, "rank_before", "rank")
 
 
 def padding_between(rows: DataFrame, group: str, order: list[str], padding: Column) -> DataFrame:

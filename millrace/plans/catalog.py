@@ -462,7 +462,7 @@ from customer left join supplier on c_acctbal >= s_acctbal - 50 and c_acctbal <
 )
 def range_owner_unique(spark, d):
     ranges = T(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") - 50).alias("low"), (F.col("s_acctbal") + 50).alias("high"))
-    return intervals.owners(T(spark, d, "customer"), "c_acctbal", "c_custkey", ranges, "low", "high", "s_suppkey", 100.0).select("c_custkey", "n_owners", "owner")
+    return intervals.owners(T(spark, d, "customer"), "c_acctbal", "c_custkey", ranges, "low", "high", "s_suppkey").select("c_custkey", "n_owners", "owner")
 
 
 def _ranges(spark, d, parity):
@@ -642,17 +642,17 @@ def reconcile(spark, d):
 
     The totals that the parts are held against come from each inventory by itself.
     """
-    o = T(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_custkey") % 100).alias("size"), F.lit(False).alias("exact"))
+    o = T(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_custkey") % 100).alias("size"))
     x = T(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.count(F.lit(1)).alias("size"))
-    names = {"classified": "both", "missing": "missing", "untracked": "untracked"}
-    parts = inventories.reconcile(o, x, "key").replace(names, subset="part").select("part", "n", F.col("bytes").alias("weight"))
-    all_parts = spark.createDataFrame([(n,) for n in names.values()], "part string").join(parts, "part", "left").na.fill(0, ["n", "weight"])
-    own = o.agg(F.count(F.lit(1)).alias("n_o"), F.sum("size").alias("total"))
-    other = x.agg(F.count(F.lit(1)).alias("n_x"))
-    of = lambda part, c: F.sum(F.when(F.col("part") == part, F.col(c)).otherwise(0))
-    seen = all_parts.agg((2 * of("both", "n") + of("missing", "n") + of("untracked", "n")).alias("seen"), (of("both", "weight") + of("missing", "weight")).alias("held"))
-    row = own.join(other).join(seen)  # one row each
-    return all_parts.union(row.select(F.lit("unbalanced"), F.col("n_o") + F.col("n_x") - F.col("seen"), F.col("total") - F.col("held")))
+    left = o.select("key", F.col("size").alias("own"), F.lit(True).alias("listed"))
+    both = left.join(x.select("key", F.col("size").alias("found_size"), F.lit(True).alias("found")), "key", "full_outer")
+    listed, found = F.col("listed").isNotNull(), F.col("found").isNotNull()
+    parts = {"both": (listed & found, "own"), "missing": (listed & ~found, "own"), "untracked": (found & ~listed, "found_size")}
+    counts = [c for name, (held, size) in parts.items() for c in (F.count_if(held).alias(f"n_{name}"), F.coalesce(F.sum(F.when(held, F.col(size))), F.lit(0)).alias(f"w_{name}"))]
+    row = both.agg(*counts).join(o.agg(F.count(F.lit(1)).alias("n_o"), F.coalesce(F.sum("size"), F.lit(0)).alias("total"))).join(x.agg(F.count(F.lit(1)).alias("n_x")))  # one row each
+    seen = 2 * F.col("n_both") + F.col("n_missing") + F.col("n_untracked")
+    rest = F.struct(F.lit("unbalanced").alias("part"), (F.col("n_o") + F.col("n_x") - seen).alias("n"), (F.col("total") - F.col("w_both") - F.col("w_missing")).alias("weight"))
+    return row.select(F.inline(F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"n_{p}").alias("n"), F.col(f"w_{p}").alias("weight")) for p in parts], rest)))
 
 
 @query(

@@ -222,6 +222,27 @@ def test_interval_sweep_and_holding_equal_brute_force(spark):
     assert Counter(rows(held, "i", "n")) == Counter((i, n) for i, g, x in points for n, h, lo, hi in ranges if g == h and lo <= x <= hi)
 
 
+def test_owners_by_a_sweep(spark):
+    r = random.Random(13)
+    points = [(k, r.choice([None, r.randrange(40), r.randrange(40) / 2])) for k in range(200)]
+    ranges = [(f"o{n}", lo, lo + r.randrange(0, 15)) for n, lo in enumerate(r.randrange(45) for _ in range(12))]
+    points = [(k, None if x is None else float(x)) for k, x in points]
+    got = intervals.owners(spark.createDataFrame(points, "k long, x double"), "x", "k", spark.createDataFrame([(n, float(a), float(b)) for n, a, b in ranges], "o string, lo double, hi double"), "lo", "hi", "o")
+    want = {}
+    for k, x in points:
+        held = [n for n, a, b in ranges if x is not None and a <= x < b]
+        want[k] = (x, len(held), held[0] if len(held) == 1 else None)
+    assert {x.k: (x.x, x.n_owners, x.owner) for x in got.collect()} == want
+    assert {w[1] for w in want.values()} >= {0, 1, 2}
+
+
+def test_a_long_interval_is_in_few_cells(spark):
+    points = spark.createDataFrame([(k, 10.0 ** k) for k in range(9)], "k long, x double")
+    ranges = spark.createDataFrame([(1, 0.0, 1e15), (2, 5.0, 50.0), (3, 7e3, 7e3), (4, 1e3, 1e3), (5, 9.0, 1.0)], "n long, lo double, hi double")
+    held = intervals.holding(points, "x", ranges, "lo", "hi", 1.0)
+    assert rows(held, "k", "n") == sorted([(k, 1) for k in range(9)] + [(1, 2), (3, 4)])
+
+
 def test_rules_are_tried_in_order(spark):
     table = [("both", ["a", "b"], []), ("only a", ["a"], ["b"]), ("no c", [], ["c"])]
     df = spark.createDataFrame([(["a", "b"],), (["a"],), (["b"],), (["c", "b"],), ([],)], "h array<string>")

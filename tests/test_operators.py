@@ -93,7 +93,7 @@ def test_ranges_lost_and_gained(spark):
 def test_owner_is_null_unless_one(spark):
     points = spark.createDataFrame([(1, 5.0), (2, 15.0), (3, 99.0)], "k long, x double")
     ranges = spark.createDataFrame([("a", 0.0, 10.0), ("b", 10.0, 20.0), ("c", 14.0, 16.0)], "o string, lo double, hi double")
-    assert rows(intervals.owners(points, "x", "k", ranges, "lo", "hi", "o", 10.0).select("k", "owner", "n_owners")) == [(1, "a", 1), (2, None, 2), (3, None, 0)]
+    assert rows(intervals.owners(points, "x", "k", ranges, "lo", "hi", "o").select("k", "owner", "n_owners")) == [(1, "a", 1), (2, None, 2), (3, None, 0)]
 
 
 def test_ordered(spark):
