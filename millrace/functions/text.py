@@ -132,6 +132,15 @@ def contract(name: Column, rules: dict[str, str]) -> Column:
     return F.coalesce(*[F.when(name.rlike(pattern), F.lit(text)) for pattern, text in rules.items()])
 
 
+#: Library functions that return nothing whatever their callers do with it, by what their names begin with and hold.
+VOID_CONTRACTS = {r"^_ZNSt(?=.*4listI)(?=.*8_M_eraseESt14_List_iterator)": "std::list::_M_erase(iterator) returns void"}
+
+
+def void_contract(name: Column) -> Column:
+    """What is known of a library function that returns nothing; null for others."""
+    return contract(name, VOID_CONTRACTS)
+
+
 def first_under(frames: Column, prefix: str, field: str = "path") -> Column:
     """The first frame of an array whose path begins with a prefix; null if none."""
     return F.get(F.filter(frames, lambda f: f[field].startswith(prefix)), F.lit(0))

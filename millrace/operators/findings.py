@@ -163,3 +163,37 @@ def cause_class(causes: Column) -> Column:
     has = lambda c: F.array_contains(causes, c)
     rest = F.size(F.array_except(causes, F.array(F.lit("stack-layout"), F.lit("register-allocation"))))
     return F.when((rest > 0) | (F.size(causes) == 0), "other-differences").when(has("stack-layout"), "frame-and-register").otherwise("register-only")
+
+
+def frame_census(candidates: DataFrame, causes: DataFrame) -> DataFrame:
+    """(address, symbol, category, size, calls, score, n_units, first_unit): inexact functions of the target's size and number of calls, by what differs.
+
+    ``candidates`` are (unit, symbol, address, known_address, size, target_size, calls, target_calls, score, exact):
+    only those at their own address, of known and equal size and equally many calls count. ``causes`` is (address, cause).
+    """
+    fits = (F.col("size") == F.col("target_size")) & (F.col("calls") == F.col("target_calls")) & (F.col("known_address") == F.col("address"))
+    one = candidates.where(~F.col("exact") & (F.col("score") < 100) & fits).groupBy("address").agg(
+        F.min_by("symbol", "unit").alias("symbol"), F.min("size").alias("size"), F.min("calls").alias("calls"), F.min("score").alias("score"), F.count_distinct("unit").alias("n_units"), F.min("unit").alias("first_unit")
+    )
+    sets = causes.groupBy("address").agg(F.collect_set("cause").alias("causes"))  # at most one entry a cause
+    rows = one.join(sets, "address", "left")
+    return rows.select("address", "symbol", cause_class(F.coalesce("causes", F.array().cast("array<string>"))).alias("category"), "size", "calls", "score", "n_units", "first_unit")
+
+
+def register_groups(census: DataFrame) -> DataFrame:
+    """(unit, n, bytes): functions of ``frame_census`` whose registers alone differ, by their first unit."""
+    return census.where("category = 'register-only'").groupBy(F.col("first_unit").alias("unit")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+def flip_summary(flips: DataFrame, functions: DataFrame) -> DataFrame:
+    """(functions, bytes, single_flip_functions, flips, unit_occurrences) over functions (symbol, unit, size) with flips (symbol, at): a function's size counts once, its units each."""
+    n = flips.select("symbol", "at").distinct().groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    one = functions.groupBy("symbol").agg(F.min("size").alias("size"), F.count_distinct("unit").alias("units")).join(n, "symbol")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return one.agg(F.count(F.lit(1)).alias("functions"), zero("size").alias("bytes"), F.count_if(F.col("n") == 1).alias("single_flip_functions"), zero("n").alias("flips"), zero("units").alias("unit_occurrences"))
+
+
+def callee_rank(functions: DataFrame, callees: Column) -> DataFrame:
+    """(callee, n, bytes, first): functions (symbol, size) behind each callee of an array, with the first of their names."""
+    each = functions.select("symbol", "size", F.explode(F.array_distinct(callees)).alias("callee"))
+    return each.groupBy("callee").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("symbol").alias("first"))

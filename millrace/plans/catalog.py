@@ -374,10 +374,14 @@ def islands(spark, d):
 
 @query(
     "continuity_check",
-    """select * from (select conv_id, turn, coalesce(lag(turn) over (partition by conv_id order by turn) + 1, 0) as expected from conversations) where turn <> expected""",
+    """with c as (select conv_id, turn + case when turn >= conv_id % 5 then conv_id % 3 else 0 end as turn from conversations)
+select * from (select conv_id, turn, coalesce(lag(turn) over (partition by conv_id order by turn) + 1, 0) as expected from c) where turn <> expected""",
 )
 def continuity_check(spark, d):
-    return ordered.continuity(T(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "expected")
+    """Conversations whose numbering leaves out up to two turns from some place on: where it isn't continuous."""
+    k = F.col("conv_id")
+    turns = T(spark, d, "conversations").select("conv_id", (F.col("turn") + F.when(F.col("turn") >= k % 5, k % 3).otherwise(0)).alias("turn"))
+    return ordered.continuity(turns, "conv_id", "turn").select("conv_id", "turn", "expected")
 
 
 @query(

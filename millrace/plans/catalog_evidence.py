@@ -333,12 +333,19 @@ def learned_claims(spark, d):
     return graphs.learned(E.unique_value(claims, ["node"], "value"), claims.limit(0))
 
 
-@query("contracts", "select s_suppkey, case when s_name like '%1' then 'one' when s_name like '%2%' then 'two' end as contract, 'src/' || s_suppkey || '.h' as editable from supplier")
+@query(
+    "contracts",
+    """with n as (select p_partkey, (['_ZNSt', '_ZNKSt', '_ZN3'])[p_partkey % 3 + 1] || '7__cxx11' || (['4listI', '6vectorI'])[p_size % 2 + 1] || 'iE' || (['8_M_eraseESt14_List_iteratorIiE', '5eraseE'])[p_partkey % 2 + 1] as name from part)
+select p_partkey, case when p_partkey % 3 = 0 and name like '%4listI%' and name like '%8_M_eraseESt14_List_iterator%' then 'std::list::_M_erase(iterator) returns void' end as contract, case when name like '%vector%' then 'src/' || p_partkey || '.h' else 'src/last.h' end as editable from n""",
+)
 def contracts(spark, d):
-    """What a name's pattern promises, and the first of a chain's frames in our own sources."""
-    path = F.concat(F.lit("src/"), F.col("s_suppkey").cast("string"), F.lit(".h"))
-    frames = F.array(F.struct(F.lit("/usr/include/a.h").alias("path")), F.struct(path.alias("path")), F.struct(F.lit("src/last.h").alias("path")))
-    return T(spark, d, "supplier").select("s_suppkey", X.contract(F.col("s_name"), {"1$": "one", "2": "two"}).alias("contract"), X.first_under(frames, "src/")["path"].alias("editable"))
+    """What a library name promises, and the first of a chain's frames in our own sources."""
+    k = F.col("p_partkey")
+    pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (c % len(values) + 1).cast("int"))
+    name = F.concat(pick(["_ZNSt", "_ZNKSt", "_ZN3"], k), F.lit("7__cxx11"), pick(["4listI", "6vectorI"], F.col("p_size")), F.lit("iE"), pick(["8_M_eraseESt14_List_iteratorIiE", "5eraseE"], k))
+    folder = F.when(name.contains("vector"), "src/").otherwise("/usr/include/")
+    frames = F.array(F.struct(F.lit("/usr/include/a.h").alias("path")), F.struct(F.concat(folder, k.cast("string"), F.lit(".h")).alias("path")), F.struct(F.lit("src/last.h").alias("path")))
+    return T(spark, d, "part").select("p_partkey", X.void_contract(name).alias("contract"), X.first_under(frames, "src/")["path"].alias("editable"))
 
 
 @query(

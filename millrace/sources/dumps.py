@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,12 @@ def memory_words(lines: DataFrame, value: str = "value") -> DataFrame:
     return rows.select((F.col("base") + 4 * F.col("i")).alias("address"), F.conv("w", 16, 10).cast("long").alias("word"))
 
 
+def dump_files(spark: SparkSession, path: str) -> DataFrame:
+    """(dump, sha256, text) of the files below a folder: each named by its path, with the hash of its bytes and its text."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("dump"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
+
+
 def parameters(text: DataFrame, overrides: DataFrame, value: str = "value") -> DataFrame:
     """(name, value) of ``name = number`` entries; an override (name, value, ord) replaces one, the last override winning."""
     entries = text.select(F.explode(F.regexp_extract_all(value, F.lit(r"([a-z][a-z0-9-]*\s*=\s*[0-9]+)"), 1)).alias("e"))

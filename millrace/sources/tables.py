@@ -66,10 +66,11 @@ def rule_bases(files: DataFrame) -> DataFrame:
     return files.select("base", "content").mapInPandas(run, RULES)
 
 
-def rule_files(spark: SparkSession, path: str) -> DataFrame:
-    """(base, content): the catalog of rule bases below a folder, by file name."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.toml").option("recursiveFileLookup", "true").load(path)
-    return found.select(F.regexp_extract("path", r"([^/]+)\.toml$", 1).alias("base"), "content")
+def rule_files(spark: SparkSession, path: str, glob: str = "*.toml") -> DataFrame:
+    """(base, content): the catalog of rule bases below a folder, by file name, or by the folder ``base=`` that a job wrote one to."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    folder = F.nullif(F.regexp_extract("path", r"/base=([^/]+)/[^/]+$", 1), F.lit(""))
+    return found.select(F.coalesce(folder, F.regexp_extract("path", r"([^/]+)\.toml$", 1)).alias("base"), "content")
 
 
 def rules(spark: SparkSession, text: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from millrace.plans import catalog, catalog_code, catalog_copies, catalog_evidence, catalog_findings, catalog_lookups, catalog_records, catalog_search, catalog_sources  # noqa: F401
+from millrace.plans import catalog, catalog_code, catalog_copies, catalog_evidence, catalog_findings, catalog_lookups, catalog_records, catalog_reports, catalog_search, catalog_sources  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
