@@ -87,6 +87,32 @@ from d left join hit using (doc_id) left join items using (doc_id)
 """
 
 
+#: crc32 as SQL: a table of 256 steps, then one step a byte.
+OP11 = """
+with recursive steps as (
+  select list(list_reduce(cast(range(8) as bigint[]), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i) order by i) as step from (select unnest(range(256)) as i)
+), r as (
+  select run, count(*) as n, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) as h
+  from (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents) group by doc_id, run
+), c as (
+  select run, n, xor(list_reduce(list_transform(range(1, len(h) // 2 + 1), lambda k: cast('0x' || substr(h, 2 * k - 1, 2) as bigint)), lambda a, b: xor(step[(xor(a, b) & 255) + 1], a >> 8), 4294967295), 4294967295) as crc from r, steps
+), w as (
+  select case when crc % 31 = 0 then substr(run, 1, cast(crc % len(run) as int)) || substr(run, cast(crc % len(run) as int) + 2) else run end as word, cast(sum(n) as bigint) as n from c group by 1
+), words as (select word, n from w where len(word) >= 7 and n >= 2),
+less as (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, unnest(range(1, len(word) + 1)) as i from words)),
+near as (
+  select a.word, b.word as other from less a join less b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select l.word, x.word from less l join words x on x.word = l.rest union select x.word, l.word from less l join words x on x.word = l.rest
+), best as (
+  select near.word, count(*) as n_near, min({'n': -o.n, 'w': other}) as b from near join words o on o.word = other group by 1
+), forms as (
+  select words.word, words.n, coalesce(n_near, 0) as n_near, case when -b.n >= 10 * words.n then b.w end as form, case when -b.n >= 10 * words.n then -b.n end as form_n from words left join best using (word)
+), way(word, root, next) as (
+  select word, word, form from forms union all select way.word, forms.word, forms.form from way join forms on forms.word = way.next
+)
+select f.word, form, root, f.n, n_near, form_n from forms f join way on way.word = f.word and way.next is null
+"""
+
 OP12 = """
 with d as (
   select doc_id, source is null as none, coalesce(source, '') as name, substr(md5('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, 16) as key,
@@ -139,4 +165,4 @@ select part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op6_jaccard_join": OP6, "op7_exact_dedup": OP7, "op9_substring_dedup": OP9, "op10_decontaminate": OP10, "op12_source_mix": OP12, "op13_filter_audit": OP13}
+    return {"op1_line_dedup": OP1, "op6_jaccard_join": OP6, "op7_exact_dedup": OP7, "op9_substring_dedup": OP9, "op10_decontaminate": OP10, "op11_spelling_variants": OP11, "op12_source_mix": OP12, "op13_filter_audit": OP13}
