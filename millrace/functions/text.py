@@ -146,9 +146,16 @@ def first_under(frames: Column, prefix: str, field: str = "path") -> Column:
     return F.get(F.filter(frames, lambda f: f[field].startswith(prefix)), F.lit(0))
 
 
+#: The formats of a dump's lines. A variable ends in its version; a replacement names one and, behind the last arrow's first
+#: equals sign, its value; a partition names a variable and the versions that it holds.
+VERSION = r"_(\d+)(?:\([DAB]\))?"
+REPLACEMENT = r"^\S+" + VERSION + r" replace with --> .*? = (.*);$"
+PARTITION = r"Partition \d+ \(([^()]+) - ([\d ]+)\)"
+
+
 def without_version(name: Column) -> Column:
     """A variable without its version: ``x_12`` and ``x_3(D)`` are ``x``."""
-    return F.regexp_replace(name, r"_\d+(?:\([DAB]\))?$", "")
+    return F.regexp_replace(name, VERSION + "$", "")
 
 
 #: Comparison operators on swapped operands.
@@ -162,17 +169,20 @@ def same_comparison(ours: Column, operator: Column, theirs: Column, other: Colum
     return ((plain == theirs) & (operator == other)) | ((plain == F.reverse(theirs)) & (mirror == other))
 
 
+def _told(text: Column, pattern: str) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(pattern))
+
+
 def replacements(text: Column) -> Column:
-    """(version, value) of lines ``x_12 replace with --> ... = value;``."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\S+_\d+(?:\([DAB]\))? replace with --> .* = .*;$"))
-    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"_(\d+)(?:\([DAB]\))? replace with", 1).cast("int").alias("version"), F.regexp_extract(x, r"--> .*? = (.*);$", 1).alias("value")))
+    """(version, value) of the lines of replacements."""
+    part = lambda x, k: F.regexp_extract(x, REPLACEMENT, k)
+    return F.transform(_told(text, REPLACEMENT), lambda x: F.struct(part(x, 1).cast("int").alias("version"), part(x, 2).alias("value")))
 
 
 def partition_names(text: Column) -> Column:
-    """(version, name) of lines ``Partition 3 (x - 1 2)``: each listed version has the name."""
-    lines = F.regexp_extract_all(text, F.lit(r"Partition \d+ \(([^()]+ - [\d ]+)\)"), 1)
-    each = F.transform(lines, lambda x: F.transform(F.filter(F.split(F.regexp_extract(x, r"- ([\d ]+)$", 1), r"\s+"), lambda v: v != ""), lambda v: F.struct(v.cast("int").alias("version"), F.regexp_extract(x, r"^(.*) - ", 1).alias("name"))))
-    return F.flatten(each)
+    """(version, name) of the lines of partitions: each listed version has the name."""
+    versions = lambda x: F.array_remove(F.split(F.regexp_extract(x, PARTITION, 2), " +"), "")
+    return F.flatten(F.transform(_told(text, PARTITION), lambda x: F.transform(versions(x), lambda v: F.struct(v.cast("int").alias("version"), F.regexp_extract(x, PARTITION, 1).alias("name")))))
 
 
 def reference_key(literal: Column, base: Column, place: Column) -> Column:

@@ -307,31 +307,37 @@ def input_hashes(spark, d):
 @query(
     "text_kernels",
     r"""with o as (select o_orderkey as k, o_custkey as c from orders)
-select k, 'a' || k % 7 || '.cpp' as path, cast(case when k % 3 = 0 then k % 100 else 0 end as int) as line, cast(least(abs(k % 100 - 10), abs(k % 100 - 60)) as int) as distance,
-  cast('0.1' as double) + 0 * k as short, repeat('int x;', k % 3) || 'src' as padded, (['b', 'c', 'a'])[k % 3 + 1] as next, case when k % 8 % 4 = 0 and k % 8 < 8 then (['eax', 'ecx'])[k % 8 // 4 + 1] end as register,
-  case when k % 2 = 0 then '_Z1' || k else '.rodata.str1.1' end as identity, case when k % 2 = 1 then 'utf8' end as encoding, k + c + case when k % 2 = 0 then 6 else 0 end as place, 'x' as variable, k % 3 = 0 as mirrored from o""",
+select k, case when k % 2 = 0 then 'a' || k % 7 || '.cpp' else '/q/a' || k % 7 || '.cpp' end as path, cast(case when k % 3 = 0 then k % 100 else 0 end as int) as line, cast(case when k % 5 = 0 then 0 else least(abs(k % 100 - c % 50), abs(k % 100 - c % 70)) end as int) as distance,
+  (k % 1000) / 10.0::double as short, repeat('int x;', k % 3) || 'src' || c % 4 as padded, (['b', 'c', 'a', null])[k % 4 + 1] as next, case when k % 13 = 0 then 'eax' when k % 13 = 4 then 'ecx' end as register,
+  (['_Z1' || k, '.rodata.str1.1', '.rodata.str4.4', '.data'])[k % 4 + 1] as identity, (([null, 'utf8', 'utf32le', null])[k % 4 + 1]) as encoding, k + c + case when k % 2 = 0 then 6 else 0 end as place, case when k % 5 = 0 then 'x_y' when k % 5 = 1 then 'x_' || c else 'x' end as variable,
+  (k % 4 < 2 and (['<', '>', '<=', '>='])[c % 4 + 1] = '<') or (k % 4 = 2 and (['<', '>', '<=', '>='])[c % 4 + 1] = '>') as mirrored from o""",
 )
 def text_kernels(spark, d):
-    """Scalar functions over text that orders' keys give."""
+    """Scalar functions over text that orders' keys give, in all of their cases."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     n = lambda m: (k % m).cast("string")
-    line = F.when(k % 3 == 0, F.concat(F.lit("line "), n(100), F.lit(": moved"))).otherwise("moved")
-    section = F.when(k % 2 == 0, F.concat(F.lit(".text._Z1"), k.cast("string"))).otherwise(".rodata.str1.1")
+    pick = lambda values, of: F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]), (of % len(values) + 1).cast("int"))
+    line = pick([F.concat(F.lit("line "), n(100), F.lit(": moved")), "see line 5", "moved"], k)
+    section = pick([F.concat(F.lit(".text._Z1"), k.cast("string")), ".rodata.str1.1", ".rodata.str4.4", ".data"], k)
+    root = F.when(k % 2 == 0, "/r//./a").otherwise("/q/./a")
+    variable = pick(["x_y", F.concat(F.lit("x_"), c.cast("string"), F.lit("_3")), F.concat(F.lit("x_"), n(9)), F.concat(F.lit("x_"), n(9), F.lit("(D)")), "x"], k)
     versioned = F.array(F.concat(F.lit("x_"), n(9)), F.lit("y_2(D)"))
+    sides = pick([F.array(F.lit("x"), F.lit("y")), F.array(F.lit("x"), F.lit("y")), F.array(F.lit("y"), F.lit("x")), F.array(F.lit("y"), F.lit("z"))], k)
+    lines = F.when(k % 5 == 0, F.array().cast("array<int>")).otherwise(F.array((c % 50).cast("int"), (c % 70).cast("int")))
     return T(spark, d, "orders").select(
         k.alias("k"),
-        X.relative(F.concat(F.lit("/r//./a"), n(7), F.lit(".cpp")), "/r").alias("path"),
+        X.relative(F.concat(root, n(7), F.lit(".cpp")), "/r").alias("path"),
         X.line_of(line).alias("line"),
-        X.distance((k % 100).cast("int"), F.array(F.lit(10), F.lit(60))).alias("distance"),
-        X.shortest(F.lit(0.1)).alias("short"),
-        X.padded(F.lit("src"), "int x;", k % 3).alias("padded"),
-        X.next_in_ring(F.element_at(F.array(*map(F.lit, "abc")), (k % 3 + 1).cast("int")), list("abc")).alias("next"),
-        X.table_entry(k % 8, 4, ["eax", "ecx"]).alias("register"),
+        X.distance((k % 100).cast("int"), lines).alias("distance"),
+        X.shortest((k % 1000) / 10).alias("short"),
+        X.padded(F.concat(F.lit("src"), (c % 4).cast("string")), "int x;", k % 3).alias("padded"),
+        X.next_in_ring(pick(["a", "b", "c", "z"], k), list("abc")).alias("next"),
+        X.table_entry(k % 13, 4, ["eax", "ecx"]).alias("register"),
         X.section_identity(section).alias("identity"),
         X.string_encoding(section).alias("encoding"),
         X.reference_place(k, c, k % 2 == 0, F.lit(2)).alias("place"),
-        X.without_version(F.get(versioned, F.lit(0))).alias("variable"),
-        X.same_comparison(versioned, F.lit("<"), F.array(F.lit("y"), F.lit("x")), F.when(k % 3 == 0, ">").otherwise("<")).alias("mirrored"),
+        X.without_version(variable).alias("variable"),
+        X.same_comparison(versioned, F.lit("<"), sides, pick(["<", ">", "<=", ">="], c)).alias("mirrored"),
     )
 
 
