@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.operators import align, alignment, bags, graphs, intervals, inventories, ordered, records, snapshots, votes
 from millrace.plans import bindings as B
+from millrace.plans.alignment_sql import BLOCKS
 
 T = B.table
 QUERIES: dict = {}
@@ -577,7 +578,12 @@ def agree_level(spark, d):
     return align.agreeing_pairs(T(spark, d, "documents"), [("exact", F.sha2(text, 256)), ("prefix 60", F.substring(text, 1, 60)), ("prefix 20", F.substring(text, 1, 20))])
 
 
-@query("align_documents")
+@query(
+    "align_documents",
+    f"""with recursive d as (select doc_id as key, string_split(text, ' ') as a from documents), seqs as (select x.key, x.a, y.a as b from d x join d y on y.key = x.key + 1), {BLOCKS},
+s as (select key, sum(n) as eq, sum(case when i2 > i1 and j2 > j1 then greatest(i2 - i1, j2 - j1) else 0 end) as rep, sum(case when j2 = j1 then i2 - i1 else 0 end) as del, sum(case when i2 = i1 then j2 - j1 else 0 end) as ins, min(case when i2 > i1 or j2 > j1 then i1 end) as first, max(i2) + max(j2) as total from gaps group by key)
+select key as doc_id, case when total = 0 then 100.0 else round_even(200.0 * eq / total, 2) end as score, cast(eq as int) as n_equal, cast(rep as int) as n_replaced, cast(del as int) as n_deleted, cast(ins as int) as n_inserted, cast(coalesce(first, -1) as int) as first_difference from s""",
+)
 def align_documents(spark, d):
     """Each document against its successor by id: score and opcode counts of the token alignment."""
     docs = T(spark, d, "documents").select("doc_id", "text")

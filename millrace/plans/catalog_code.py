@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import instructions as I
 from millrace.plans import bindings as B
+from millrace.plans.alignment_sql import BLOCKS
 from millrace.plans.catalog import query
 
 
@@ -27,13 +28,51 @@ def instructions(spark, d):
     return o.groupBy(c).agg(side("F").alias("ours"), side("O").alias("theirs"))
 
 
-@query("code_differences")
+_CLASS = "case when {r} = 'rsp' then 'rsp' when {r} = 'xmm0' then 'xmm' else 'gpr' end"
+_VIEWS = f"""o as (select o_custkey, o_orderkey as k, o_orderstatus as s, o_totalprice, (['mov', 'add', 'cmp', 'jl', 'jge', 'call', 'nop'])[cast(left(o_orderpriority, 1) as int) + o_orderkey % 3] as m, (['rax', 'rbx', 'rsp', 'xmm0'])[o_orderkey % 4 + 1] as reg, (['rax', 'rbx', 'rsp'])[o_orderkey % 3 + 1] as base from orders),
+v as (select *, m || ' reg:' || reg || ' ' || case when k % 2 = 0 then 'mem:' || base || ',1x4,' || k % 5 else 'imm:' || k % 3 end as exact,
+  m || ' reg:' || {_CLASS.format(r="reg")} || ' ' || case when k % 2 = 0 then 'mem:' || {_CLASS.format(r="base")} || ',1x4,' || k % 5 else 'imm:' || k % 3 end as registers,
+  m || ' reg:' || {_CLASS.format(r="reg")} || ' ' || case when k % 2 = 0 then case when base = 'rsp' then 'frame' else 'mem:' || {_CLASS.format(r="base")} || ',1x4,' || k % 5 end else 'imm:' || k % 3 end as frame, m as opcodes from o)"""
+
+
+_SIDES = f"""{_VIEWS},
+c as (select distinct o_custkey from o),
+side as (select o_custkey as key, s, list({{'k': k, 'm': m, 'reg': reg, 'base': base, 'exact': exact, 'view': registers}} order by k) as l from v where s in ('F', 'O') and KEEP group by 1, 2),
+pairs as (select c.o_custkey as key, coalesce(a.l, []) as la, coalesce(b.l, []) as lb from c left join (select * from side where s = 'F') a on a.key = c.o_custkey left join (select * from side where s = 'O') b on b.key = c.o_custkey)"""
+
+
+@query(
+    "code_differences",
+    f"""with recursive {_SIDES.replace("KEEP", "m <> 'nop'")}, seqs as (select key, list_transform(la, lambda x: x.view) as a, list_transform(lb, lambda x: x.view) as b from pairs), {BLOCKS},
+places as (select key, true as same, unnest(range(i, i + n)) as p, unnest(range(j, j + n)) as q from blocks union all select key, false, unnest(range(i1, i2)), unnest(range(j1, j2)) from gaps where i2 - i1 = j2 - j1),
+at as (select key, same, la[p + 1] as x, lb[q + 1] as y from places join pairs using (key)),
+place as (select key, 1 as rows, case when same then 'register-allocation' when (x.m = 'jl' and y.m = 'jge') or (x.m = 'jge' and y.m = 'jl') then 'block-order' when x.m <> y.m then 'instruction-selection'
+  when x.k % 2 = 0 and y.k % 2 = 0 and x.base = y.base and x.k % 5 <> y.k % 5 then case when x.base = 'rsp' then 'stack-layout' else 'struct-layout' end when x.k % 2 = 1 and y.k % 2 = 1 and x.k % 3 <> y.k % 3 then 'immediate-or-reloc' else 'instruction-selection' end as cause from at where x.exact <> y.exact),
+two as (select key, la[i1 + 1:i2] as x, lb[j1 + 1:j2] as y from gaps join pairs using (key) where i2 - i1 <> j2 - j1),
+loose as (select key, x as run, y as other from two where len(x) > 0 union all select key, y, x from two where len(y) > 0),
+facts as (select key, len(run) as rows, len(list_filter(run, lambda z: z.m = 'call')) > 0 as calls, len(list_filter(other, lambda z: z.m = 'call')) > 0 as others, len(list_filter(run, lambda z: z.m <> 'mov' and not (z.m = 'add' and z.reg = 'rsp'))) = 0 as moves from loose),
+run as (select key, rows, case when calls and not others then 'inlining' when others and not calls and rows >= 3 then 'inlining' when moves then 'register-allocation' when rows < 3 then 'instruction-selection' else 'unknown' end as cause from facts)
+select key as o_custkey, cause, count(*) as n, cast(sum(rows) as bigint) as n_rows from (select key, cause, rows from place union all select key, cause, rows from run) group by 1, 2""".replace("at as (", "met as (").replace("from at where", "from met where"),
+)
 def code_differences(spark, d):
     """Causes and rows of the differences of every customer's two arrays."""
     return I.differences(instructions(spark, d), "o_custkey").groupBy("o_custkey", "cause").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("n_rows"))
 
 
-@query("code_agreement")
+_LEVELS = f"""{_SIDES.replace("KEEP", "true")},
+t as (select o_custkey, s, string_agg(exact, '; ' order by k) as exact, string_agg(registers, '; ' order by k) as registers, string_agg(frame, '; ' order by k) as frame, string_agg(opcodes, '; ' order by k) as opcodes from v group by all),
+lv as (select c.o_custkey as key, case when a.exact is not distinct from b.exact then 'exact' when a.registers is not distinct from b.registers then 'registers' when a.frame is not distinct from b.frame then 'frame' when a.opcodes is not distinct from b.opcodes then 'opcodes' else 'sequence' end as level
+  from c left join (select * from t where s = 'F') a using (o_custkey) left join (select * from t where s = 'O') b using (o_custkey)),
+seqs as (select key, list_transform(la, lambda x: x.m) as a, list_transform(lb, lambda x: x.m) as b from pairs join lv using (key) where level = 'sequence'), {BLOCKS},
+st as (select key, count(*) filter (where i2 > i1 or j2 > j1) as stretches, sum(greatest(i2 - i1, j2 - j1)) as instructions, min(case when i2 > i1 or j2 > j1 then {{'i1': i1, 'i2': i2, 'j1': j1, 'j2': j2}} end) as r from gaps group by 1),
+nm as (select key, flatten(list_transform(la, lambda x: if(x.k % 2 = 0, [x.reg, x.base], [x.reg]))) as x, flatten(list_transform(lb, lambda x: if(x.k % 2 = 0, [x.reg, x.base], [x.reg]))) as y from pairs join lv using (key) where level = 'registers'),
+rn as (select key, len(list_distinct(list_zip(x, y))) as n, len(list_distinct(x)) as nx, len(list_distinct(y)) as ny from nm)"""
+
+
+@query(
+    "code_agreement",
+    f"""with recursive {_LEVELS} select level, count(*) as n, count(*) filter (where rn.n = nx and rn.n = ny) as n_renamed, cast(coalesce(sum(stretches), 0) as bigint) as n_stretches, cast(coalesce(sum(instructions), 0) as bigint) as n_instructions from lv left join st using (key) left join rn using (key) group by 1""",
+)
 def code_agreement(spark, d):
     """The strictest level at which each customer's two arrays agree, with consistent renamings and differing stretches."""
     c = I.classified(instructions(spark, d), "o_custkey")
@@ -55,13 +94,6 @@ def code_predicates(spark, d):
     return one.select(F.col("i.at").alias("k"), I.is_padding(i).alias("padding"), I.moves_data(i).alias("moves"), I.view(first, "registers").alias("shape"))
 
 
-_CLASS = "case when {r} = 'rsp' then 'rsp' when {r} = 'xmm0' then 'xmm' else 'gpr' end"
-_VIEWS = f"""o as (select o_custkey, o_orderkey as k, o_orderstatus as s, o_totalprice, (['mov', 'add', 'cmp', 'jl', 'jge', 'call', 'nop'])[cast(left(o_orderpriority, 1) as int) + o_orderkey % 3] as m, (['rax', 'rbx', 'rsp', 'xmm0'])[o_orderkey % 4 + 1] as reg, (['rax', 'rbx', 'rsp'])[o_orderkey % 3 + 1] as base from orders),
-v as (select *, m || ' reg:' || reg || ' ' || case when k % 2 = 0 then 'mem:' || base || ',1x4,' || k % 5 else 'imm:' || k % 3 end as exact,
-  m || ' reg:' || {_CLASS.format(r="reg")} || ' ' || case when k % 2 = 0 then 'mem:' || {_CLASS.format(r="base")} || ',1x4,' || k % 5 else 'imm:' || k % 3 end as registers,
-  m || ' reg:' || {_CLASS.format(r="reg")} || ' ' || case when k % 2 = 0 then case when base = 'rsp' then 'frame' else 'mem:' || {_CLASS.format(r="base")} || ',1x4,' || k % 5 end else 'imm:' || k % 3 end as frame, m as opcodes from o)"""
-
-
 @query("code_views", f"with {_VIEWS} select k, exact, registers, frame, opcodes, case when m not in ('cmp', 'call') then reg end as written from v where s in ('F', 'O')")
 def code_views(spark, d):
     """Every instruction at each level of looseness, and the register that it writes."""
@@ -99,7 +131,14 @@ def level_census(spark, d):
     return levels.select("level", "n", F.col("bytes").cast("double").alias("bytes"))
 
 
-@query("shared_signatures")
+_PART = "case when r.{i}1 = r.{i}2 then '-' else array_to_string({c}[r.{i}1 + 1:r.{i}2], ' ') end"
+
+
+@query(
+    "shared_signatures",
+    f"""with recursive {_LEVELS}, sg as (select key, {_PART.format(i="i", c="a")} || ' / ' || {_PART.format(i="j", c="b")} as signature from st join seqs using (key) where stretches = 1)
+select signature, count(*) as n, min(key) as first, max(key) as last from sg group by 1 having count(*) > 1""",
+)
 def shared_signatures(spark, d):
     """Differing stretches that several customers share, where a customer has one."""
     return I.level_census(I.classified(instructions(spark, d), "o_custkey"), "o_custkey", F.lit(0))[1]
