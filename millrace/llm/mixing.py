@@ -85,7 +85,7 @@ def mix(docs: DataFrame, source: str = "source", weights: Sequence[int] = (5, 2,
     ranges = ranges.join(aims, SOURCE).withColumn("open", F.col("rest") - F.col("open") + F.col("size"))  # words that are still to be taken at its beginning
     ranges = ranges.withColumn("inside", F.col("open") >= F.col("size")).withColumn("cut", (F.col("open") > 0) & ~F.col("inside"))
     ranges = C.materialise(ranges.drop("size", "rest"), "cuts")
-    placed = rows.join(C.bounded_broadcast(ranges), [*SOURCE, "range"])
+    placed = rows.join(C.bounded_broadcast(ranges, 200_000), [*SOURCE, "range"])
     whole = placed.where("not cut").withColumn("extra", F.when(F.col("inside"), F.col("size")).otherwise(0))
     before = F.coalesce(F.sum("size").over(Window.partitionBy(*SOURCE).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = placed.where("cut").withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("open") - before)))

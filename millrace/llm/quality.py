@@ -6,7 +6,7 @@ weights of their own. Forward-backward gives each line's probability of being go
 document's quality is their mean weighted by length, turned into a score by a logistic curve.
 
 Learning takes a bounded sample: about ``SAMPLE`` labelled documents of each label, by a hash of
-the id. Only documents are labelled, so lines start with their document's label; then, within
+the id (rows that repeat an id are in it all or none). Only documents are labelled, so lines start with their document's label; then, within
 documents labelled bad, lines that the field finds good take that label and it is fitted again.
 Scoring is map-only over whole texts; a text's lines stay together, and memory is bounded by a
 batch step (or one text).
