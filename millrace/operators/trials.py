@@ -43,12 +43,15 @@ def counterfactual(candidates: DataFrame, dependents: DataFrame, memo: DataFrame
     the contents of both; a known pair is looked up. The result is (header, candidate, n_units, n_lost,
     n_gained, n_changed, n_worse, n_failed): symbols exact before and not after, the other way
     round, of another score, of a lower score, and units without a measurement. A symbol that is gone scores 0.
+    A unit that has no measurement with the header as it is fails the call.
     """
     units = dependents.select("header", "unit", F.col("content").alias("_unit"))
     trials = candidates.join(units, "header").select("header", "candidate", "unit", digest(F.col("content"), F.col("_unit")).alias("digest"), F.col("content").alias("candidate_content"), F.col("_unit").alias("unit_content"))
     trials = written(trials, "trials")
     results, new = measured(trials, memo, evaluate)
     rows = trials.select("header", "candidate", "unit", "digest").join(results, "digest")
+    unmeasured = rows.where("candidate is null and symbol is null").select(F.raise_error(F.concat(F.lit("no measurement as it is: "), F.col("unit").cast("string"))).cast("string").alias("e"))
+    unmeasured.collect()  # fails at the first, has no rows otherwise
     before = rows.where("candidate is null").select("header", "unit", "symbol", F.col("score").alias("b"), F.coalesce("exact", F.lit(False)).alias("eb")).where("symbol is not null")
     tried = written(trials.where("candidate is not null").select("header", "candidate", "unit", "digest"), "tried")
     after = tried.join(results, "digest")

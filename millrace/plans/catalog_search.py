@@ -177,24 +177,24 @@ def header_trials(spark, d):
     """Nations as headers with three candidate texts and the text as it is; suppliers as the units that include them."""
     nation = T(spark, d, "nation").select(F.col("n_nationkey").alias("header"), F.col("n_name").alias("name"))
     number = F.explode(F.array(F.lit(None).cast("int"), F.lit(1), F.lit(2), F.lit(3)))
-    candidates = nation.select("header", "name", number.alias("candidate")).select("header", "candidate", F.concat("name", F.coalesce(F.col("candidate").cast("string"), F.lit(""))).alias("content"))
+    candidates = nation.select("header", "name", number.alias("candidate")).select("header", "candidate", F.concat("name", F.coalesce(F.concat(F.lit("+"), F.col("candidate").cast("string")), F.lit(""))).alias("content"))
     return candidates, T(spark, d, "supplier").select(F.col("s_nationkey").alias("header"), F.col("s_suppkey").alias("unit"), F.col("s_name").alias("content"))
 
 
 def measure_texts(rows):
-    """What stands for a measurement here: three functions scored by a hash of both texts; some texts that end in 2 fail."""
+    """What stands for a measurement here: three functions scored by a hash of both texts; some texts that end in +2 fail."""
     both = F.concat("candidate_content", F.lit("|"), "unit_content")
     digit = lambda c: F.ascii(F.substring(F.md5(c.cast("binary")), 1, 1))
-    fails = F.col("candidate_content").endswith("2") & (digit(both) % 3 == 0)
+    fails = F.col("candidate_content").endswith("+2") & (digit(both) % 3 == 0)
     each = rows.where(~fails).withColumn("symbol", F.explode(F.array(*map(F.lit, "fgh")))).withColumn("score", (digit(F.concat(both, F.col("symbol"))) % 5 * 25).cast("double"))
     return each.select("digest", "symbol", "score", (F.col("score") == 100).alias("exact"))
 
 
 @query(
     "counterfactual",
-    """with c as (select n_nationkey as header, k as candidate, n_name || coalesce(cast(k as varchar), '') as content from nation, (values (null), (1), (2), (3)) as v(k)),
+    """with c as (select n_nationkey as header, k as candidate, n_name || coalesce('+' || k, '') as content from nation, (values (null), (1), (2), (3)) as v(k)),
 t as (select c.header, candidate, s_suppkey as unit, c.content || '|' || s_name as x, c.content as content from c join supplier on s_nationkey = header),
-f as (select *, right(content, 1) = '2' and ascii(md5(x)) % 3 = 0 as failed from t),
+f as (select *, right(content, 2) = '+2' and ascii(md5(x)) % 3 = 0 as failed from t),
 e as (select header, candidate, unit, symbol, ascii(md5(x || symbol)) % 5 * 25 as score from f, (values ('f'), ('g'), ('h')) as s(symbol) where not failed),
 d as (select a.header, a.candidate, count(*) filter (where b.score = 100 and a.score <> 100) as n_lost, count(*) filter (where a.score = 100 and b.score <> 100) as n_gained, count(*) filter (where a.score <> b.score) as n_changed, count(*) filter (where a.score < b.score) as n_worse
   from e a join e b on b.candidate is null and a.header = b.header and a.unit = b.unit and a.symbol = b.symbol where a.candidate is not null group by 1, 2)

@@ -192,6 +192,12 @@ def test_a_second_run_measures_nothing(spark):
     assert asked == [n, dependents.count()]
 
 
+def test_a_header_that_was_never_measured_fails(spark):
+    candidates, dependents = Q.header_trials(spark, DIR)
+    with pytest.raises(Exception, match="no measurement as it is"):
+        trials.counterfactual(candidates, dependents, spark.createDataFrame([], trials.MEMO), lambda fresh: Q.measure_texts(fresh).where(F.lit(False)))
+
+
 # --- renamings --------------------------------------------------------------------------------------------
 
 
