@@ -36,7 +36,7 @@ def test_equals_sql(spark, duck, name):
     columns = [c[0] for c in got.description]
     assert sorted(df.columns) == sorted(columns)
     order = sorted(columns)
-    assert sorted(tuple(r[c] for c in order) for r in df.collect()) == sorted(tuple(r[columns.index(c)] for c in order) for r in got.fetchall())
+    assert sorted((tuple(r[c] for c in order) for r in df.collect()), key=str) == sorted((tuple(r[columns.index(c)] for c in order) for r in got.fetchall()), key=str)
 
 
 def test_op2_equals_the_library(spark, texts):
