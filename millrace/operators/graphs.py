@@ -153,7 +153,7 @@ def followed(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     way that is longer than there are nodes has no end.
     """
     state = _written(steps.select("node", F.col("to").alias("at"), F.lit(1).cast("long").alias("length")))
-    left = state.count()
+    left = 2 * state.count()  # one round more, in which what has ended does not move
     while left > 0:
         on = state.select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("length").alias("more"))
         state = _written(state.join(on, "at", "left").select("node", F.coalesce("further", "at").alias("at"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), F.col("further").isNotNull().alias("open")))
@@ -171,7 +171,7 @@ def single_chains(edges: DataFrame, start: DataFrame) -> DataFrame:
 
     A chain that comes round ends before the first node that it has passed.
     """
-    out = _written(edges.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target")))
+    out = _written(edges.select("source", "target").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target")))
     single = out.where("n = 1").select(F.col("source").alias("node"), F.col("target").alias("to"))
     ended, open_ = followed(single)
     # all nodes of cycles are led to, and nothing else is, after as many steps as there are nodes
