@@ -132,8 +132,11 @@ select which, callee, count(*) as n, cast(sum(size) as bigint) as bytes, min(sym
 )
 def callee_ranks(spark, d):
     """Open functions and their bytes behind each callee, and behind each first one."""
-    rows = T(spark, d, "lineitem").where("l_returnflag <> 'A'").groupBy(F.col("l_orderkey").alias("symbol"))
-    rows = rows.agg(F.sum(F.col("l_quantity").cast("long")).alias("size"), F.collect_set("l_suppkey").alias("callees"), F.min_by("l_suppkey", F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("first_callee"))
+    place = F.col("l_linenumber") * 1000000 + F.col("l_partkey")
+    # of lines at one place the table's first counts, as in SQL; a line without a callee or a place is no first one
+    at = F.when(F.col("l_suppkey").isNotNull() & place.isNotNull(), F.struct(place.alias("place"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    rows = T(spark, d, "lineitem").where("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("symbol"), "l_quantity", "l_suppkey", at.alias("at")).groupBy("symbol")
+    rows = rows.agg(F.sum(F.col("l_quantity").cast("long")).alias("size"), F.collect_set("l_suppkey").alias("callees"), F.min_by("l_suppkey", "at").alias("first_callee"))
     one = lambda which, callees: D.callee_rank(rows, callees).select(F.lit(which).alias("which"), "callee", "n", "bytes", "first")
     return one("all", F.col("callees")).union(one("first", F.array("first_callee")))
 
