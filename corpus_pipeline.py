@@ -5,6 +5,8 @@ to the shared folder and read again. The first four return the columns of ``docu
 further columns there are and however these are named. A row is told from others by its id and text,
 so rows that share an id are judged each by its own text.
 
+Executors run Python workers all along, so a stage hands rows over in small batches (``C.bound_batches``).
+
 Cases that hold in every stage: an empty table gives an empty one; texts are read whole, however
 long; a null text is an empty one.
 """
@@ -27,6 +29,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null, empty and letterless texts are rejected; repeated rows and rows without an id are judged by
     their text; without a labelled row to learn from every document is rejected.
     """
+    C.bound_batches(spark)
     model = language_id.train(docs.select("doc_id", "text", "lang"), C.train_side())
     prefix = "__"
     while any(c.startswith(prefix) for c in docs.columns):
@@ -40,6 +43,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows with one id and one text one is kept; empty and null texts are equal.
     """
+    C.bound_batches(spark)
     done = exact_dedup.exact_dedup(docs, keep="largest").select(*C.KEY, "kept")
     return _keep(docs, done)
 
@@ -50,6 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of linked rows of one smallest id, the one of smallest text hash; rows without an id come last.
     Texts without words are linked with nothing and stay.
     """
+    C.bound_batches(spark)
     done = jaccard_join.jaccard_join(docs)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), *C.KEY)
     done = C.materialise(done.select("component", rank.alias("rank")), "linked")
@@ -60,6 +65,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which a benchmark item's window occurs; all others stay, repeated rows and rows without an id too."""
+    C.bound_batches(spark)
     done = decontaminate.decontaminate(docs, C.table(spark, sf_dir, "benchmark"))
     hit = C.materialise(done.where(F.size("spans") > 0).select(*C.KEY).distinct(), "gone")
     return _without(docs, hit)
@@ -67,6 +73,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text): the ids and the text they decode to; one row for each row, an empty text has no ids."""
+    C.bound_batches(spark)
     return bpe.encode_and_decode(docs)
 
 
@@ -111,8 +118,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn. What a stage's operator wrote, and the stage before, is removed once the stage's own rows are written."""
     docs = C.table(spark, sf_dir, "documents")
     before = list(getattr(spark, "_millrace_tables", ()))
-    for name, stage in STAGES:
-        path = C.scratch_path(spark, f"stage-{name}")
-        docs = C.written(stage(spark, docs, sf_dir), path)
-        C.clear(spark, keep=[*before, path])
+    batches = spark.conf.get(C.BATCHES)
+    try:
+        for name, stage in STAGES:
+            path = C.scratch_path(spark, f"stage-{name}")
+            docs = C.written(stage(spark, docs, sf_dir), path)
+            C.clear(spark, keep=[*before, path])
+    finally:
+        spark.conf.set(C.BATCHES, batches)
     return docs

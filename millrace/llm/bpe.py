@@ -25,8 +25,8 @@ from millrace.llm.pretokens import pretoken_spans
 
 #: Pre-tokens whose ids a worker keeps; when they are more, those that came back stay.
 CACHE_ENTRIES = 250_000
-#: Bytes that a worker looks at together.
-STEP = 1 << 20
+#: Bytes that a worker looks at together; some 60 times as many are in use meanwhile.
+STEP = 1 << 19
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -247,16 +247,22 @@ class Encoder:
                 yield i, j, *self._scan(part, off)
 
 
-_encoders: dict[str, Encoder] = {}
-_decoders: dict = {}
+#: Under this name a worker keeps its vocabulary, encoder and decoder.
+OPERATOR = "bpe"
+
+
+def _vocabulary(path: str) -> Vocabulary:
+    return C.kept(OPERATOR, f"vocabulary {path}", lambda: Vocabulary(path))
 
 
 def tree_encoder(path: str) -> Encoder:
-    """The worker's encoder; it lives as long as the Python worker does."""
-    if path not in _encoders:
-        v = Vocabulary(path)
-        _encoders[path] = Encoder(v.special, lambda pieces: [merge(p, v) for p in pieces])
-    return _encoders[path]
+    """The worker's encoder; it is kept until the worker gets a task of another operator."""
+
+    def make() -> Encoder:
+        v = _vocabulary(path)
+        return Encoder(v.special, lambda pieces: [merge(p, v) for p in pieces])
+
+    return C.kept(OPERATOR, f"encoder {path}", make)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -269,7 +275,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             for i, j, ids, counts in encoder.encode(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(counts), C.binary_column(ids.astype("<u4", copy=False), counts)], ["doc_id", "n_tokens", "ids"])
 
-    return C.map_arrow(C.id_and_text(docs), run, "doc_id long, n_tokens long, ids binary")
+    return C.map_arrow(C.id_and_text(docs), run, "doc_id long, n_tokens long, ids binary", OPERATOR)
 
 
 class Decoder:
@@ -291,9 +297,7 @@ class Decoder:
 
 
 def _decoder(path: str) -> Decoder:
-    if path not in _decoders:
-        _decoders[path] = Decoder(Vocabulary(path).token_bytes)
-    return _decoders[path]
+    return C.kept(OPERATOR, f"decoder {path}", lambda: Decoder(_vocabulary(path).token_bytes))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -308,7 +312,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 texts = decoder.texts(np.frombuffer(raw[offsets[i] : offsets[j]], "<u4"), np.diff(offsets[i : j + 1]) // 4)
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i) for k in range(3)] + [pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "text"])
 
-    return C.map_arrow(encoded.select("doc_id", "n_tokens", "ids"), run, "doc_id long, n_tokens long, ids binary, text string")
+    return C.map_arrow(encoded.select("doc_id", "n_tokens", "ids"), run, "doc_id long, n_tokens long, ids binary, text string", OPERATOR)
 
 
 def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -322,7 +326,7 @@ def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 columns = [batch.column("doc_id").slice(i, j - i), pa.array(counts), C.binary_column(ids.astype("<u4", copy=False), counts), pa.array(decoder.texts(ids, counts), pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "text"])
 
-    return C.map_arrow(C.id_and_text(docs), run, "doc_id long, n_tokens long, ids binary, text string")
+    return C.map_arrow(C.id_and_text(docs), run, "doc_id long, n_tokens long, ids binary, text string", OPERATOR)
 
 
 def _binary(column) -> tuple[bytes, np.ndarray]:
