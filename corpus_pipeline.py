@@ -55,7 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Texts without words are linked with nothing and stay.
     """
     C.bound_batches(spark)
-    done = jaccard_join.jaccard_join(docs)
+    done = jaccard_join.jaccard_join(docs, links=False)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), *C.KEY)
     done = C.materialise(done.select("component", rank.alias("rank")), "linked")
     best = C.materialise(done.where("component is not null").groupBy("component").agg(F.min("rank").alias("best")), "best")
