@@ -2,12 +2,13 @@
 
 Range joins are equi-joins: an interval is on the level of its length, levels being twice as wide each,
 and touches at most two cells of its level; a point is looked for in one cell of each level that occurs.
-Where only numbers of intervals are asked for, one sweep over all ends gives them, without any pairs.
+Where only numbers of intervals are asked for, one sweep over all ends gives them, without any pairs;
+where only the best of them is, the nodes of a binary tree over the places do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.sources.scratch import written
@@ -89,8 +90,39 @@ def holding(points: DataFrame, point: str, ranges: DataFrame, low: str, high: st
     return held.where((F.col(low) <= F.col(point)) & (F.col(point) <= F.col(high))).drop("_cell", "_level")
 
 
-def smallest_enclosing(points: DataFrame, point: str, group: str, key: str, ranges: DataFrame, low: str, high: str, name: str, width: float) -> DataFrame:
-    """For each point the shortest range of its group that holds it (ties: the smallest name). Of ranges with the same ends one takes part."""
-    one = ranges.groupBy(group, low, high).agg(F.min(name).alias(name))
-    held = holding(points.select(key, group, point), point, one, low, high, width, [group])
-    return held.groupBy(key).agg(F.min(F.struct((F.col(high) - F.col(low)).alias("length"), F.col(name).alias("name"))).alias("best")).select(key, F.col("best.name").alias(name), "best.length")
+def _nodes(ranges: DataFrame, first: str, last: str) -> DataFrame:
+    """Ranges of whole numbers [first, last) with the (level, node) that make them up: node k of level n is [k * 2**n, (k + 1) * 2**n), and at most two of a level are needed."""
+    levels = ranges.withColumn("level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col(last) - F.col(first))).cast("int") + 1)))
+    # what the larger nodes leave of the range at either end
+    levels = levels.withColumn("_from", F.expr(f"shiftright({first} + shiftleft(1L, level) - 1, level)")).withColumn("_to", F.expr(f"shiftright({last}, level)")).where("_from < _to")
+    ends = F.array_compact(F.array(F.when(F.col("_from") % 2 == 1, F.col("_from")), F.when(F.col("_to") % 2 == 1, F.col("_to") - 1)))
+    return levels.withColumn("node", F.explode(ends)).drop("_from", "_to")
+
+
+def smallest_enclosing(points: DataFrame, point: str, group: str, key: str, ranges: DataFrame, low: str, high: str, name: str, order: Column | None = None) -> DataFrame:
+    """For each point the range of its group that holds it and is first by ``order`` (by default the shortest; ties: the smallest name), and the least length of those that hold it.
+
+    No pairs of points and ranges are made: places, each once, are numbered by one sweep, a range is a
+    run of numbers and so a few nodes of a binary tree, each node keeps its best range, and a place
+    looks at the nodes above it, one a level. ``order`` must not fall as the name grows, as of ranges
+    with the same ends the one of the smallest name takes part.
+    """
+    length = F.col(high) - F.col(low)
+    one = ranges.where(F.col(low) <= F.col(high)).groupBy(group, low, high).agg(F.min(name).alias(name))
+    one = written(one.select(F.col(group).alias("g"), F.col(low).alias("low"), F.col(high).alias("high"), F.struct((length if order is None else order).alias("by"), F.col(name).alias("name")).alias("best"), length.alias("length"), F.monotonically_increasing_id().alias("id")), "ranges")
+    places = points.select(F.col(group).alias("g"), F.col(point).alias("at")).where("g is not null and at is not null").distinct()
+    none = F.lit(None).cast("long").alias("id")
+    # at one place ranges begin before it is counted, and end after it
+    events = places.select("g", "at", F.lit(1).alias("kind"), F.lit(1).cast("long").alias("n"), none)
+    for at, kind in (("low", 0), ("high", 2)):
+        events = events.union(one.where("g is not null").select("g", at, F.lit(kind), F.lit(0).cast("long"), "id"))
+    upto = written(swept(events, ["g", "at", "kind"], ["n"]), "upto")
+    ends = upto.where("kind <> 1").groupBy("id").agg(F.min(F.when(F.col("kind") == 0, F.col("n"))).alias("first"), F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("last"))
+    nodes = _nodes(one.join(ends.where("first < last"), "id"), "first", "last")
+    nodes = written(nodes.groupBy("level", "node").agg(F.min("best").alias("best"), F.min("length").alias("length")), "nodes")
+    levels = sorted(r[0] for r in nodes.select("level").distinct().collect())  # as many as a number of places has binary digits
+    numbers = upto.where("kind = 1").select("g", "at", (F.col("n") - 1).alias("number"))
+    asked = numbers.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("node", F.expr("shiftright(number, level)"))
+    held = asked.join(nodes, ["level", "node"]).groupBy("g", "at").agg(F.min("best").alias("best"), F.min("length").alias("length"))
+    held = written(held.select(F.col("g").alias(group), F.col("at").alias(point), F.col("best.name").alias(name), "length"), "held")
+    return points.select(key, group, point).join(held, [group, point]).select(key, name, "length")

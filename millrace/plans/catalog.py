@@ -502,7 +502,8 @@ select o_orderkey, arg_min(p_partkey, (hi - lo) * 1000000 + p_partkey) as p_part
 def smallest_enclosing(spark, d):
     points = T(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("g"), F.floor(F.col("o_totalprice") / 1000).alias("x"))
     ranges = T(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 20).alias("g"), (F.col("p_size") * 5).alias("lo"), (F.col("p_size") * 5 + (F.col("p_partkey") % 97).cast("int")).alias("hi"))
-    return intervals.smallest_enclosing(points, "x", "g", "o_orderkey", ranges, "lo", "hi", "p_partkey", 50)
+    order = (F.col("hi") - F.col("lo")) * 1_000_000 + F.col("p_partkey")  # the SQL's: keys beyond a million weigh more than a length
+    return intervals.smallest_enclosing(points, "x", "g", "o_orderkey", ranges, "lo", "hi", "p_partkey", order)
 
 
 # --- graphs --------------------------------------------------------------------------------------
