@@ -104,7 +104,7 @@ def smallest_enclosing(points: DataFrame, point: str, group: str, key: str, rang
 
     No pairs of points and ranges are made: places, each once, are numbered by one sweep, a range is a
     run of numbers and so a few nodes of a binary tree, each node keeps its best range, and a place
-    looks at the nodes above it, one a level. ``order`` must not fall as the name grows, as of ranges
+    looks at the nodes above it, one a level. Points of one key are one. ``order`` must not fall as the name grows, as of ranges
     with the same ends the one of the smallest name takes part.
     """
     length = F.col(high) - F.col(low)
@@ -124,5 +124,6 @@ def smallest_enclosing(points: DataFrame, point: str, group: str, key: str, rang
     numbers = upto.where("kind = 1").select("g", "at", (F.col("n") - 1).alias("number"))
     asked = numbers.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("node", F.expr("shiftright(number, level)"))
     held = asked.join(nodes, ["level", "node"]).groupBy("g", "at").agg(F.min("best").alias("best"), F.min("length").alias("length"))
-    held = written(held.select(F.col("g").alias(group), F.col("at").alias(point), F.col("best.name").alias(name), "length"), "held")
-    return points.select(key, group, point).join(held, [group, point]).select(key, name, "length")
+    held = written(held.select(F.col("g").alias(group), F.col("at").alias(point), "best", "length"), "held")
+    best = points.select(key, group, point).join(held, [group, point]).groupBy(key).agg(F.min("best").alias("best"), F.min("length").alias("length"))
+    return best.select(key, F.col("best.name").alias(name), "length")

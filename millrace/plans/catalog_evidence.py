@@ -197,9 +197,8 @@ def copy_context(spark, d):
     points = T(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 1000).alias("x"))
     s = F.col("s_suppkey")
     ranges = T(spark, d, "supplier").select(s.alias("symbol"), (s * 7 % 900).alias("lo"), (s * 7 % 900 + 20).alias("hi"))
-    owners = intervals.holding(points, "x", ranges, "lo", "hi", 20).select("o_orderkey", "symbol")
     copies = T(spark, d, "supplier").where("s_nationkey < 20").select(s.alias("symbol"), (F.col("s_acctbal") > 0).alias("exact"))
-    return E.copy_context(owners, copies, ["o_orderkey"], "symbol")
+    return E.copy_context(points, "x", ["o_orderkey"], ranges, "lo", "hi", copies, "symbol")
 
 
 @query(
