@@ -5,10 +5,13 @@ What a round decides is written, so a lost executor costs a re-read; units that
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.bags import numbered
 from millrace.sources.scratch import written
@@ -160,6 +163,158 @@ def climb(blocks: DataFrame, evaluate: Callable[[DataFrame, DataFrame], DataFram
     return blocks, steps
 
 
+#: Places that a task looks at together: of as many units of one size as have them.
+PLACES = 1 << 16
+
+
+def first_moves(n: int, most: int, order: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): the first ``most`` moves of one of n blocks that give different orders, by ``order`` of i and j, then i, then j."""
+    i, j, by = (np.zeros(0, np.int64) for _ in range(3))
+    rows = max(1, (1 << 20) // n)
+    for s in range(0, n, rows):
+        x, y = (z.ravel() for z in np.meshgrid(np.arange(s, min(n, s + rows)), np.arange(n), indexing="ij"))
+        x, y = x[x != y], y[x != y]
+        i, j, by = np.append(i, x), np.append(j, y), np.append(by, order(x, y))
+        first = np.lexsort((j, i, by))[: 2 * most]  # two moves give one order where they swap neighbours, and only there
+        i, j, by = i[first], j[first], by[first]
+    low = np.where(np.abs(i - j) == 1, np.minimum(i, j), -1 - np.arange(len(i)))
+    keep = np.sort(np.unique(low, return_index=True)[1])[:most]
+    return i[keep], j[keep]
+
+
+def _placed(p: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Where what is at place p comes to when i moves to j."""
+    return np.where(p == i, j, p - ((p > i) & (p <= j)) + ((p < i) & (p >= j)))
+
+
+def _mixed(block: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hashes of blocks at places."""
+    h = block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (place + 2).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    for by, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(by))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+class Climb:
+    """Units of n blocks each that climb together; a block goes by its first place, a constraint is (unit, block before, block after)."""
+
+    def __init__(self, units: int, n: int, of: np.ndarray, before: np.ndarray, after: np.ndarray, budget: int) -> None:
+        self.unit = np.arange(units)
+        self.place = np.tile(np.arange(n), (units, 1))  # of each block
+        self.of, self.before, self.after = of, before, after
+        self.tried, self.step = np.zeros(units, np.int64), np.zeros(units, np.int64)
+        self.seen = np.zeros((units, budget + 1), np.uint64)
+        self.at = self.place.copy()  # at each place
+        self.seen[:] = self.sums(0)[:, -1:]
+
+    def sums(self, shift: int) -> np.ndarray:
+        """Sums of hashes of the blocks at the first places, 0 to n of them, each at its place moved by ``shift``."""
+        h = _mixed(self.at, np.arange(self.at.shape[1]) + shift)
+        return np.concatenate([np.zeros((len(h), 1), np.uint64), np.cumsum(h, axis=1, dtype=np.uint64)], axis=1)
+
+    def held(self) -> np.ndarray:
+        return self.place[self.of, self.before] < self.place[self.of, self.after]
+
+    def digests(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of the order that each unit (rows) has after each move (columns)."""
+        self.at = np.argsort(self.place, axis=1)
+        here, left, right = (self.sums(shift) for shift in (0, -1, 1))
+        low, high = np.minimum(i, j), np.maximum(i, j)
+        between = np.where(i < j, left[:, high + 1] - left[:, i + 1], right[:, i] - right[:, low])
+        return here[:, -1:] - (here[:, high + 1] - here[:, low]) + between + _mixed(self.at[:, i], j)
+
+    def round(self, i: np.ndarray, j: np.ndarray, budget: int, per_round: int) -> list[np.ndarray]:
+        """Try and move once; (unit, step, i, j, block, total) of the units that moved. Units that are done leave."""
+        digest = self.digests(i, j)
+        fresh = np.ones(digest.shape, bool)
+        for s in range(1 + int(self.tried.max())):
+            fresh &= digest != self.seen[:, s : s + 1]
+        ordinal = np.cumsum(fresh, axis=1)
+        row, move = np.nonzero(fresh & (ordinal <= np.minimum(per_round, budget - self.tried)[:, None]))
+        ordinal, x, y = ordinal[row, move], i[move], j[move]
+        held, units = self.held(), len(self.unit)
+        total = np.bincount(self.of[held], minlength=units)
+        times = np.bincount(self.of, minlength=units)
+        one = np.repeat(np.arange(len(row)), times[row])  # a row for each try and constraint of its unit
+        c = (np.cumsum(times) - times)[row][one] + np.arange(len(one)) - (np.cumsum(times[row]) - times[row])[one]
+        exact = _placed(self.place[row[one], self.before[c]], x[one], y[one]) < _placed(self.place[row[one], self.after[c]], x[one], y[one])
+        now = np.bincount(one[exact], minlength=len(row))
+        kept = np.bincount(one[exact & held[c]], minlength=len(row))
+        good = np.flatnonzero((kept == total[row]) & (now > total[row]))
+        good = good[np.lexsort((ordinal[good], -now[good], row[good]))]
+        go, first = np.unique(row[good], return_index=True)
+        best = good[first]
+        self.seen[row, self.tried[row] + ordinal] = digest[row, move]
+        n = np.bincount(row, minlength=units)
+        self.tried += n
+        self.step[go] += 1
+        out = [self.unit[go], self.step[go], x[best], y[best], self.at[go, x[best]], now[best]]
+        self.place[go] = _placed(self.place[go], x[best][:, None], y[best][:, None])
+        self.leave((n > 0) & (self.tried < budget))
+        return out
+
+    def leave(self, stay: np.ndarray) -> None:
+        kept = stay[self.of]
+        self.of, self.before, self.after = (np.cumsum(stay) - 1)[self.of[kept]], self.before[kept], self.after[kept]
+        self.unit, self.place, self.tried, self.step, self.seen = (v[stay] for v in (self.unit, self.place, self.tried, self.step, self.seen))
+
+
+def climb_precedence(blocks: DataFrame, constraints: DataFrame, budget: int, per_round: int, order: Callable) -> DataFrame:
+    """The moves (unit, step, i, j, block, total) of ``climb`` with ``precedence``, where what a move gives can be told from the unit alone.
+
+    ``order`` gives the order of moves from arrays i and j. A unit is a row, with its blocks and its
+    constraints; a task takes units of one size together through a round. All that a round may try is
+    among the first moves that are as many as a unit can have seen and a round tries, so a unit of n
+    blocks needs memory for n places and not for its moves.
+    """
+    found = constraints.groupBy("unit").agg(F.collect_list(F.struct("before", "after")).alias("pairs"))
+    rows = blocks.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), F.col("block")))).alias("blocks"))
+    rows = rows.where(F.size("blocks") > 1).join(found, "unit", "left").select("unit", F.col("blocks.block").alias("blocks"), F.col("pairs.before").alias("before"), F.col("pairs.after").alias("after"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moves: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            sizes, times = (np.asarray(batch.column(c).value_lengths().fill_null(0), np.int64) for c in ("blocks", "before"))
+            named = pa.concat_arrays([batch.column(c).flatten() for c in ("blocks", "before", "after")]).dictionary_encode()
+            code = np.asarray(named.indices.fill_null(-1), np.int64)
+            block, before, after = np.split(code, [sizes.sum(), sizes.sum() + times.sum()])
+            begin = np.cumsum(sizes) - sizes
+            # a constraint's blocks by their first places in its unit
+            owner, whose = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(sizes)), times)
+            key = owner * (len(code) + 1) + block
+            by = np.argsort(key)
+            at = []
+            for side in (before, after):
+                want = whose * (len(code) + 1) + side
+                k = by[np.minimum(np.searchsorted(key, want, sorter=by), len(key) - 1)]
+                at.append(np.where((key[k] == want) & (side >= 0), k - begin[owner[k]], -1))
+            known = (at[0] >= 0) & (at[1] >= 0)
+            whose, before, after = whose[known], at[0][known], at[1][known]
+            many = np.bincount(whose, minlength=len(sizes))
+            start = np.cumsum(many) - many
+            for n in np.unique(sizes).tolist():
+                if n not in moves:
+                    moves[n] = first_moves(n, budget + 1 + per_round, order)
+                same = np.flatnonzero((sizes == n) & (many > 0))  # without constraints there is nothing to gain
+                each = max(1, PLACES // n)
+                for s in range(0, len(same), each):
+                    some = same[s : s + each]
+                    of = np.repeat(np.arange(len(some)), many[some])
+                    c = start[some][of] + np.arange(len(of)) - (np.cumsum(many[some]) - many[some])[of]
+                    climbing = Climb(len(some), n, of, before[c], after[c], budget)
+                    while len(climbing.unit):
+                        unit, step, i, j, first, total = climbing.round(*moves[n], budget, per_round)
+                        if len(unit):
+                            unit = some[unit]
+                            names = named.dictionary.take(named.indices.take(pa.array(begin[unit] + first)))
+                            columns = [batch.column("unit").take(pa.array(unit)), *[pa.array(v, pa.int32()) for v in (step, i, j)], names, pa.array(total, pa.int64())]
+                            yield pa.RecordBatch.from_arrays(columns, ["unit", "step", "i", "j", "block", "total"])
+
+    numbers = [T.StructField(c, T.IntegerType()) for c in ("step", "i", "j")]
+    schema = T.StructType([blocks.schema["unit"], *numbers, blocks.schema["block"], T.StructField("total", T.LongType())])
+    return rows.mapInArrow(run, schema)
+
+
 def recorded(evaluations: DataFrame) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """An ``evaluate`` for ``climb`` that looks orders up by digest in (unit, digest, dependent, exact)."""
 

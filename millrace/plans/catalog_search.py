@@ -87,13 +87,14 @@ select unit, step, cast(i as int) as i, cast(j as int) as j, block, cast(len(lis
 )
 def block_climb(spark, d):
     """Moves of one part at a time that put more neighbours of each order in the order of their quantities, and none out of it."""
-    lines = T(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("unit"), F.col("l_partkey").alias("block")).agg(F.max("l_quantity").alias("l_quantity"), F.min("l_suppkey").alias("supplier"))
+    lines = T(spark, d, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_partkey").alias("block"), "l_quantity", "l_suppkey").repartition("unit")  # once: all that follows is by unit
+    lines = lines.groupBy("unit", "block").agg(F.max("l_quantity").alias("l_quantity"), F.min("l_suppkey").alias("supplier"))
     w = Window.partitionBy("unit").orderBy("block")
     pairs = lines.select("unit", "block", "l_quantity", F.lead("block").over(w).alias("next"), F.lead("l_quantity").over(w).alias("other")).where("next is not null and l_quantity <> other")
     first = F.col("l_quantity") <= F.col("other")
     constraints = pairs.select("unit", F.col("block").alias("dependent"), F.when(first, F.col("block")).otherwise(F.col("next")).alias("before"), F.when(first, F.col("next")).otherwise(F.col("block")).alias("after"))
     blocks = lines.select("unit", "block", (F.row_number().over(Window.partitionBy("unit").orderBy("supplier", "block")) - 1).alias("place"))
-    return S.climb(blocks, S.precedence(constraints), budget=24, per_round=8, order=(F.col("i") * 7 + F.col("j") * 3) % 11)[1]
+    return S.climb_precedence(blocks, constraints, budget=24, per_round=8, order=lambda i, j: (i * 7 + j * 3) % 11)
 
 
 _CLEAN = """with recursive e as (select distinct o_custkey as unit, l_suppkey % 12 as addition, l_partkey % 40 as fault from lineitem join orders on o_orderkey = l_orderkey),
